@@ -91,3 +91,11 @@ def quiet_tokenizers() -> None:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
+
+
+def byte_letters() -> dict[int, str]:
+    """The visible character that byte-level tokenizers write for each byte: printable Latin-1
+    ones stand for themselves, the others are numbered from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
