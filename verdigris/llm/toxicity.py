@@ -1,8 +1,8 @@
 """Operator 6: toxicity by subword-bag embeddings and a linear softmax, trained jointly.
 
 A word is the bag of its character n-grams (three to five, edges counted) and itself, each
-hashed to a row of one embedding table. A text is the average of its words' vectors, a word's
-being the average of its bag's; a linear softmax on that gives the score. Table and softmax are
+hashed to a row of one embedding table. A text is the average of its words' vectors and a few
+neutral ones, a word's being the average of its bag's; a linear softmax on that gives the score. Table and softmax are
 trained together in numpy by full-batch Adam on the driver, so a misspelling never seen shares
 most of its vectors with the word it stands for.
 
@@ -31,9 +31,12 @@ from verdigris.llm.common import BoundedCache, held_out
 WORD = re.compile(r"[^\W_]+")
 GRAMS = (3, 4, 5)
 #: Rows and width of the embedding table, bits as a power of two.
-TABLE_BITS, WIDTH = 17, 8
-TRAIN_ROWS, TRAIN_BYTES = 2500, 24_000_000
-STEPS, RATE, DECAY = 60, 0.25, 2e-6
+TABLE_BITS, WIDTH = 17, 4
+#: Rows of each label, and bytes in all, that teach; neutral words that each average takes in.
+TRAIN_ROWS, TRAIN_BYTES, NEUTRAL = {1: 2500, 0: 4000}, 24_000_000, 6
+#: Share of label 1 that the score assumes.
+PRIOR = 0.4
+STEPS, RATE, DECAY = 60, 0.4, 2e-6
 #: Entries of a worker's cache of word scores, and the longest word it keeps.
 CACHE_ENTRIES, CACHE_KEY = 1 << 19, 64
 
@@ -86,12 +89,12 @@ class Model:
         return np.bincount(whose, self.pull[rows], n) / np.maximum(np.bincount(whose, minlength=n), 1)
 
     def score(self, found: list[str], pull_of) -> float:
-        logit = self.bias + (sum(map(pull_of, found)) / len(found) if found else 0.0)
+        logit = self.bias + sum(map(pull_of, found)) / (len(found) + NEUTRAL)
         return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
 
 
 def train(texts: list[str], labels: list[int], *, steps: int = STEPS, rate: float = RATE, seed: int = 1) -> Model:
-    """Joint training; classes are weighted to count alike."""
+    """Joint training; labels are weighted to count alike, and PRIOR is taken in afterwards."""
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
@@ -104,9 +107,9 @@ def train(texts: list[str], labels: list[int], *, steps: int = STEPS, rate: floa
         for w, n in counts.items():
             doc_of.append(d)
             word_of.append(vocabulary.setdefault(w, len(vocabulary)))
-            weight.append(n / total)
-    doc_of, word_of, weight = np.asarray(doc_of, np.int64), np.asarray(word_of, np.int64), np.asarray(weight)
-    rows, whose = bags(list(vocabulary))
+            weight.append(n / (total + NEUTRAL))
+    doc_of, word_of, weight = np.asarray(doc_of, np.int32), np.asarray(word_of, np.int32), np.asarray(weight)
+    rows, whose = (x.astype(np.int32) for x in bags(list(vocabulary)))
     share = 1.0 / np.maximum(np.bincount(whose, minlength=len(vocabulary)), 1)
     n_docs, n_words, size = len(texts), len(vocabulary), 1 << TABLE_BITS
     rng = np.random.default_rng(seed)
@@ -132,11 +135,11 @@ def train(texts: list[str], labels: list[int], *, steps: int = STEPS, rate: floa
             m += 0.1 * grad
             v *= 0.99
             v += 0.01 * grad**2
-            param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Model(table.T @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0]))
+            param -= rate * min(1.0, 3 * (1 - (step - 1) / steps)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return Model(table.T @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0] + np.log(PRIOR / (1 - PRIOR))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: int = 0, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: int = 0, train_rows: dict[int, int] = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
     """Train on a bounded sample of docs (doc_id, text) with labels (doc_id, toxic)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(~held_out(F.col("doc_id"), modulus, remainder))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -145,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: in
     chosen: dict[object, int] = {}
     for label in (1, 0):
         spent = 0
-        for r in present.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect():
+        for r in present.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows[label]).collect():
             spent += r["size"]
             if spent > train_bytes // 2:
                 break
