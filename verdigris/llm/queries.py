@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.llm import byte_bpe, language_id, packing, simhash, token_counts, toxicity
+from verdigris.llm import byte_bpe, katz, language_id, packing, simhash, token_counts, toxicity
 from verdigris.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document under a Katz backoff model."""
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the local rank file and decoded again."""
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
     "op8_simhash": op8_simhash,
+    "op9_katz": op9_katz,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
