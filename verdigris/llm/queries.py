@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.llm import byte_bpe, katz, language_id, packing, simhash, token_counts, toxicity
+from verdigris.llm import byte_bpe, hnsw, katz, language_id, packing, simhash, token_counts, toxicity
 from verdigris.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 100."""
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document, links at two differing bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op7_hnsw": op7_hnsw,
     "op8_simhash": op8_simhash,
     "op9_katz": op9_katz,
     "op10_byte_bpe": op10_byte_bpe,
