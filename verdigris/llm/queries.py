@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verdigris.llm import byte_bpe, hnsw, katz, language_id, packing, simhash, token_counts, toxicity
+from verdigris.llm import byte_bpe, hnsw, katz, language_id, packing, simhash, token_counts, toxicity, url_filters
 from verdigris.llm.common import table
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's capture against the list entries that were active on its day."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filters.evaluate(url_filters.page_captures(pages), url_filters.page_entries(pages))
+    return judged.withColumn("fetched", F.col("fetched").cast("string")).withColumn("valid_from", F.col("valid_from").cast("string"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -52,6 +60,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op5_token_counts": op5_token_counts,
@@ -63,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for those that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_url_filters": url_filters.SQL}
