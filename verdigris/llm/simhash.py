@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -197,8 +197,6 @@ def spanning_edges(items: DataFrame, radius: int, payload_radius: int | None = N
     ranges = max(1, -(-n // size))
 
     def ordered(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for b in batches:
             rank = gray_rank(unsigned(b.column("code").to_numpy(zero_copy_only=False))) ^ np.uint64(1 << 63)
             yield pa.RecordBatch.from_arrays([pa.array(signed(rank)), *b.columns], names=["gray", "code", "item", "payload"])
@@ -211,56 +209,64 @@ def spanning_edges(items: DataFrame, radius: int, payload_radius: int | None = N
     shared = ~(both ^ either)
     upper = spark.sparkContext.broadcast((np.array([r["node"] for r in nodes], np.int32), both & shared, shared))
 
-    def route(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    packed = pa.schema([("node", pa.int32()), ("guest", pa.bool_()), ("codes", pa.binary()), ("items", pa.binary()), ("payloads", pa.binary())])
 
+    def route(batches: Iterator) -> Iterator:
+        """Packs what is at home in each range and what calls on it, a row for each of both."""
         names, patterns, masks = upper.value
-        tree = GrayTree(patterns, masks)
-        place = {int(x): k for k, x in enumerate(names)}
+        tree, place = GrayTree(patterns, masks), {int(x): k for k, x in enumerate(names)}
         for b in batches:
             own = np.array([place[x] for x in b.column("node").to_pylist()])
-            for q, node in tree.search(unsigned(b.column("code").to_numpy(zero_copy_only=False)), radius):
+            codes, item = (b.column(c).to_numpy(zero_copy_only=False) for c in ("code", "item"))
+            payload = None if payload_radius is None else np.frombuffer(b"".join(b.column("payload").to_pylist()), np.uint8).reshape(len(codes), -1)
+            calls = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+            for q, node in tree.search(unsigned(codes), radius):
                 later = node > own[q]  # its own range has it; of two ranges the later one looks
-                rows = b.take(pa.array(q[later]))
-                yield pa.RecordBatch.from_arrays([pa.array(names[node[later]]), pa.array(np.ones(int(later.sum()), bool)), *(rows.column(c) for c in ("gray", "code", "item", "payload"))], names=["node", "guest", "gray", "code", "item", "payload"])
-
-    guests = table.mapInArrow(route, "node int, guest boolean, gray long, code long, item long, payload binary")
-    everyone = table.select("node", F.lit(False).alias("guest"), "gray", "code", "item", "payload").unionByName(guests)
-
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["guest", "gray", "item"], kind="stable")
-        codes, item = unsigned(pdf["code"].to_numpy()), pdf["item"].to_numpy()
-        home = int((~pdf["guest"].to_numpy(bool)).sum())
-        rows = None
+                calls.append((q[later], node[later]))
+            rows = []
+            for guest, (q, node) in ((False, (np.arange(len(codes)), own)), (True, tuple(np.concatenate(x) for x in zip(*calls)))):
+                order = np.argsort(node, kind="stable")
+                targets, starts = np.unique(node[order], return_index=True)
+                for target, part in zip(targets, np.split(q[order], starts[1:])):
+                    rows.append((names[target], guest, codes[part].tobytes(), item[part].tobytes(), None if payload is None else payload[part].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), packed)], schema=packed)
+
+    def links(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["guest"], r["codes"], r["items"]))
+        codes, item = (np.frombuffer(b"".join(r[c] for r in rows), np.int64) for c in ("codes", "items"))
+        guest = np.repeat([r["guest"] for r in rows], [len(r["codes"]) // 8 for r in rows])
+        codes = unsigned(codes)
+        order = np.lexsort((item, gray_rank(codes), guest))
+        codes, item, home = codes[order], item[order], int((~guest).sum())
+        payload = None
         if payload_radius is not None:
-            rows = np.frombuffer(b"".join(pdf["payload"]), "<u8").reshape(len(pdf), -1)
-        forest, tree = Forest(len(pdf)), GrayTree(codes[:home])
-        label = np.arange(len(pdf))
+            payload = np.frombuffer(b"".join(r["payloads"] for r in rows), "<u8").reshape(len(item), -1)[order]
+        forest, tree = Forest(len(item)), GrayTree(codes[:home])
+        label = np.arange(len(item))
         for q, found in tree.search(codes, radius):
             new = (found < q) & (label[q] != label[found])
             q, found = q[new], found[new]
-            if rows is not None and len(q):
-                ok = np.zeros(len(q), bool)
+            if payload is not None and len(q):
+                near = np.zeros(len(q), bool)
                 for at in range(0, len(q), 1 << 18):
                     part = slice(at, at + (1 << 18))
-                    ok[part] = np.bitwise_count(rows[q[part]] ^ rows[found[part]]).sum(1) <= payload_radius
-                q, found = q[ok], found[ok]
+                    near[part] = np.bitwise_count(payload[q[part]] ^ payload[found[part]]).sum(1) <= payload_radius
+                q, found = q[near], found[near]
             if len(q):
                 forest.join(q, found)
-                label = np.array([forest.find(i) for i in range(len(pdf))]) if len(q) > 64 else label
-        root = np.array([forest.find(i) for i in range(len(pdf))])
+                if len(q) > BLOCK:  # spare later blocks the links that say nothing new
+                    label = np.array([forest.find(i) for i in range(len(item))])
+        root = np.array([forest.find(i) for i in range(len(item))], np.int64)
         joined = np.flatnonzero(item[root] != item)
-        return pd.DataFrame({"a": item[joined], "b": item[root[joined]]})
+        return pa.table({"a": item[joined], "b": item[root[joined]]})
 
-    return everyone.groupBy("node").applyInPandas(links, "a long, b long")
+    return table.mapInArrow(route, "node int, guest boolean, codes binary, items binary, payloads binary").groupBy("node").applyInArrow(links, "a long, b long")
 
 
 def fingerprints(df: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long) of each row. Map-only."""
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for b in batches:
             found = np.array([majority(shingle_hashes(t.as_py(), words)) for t in b.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(signed(found))], names=["id", "fp"])
@@ -305,16 +311,12 @@ def copy_groups(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text_c
     """
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for b in batches:
             found = [wide(shingle_hashes(t.as_py(), words), PARTS) for t in b.column("text")]
             payload = [np.array(p, "<u8").tobytes() for p in found]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([xxhash.xxh64_intdigest(p, SEED) - (1 << 63) for p in payload], pa.int64()), pa.array(payload, pa.binary())], names=["id", "item", "payload"])
 
     def coded(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for b in batches:
             codes = [codes_of(np.frombuffer(p, "<u8").tolist()) for p in b.column("payload").to_pylist()]
             at = pa.array(np.repeat(np.arange(len(codes)), [len(c) for c in codes]))
