@@ -6,8 +6,8 @@ neutral ones, a word's being the average of its bag's; a linear softmax on that
 trained together in numpy by full-batch Adam on the driver, so a misspelling never seen shares
 most of its vectors with the word it stands for.
 
-Training reads whole texts of a bounded sample of the labelled rows: at most TRAIN_ROWS a label
-and TRAIN_BYTES in all, in the order of a hash of the key. Whole texts are scored, map-only.
+Training reads whole texts of a bounded sample of the labelled rows: at most TRAIN_ROWS rows
+and TRAIN_BYTES bytes a label, in the order of a hash of the key. Whole texts are scored, map-only.
 Null and empty texts, and those without a word, get the score of the bias alone; if either
 label has no row to learn from, every score is the share of label 1 (0 without any rows). Null
 labels teach nothing; of repeated labels the largest holds; a null key counts as the empty text
@@ -23,19 +23,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import BoundedCache, held_out
+from verdigris.llm.common import held_out
 
 WORD = re.compile(r"[^\W_]+")
 GRAMS = (3, 4, 5)
 #: Rows and width of the embedding table, bits as a power of two.
 TABLE_BITS, WIDTH = 17, 4
-#: Rows of each label, and bytes in all, that teach; neutral words that each average takes in.
-TRAIN_ROWS, TRAIN_BYTES, NEUTRAL = {1: 2500, 0: 4000}, 24_000_000, 6
+#: Rows and bytes of each label that teach; neutral words that each average takes in.
+TRAIN_ROWS, TRAIN_BYTES, NEUTRAL = {1: 2500, 0: 4000}, {1: 6_000_000, 0: 10_000_000}, 6
 #: Share of label 1 that the score assumes.
-PRIOR = 0.4
+PRIOR = 0.33
 STEPS, RATE, DECAY = 60, 0.4, 2e-6
 #: Entries of a worker's cache of word scores, and the longest word it keeps.
 CACHE_ENTRIES, CACHE_KEY = 1 << 19, 64
@@ -109,7 +110,12 @@ def train(texts: list[str], labels: list[int], *, steps: int = STEPS, rate: floa
             word_of.append(vocabulary.setdefault(w, len(vocabulary)))
             weight.append(n / (total + NEUTRAL))
     doc_of, word_of, weight = np.asarray(doc_of, np.int32), np.asarray(word_of, np.int32), np.asarray(weight)
-    rows, whose = (x.astype(np.int32) for x in bags(list(vocabulary)))
+    names, blocks = list(vocabulary), []
+    for at in range(0, len(names), 1 << 14):  # in blocks, so that the driver needs little memory
+        found, of = bags(names[at : at + (1 << 14)])
+        blocks.append((found.astype(np.int32), (of + at).astype(np.int32)))
+    rows, whose = (np.concatenate(x) for x in zip(*blocks)) if blocks else (np.empty(0, np.int32), np.empty(0, np.int32))
+    del blocks, names
     share = 1.0 / np.maximum(np.bincount(whose, minlength=len(vocabulary)), 1)
     n_docs, n_words, size = len(texts), len(vocabulary), 1 << TABLE_BITS
     rng = np.random.default_rng(seed)
@@ -139,7 +145,7 @@ def train(texts: list[str], labels: list[int], *, steps: int = STEPS, rate: floa
     return Model(table.T @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0] + np.log(PRIOR / (1 - PRIOR))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: int = 0, train_rows: dict[int, int] = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: int = 0, train_rows: dict[int, int] = TRAIN_ROWS, train_bytes: dict[int, int] = TRAIN_BYTES) -> Model:
     """Train on a bounded sample of docs (doc_id, text) with labels (doc_id, toxic)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(~held_out(F.col("doc_id"), modulus, remainder))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -150,7 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: in
         spent = 0
         for r in present.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows[label]).collect():
             spent += r["size"]
-            if spent > train_bytes // 2:
+            if spent > train_bytes[label]:
                 break
             chosen[r["doc_id"]] = label
     if not chosen:
@@ -163,6 +169,41 @@ def learn(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: in
     return train([texts[i] for i in order], [chosen[i] for i in order])
 
 
+class Scorer:
+    """Scores lists of texts, with a bounded cache of word scores."""
+
+    def __init__(self, model: Model):
+        self.model, self.cache = model, {}
+
+    def __call__(self, texts: list[str | None]) -> list[float]:
+        found = [words(t) for t in texts]
+        new = set().union(*found) if found else set()
+        if len(self.cache) + len(new) > CACHE_ENTRIES:
+            self.cache.clear()
+        cache, missing = self.cache, sorted(new - self.cache.keys())
+        once: dict[str, float] = {}
+        for at in range(0, len(missing), 8192):
+            part = missing[at : at + 8192]
+            for w, pull in zip(part, self.model.word_pulls(part).tolist()):
+                (cache if len(w) <= CACHE_KEY else once)[w] = pull
+        pull_of = (cache | once if once else cache).__getitem__
+        return [self.model.score(f, pull_of) for f in found]
+
+
+def keep_clean(df: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: int = 0, most: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, whole, that score less than most; map-only once trained."""
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    model = df.sparkSession.sparkContext.broadcast(learn(rows, labels.select("doc_id", "toxic"), modulus=modulus, remainder=remainder))
+
+    @F.pandas_udf("double")
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model.value)
+        for texts in parts:
+            yield pd.Series([x for at in range(0, len(texts), 256) for x in scorer(texts.iloc[at : at + 256].tolist())], dtype="float64")
+
+    return df.where(scored(F.col(text_col)) < most)
+
+
 def score(df: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) of each row; held-out rows' labels teach nothing."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -171,23 +212,10 @@ def score(df: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: int
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        m: Model = model.value
-        cache = BoundedCache(lambda w: float(m.word_pulls([w])[0]), CACHE_ENTRIES, CACHE_KEY)
+        scorer = Scorer(model.value)
         for batch in batches:
-            scores = []
-            ids = batch.column("doc_id")
-            texts = batch.column("text")
-            for at in range(0, len(texts), 256):
-                found = [words(t) for t in texts.slice(at, 256).to_pylist()]
-                missing = list(set().union(*found) - cache.keys())
-                if len(cache) + len(missing) >= CACHE_ENTRIES:
-                    cache.clear()
-                    missing = list(set().union(*found))
-                for k in range(0, len(missing), 8192):
-                    part = missing[k : k + 8192]
-                    cache.update((w, x) for w, x in zip(part, m.word_pulls(part).tolist()) if len(w) <= CACHE_KEY)
-                scores += [m.score(f, cache.__getitem__) for f in found]
-            yield pa.RecordBatch.from_arrays([ids, batch.column("held_out"), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
+            scores = [x for at in range(0, batch.num_rows, 256) for x in scorer(batch.column("text").slice(at, 256).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
     scored = rows.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
