@@ -144,3 +144,18 @@ def identify(df: DataFrame, *, modulus: int = 4, remainder: int = 2, train_docs:
     kind = df.schema[id_col].dataType.simpleString()
     judged = rows.select("doc_id", out.alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, nearness double")
     return judged.withColumnRenamed("doc_id", id_col)
+
+
+def keep_known(df: DataFrame, *, modulus: int = 4, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of df, whole, whose text is in some learned language; map-only once learned.
+
+    Texts that are null, or without a letter, or with nothing in common with any profile, go.
+    """
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    model = df.sparkSession.sparkContext.broadcast(learn(rows.where(~held_out(F.col("doc_id"), modulus, remainder))))
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: model.value.judge(t)[1] > 0)
+
+    return df.where(known(F.col(text_col)))

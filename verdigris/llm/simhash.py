@@ -331,3 +331,17 @@ def copy_groups(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text_c
     labelled = distinct.join(roots, distinct.item == roots.node, "left").select("item", "least", F.coalesce("root", "item").alias("root"))
     named = labelled.join(labelled.groupBy("root").agg(F.min("least").alias("group_id")), "root").select("item", "group_id")
     return marked.join(named, "item").select(F.col("id").alias(id_col), "group_id")
+
+
+def keep_one(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, whole, one for each group of copies: that with the least key.
+
+    Rows without a key stand under a hash of their text. Rows that share a key and are both
+    chosen are one document, of which one row stays.
+    """
+    stand_in = F.lit(-(1 << 62)) + F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) % F.lit(1 << 61)
+    key = F.coalesce(F.col(id_col).cast("long"), stand_in)
+    groups = copy_groups(df.select(key.alias("key"), F.col(text_col).alias("text")), words=words, id_col="key")
+    chosen = groups.select(F.col("group_id").alias("__chosen")).distinct()
+    kept = df.withColumn("__key", key).join(chosen, F.col("__key") == F.col("__chosen"), "left_semi")
+    return kept.dropDuplicates(["__key"]).drop("__key")
