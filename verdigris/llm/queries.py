@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import byte_bpe, hnsw, katz, language_id, packing, simhash, token_counts, toxicity, url_filters
+from verdigris.llm import byte_bpe, hnsw, katz, language_id, media, packing, simhash, token_counts, toxicity, url_filters
 from verdigris.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copy class of every picture rendered from the embeddings, and of their edited copies."""
+    return media.copies(media.rendered(table(spark, sf_dir, "embeddings")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by a two-tier lookup."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op4_media_copies": op4_media_copies,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
     "op7_hnsw": op7_hnsw,
