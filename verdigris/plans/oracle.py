@@ -200,6 +200,14 @@ FINAL = {
     "zones": """SELECT project, count(*) FILTER (s) AS tracked, count(*) FILTER (NOT tr AND NOT deny) AS ignored_sensitive, count(*) FILTER (s AND starts_with(path, 'docs/')) AS docs, count(*) FILTER (s AND path LIKE '%fixtures/%') AS fixtures,
       count(*) FILTER (s AND regexp_matches(path, 'node_modules/|vendor/|third_party/')) AS third_party, count(*) FILTER (s AND regexp_matches(path, '/generated/|/dist/|/build/|_generated')) AS generated, count(*) FILTER (deny) AS excluded
       FROM (SELECT *, tr AND NOT deny AS s FROM (SELECT *, NOT ends_with(path, 'm2.py') AS tr, starts_with(path, 'lib/') AS deny FROM path)) GROUP BY project""",
+    "parse_reports": f"""SELECT project, tool, rule_id, sev AS severity, cat AS category, file, line, count(*) AS count, CAST(0 AS BIGINT) AS problems FROM (
+      SELECT *, CASE tool WHEN 'bandit' THEN CASE severity WHEN 'high' THEN 'high' WHEN 'low' THEN 'low' ELSE 'medium' END
+          WHEN 'ruff' THEN CASE WHEN starts_with(rule_id, 'S') THEN 'high' WHEN starts_with(rule_id, 'W') THEN 'low' ELSE 'medium' END ELSE 'medium' END AS sev,
+        CASE tool WHEN 'bandit' THEN 'security' WHEN 'ruff' THEN CASE WHEN rule_id = 'F401' THEN 'dead_code' WHEN starts_with(rule_id, 'S') THEN 'security' WHEN starts_with(rule_id, 'C90') THEN 'maintainability' ELSE 'lint' END ELSE 'lint' END AS cat
+      FROM f WHERE tool IN ('ruff', 'bandit', 'opengrep')) GROUP BY ALL""",
+    "text_findings": "SELECT doc_id, source, 'probable_secret_exposure' AS rule_id FROM documents WHERE regexp_matches(text, '(?i)(key|token|password|secret)[ ]*[=:]') UNION ALL SELECT doc_id, source, 'mail_address' FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z]{2,}')",
+    "event_payloads": "SELECT event_type, count(*) AS count, CAST(sum(strlen(props)) AS BIGINT) AS payload_bytes, count(DISTINCT sha256(props)) AS distinct_payloads FROM events GROUP BY ALL",
+    "page_families": "SELECT CASE WHEN t = '' THEN 'generic' ELSE array_to_string(list_slice(string_split(t, ' '), 1, 2), ' ') END AS message_family, count(*) AS count FROM (SELECT " + regex("lower(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)))", (r"\d+", "#"), (r"['\"`].*?['\"`]", "<x>"), (r"\s+", " ")) + " AS t FROM pages) GROUP BY ALL",
 }
 
 
@@ -214,5 +222,5 @@ def sql() -> dict[str, str]:
             needed |= found
             todo += [PARTS[p] for p in found]
         parts = ",\n".join(f"{p} AS ({PARTS[p]})" for p in names if p in needed)
-        out[name] = f"WITH {parts}\n{final}"
+        out[name] = f"WITH {parts}\n{final}" if parts else final
     return out

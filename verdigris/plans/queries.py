@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from verdigris.operators import baseline, findings as ops, history, inventory, portal, recommend, scoring
 from verdigris.schemas import SEVERITY_RANK, lookup
-from verdigris.sources import derived
+from verdigris.functions import text
+from verdigris.sources import derived, reports
 
 RUN = ["project", "run_id"]
 #: The moment that baselines and retention are judged at.
@@ -189,4 +190,39 @@ def q_zones(spark: SparkSession, d: str) -> DataFrame:
     return inventory.zones(files(spark, d).withColumn("tracked", ~F.col("path").endswith("m2.py")), ["lib/**"], ["m2.*"])
 
 
+def q_parse_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Findings written as reports in three dialects, an entry each, and read back."""
+    rows = derived.findings(spark, d)
+    c = F.col
+    place = F.struct(F.struct(F.struct(c("file").alias("uri")).alias("artifactLocation"), F.struct(c("line").alias("startLine")).alias("region")).alias("physicalLocation"))
+    stdout = (
+        F.when(c("tool") == "ruff", F.to_json(F.array(F.struct(c("rule_id").alias("code"), "message", c("file").alias("filename"), F.struct(c("line").alias("row")).alias("location")))))
+        .when(c("tool") == "bandit", F.to_json(F.struct(F.array(F.struct(c("rule_id").alias("test_id"), c("message").alias("issue_text"), c("file").alias("filename"), c("line").alias("line_number"), F.upper("severity").alias("issue_severity"))).alias("results"))))
+        .when(c("tool") == "opengrep", F.to_json(F.struct(F.array(F.struct(F.array(F.struct(c("rule_id").alias("ruleId"), F.struct(c("message").alias("text")).alias("message"), F.array(place).alias("locations"))).alias("results"))).alias("runs"))))
+    )
+    made = rows.where(c("tool").isin("ruff", "bandit", "opengrep")).select("project", "run_id", "tool", stdout.alias("stdout"), F.lit("").alias("stderr"), F.lit("").alias("root"))
+    found = reports.parse(made, "ruff").unionByName(reports.parse(made, "bandit")).unionByName(reports.parse(made, "opengrep"))
+    return found.groupBy("project", "tool", "rule_id", "severity", "category", "file", "line").agg(F.count("*").alias("count"), F.count("problem").alias("problems"))
+
+
+def q_text_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an assignment of a secret or an address, as rule hits."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    hits = F.array_compact(F.array(F.when(F.regexp_like("text", F.lit("(?i)(key|token|password|secret)[ ]*[=:]")), F.lit("probable_secret_exposure")), F.when(F.regexp_like("text", F.lit("[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z]{2,}")), F.lit("mail_address"))))
+    return docs.select("doc_id", "source", F.explode(hits).alias("rule_id"))
+
+
+def q_event_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Size and identity of events' payloads, by type."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    return events.groupBy("event_type").agg(F.count("*").alias("count"), F.sum(F.octet_length("props")).alias("payload_bytes"), F.count_distinct(F.sha2("props", 256)).alias("distinct_payloads"))
+
+
+def q_page_families(spark: SparkSession, d: str) -> DataFrame:
+    """Pages by the family of their title's first words."""
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return pages.groupBy(text.message_family(title).alias("message_family")).agg(F.count("*").alias("count"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
