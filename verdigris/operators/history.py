@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from verdigris.schemas import round_half_up
 
-BY_PROJECT = Window.partitionBy("project")
+
+def by_project():
+    return Window.partitionBy("project")
 
 
 def scan_time(scan_id: Column) -> Column:
@@ -17,7 +19,7 @@ def scan_time(scan_id: Column) -> Column:
 
 def trend(cards: DataFrame) -> DataFrame:
     """Adds previous_score and trend_delta to runs with project, run_id and overall_score."""
-    previous = F.lag("overall_score").over(BY_PROJECT.orderBy("run_id"))
+    previous = F.lag("overall_score").over(by_project().orderBy("run_id"))
     return cards.withColumn("previous_score", previous).withColumn("trend_delta", round_half_up(F.col("overall_score") - F.col("previous_score"), 2))
 
 
@@ -30,7 +32,7 @@ def prune_keep(runs: DataFrame, keep: int) -> DataFrame:
     """Runs to delete so that each project keeps its last ones."""
     if keep < 1:
         raise ValueError("keep must be at least 1")
-    return runs.withColumn("__n", F.row_number().over(BY_PROJECT.orderBy(F.desc("run_id")))).where(F.col("__n") > keep).drop("__n")
+    return runs.withColumn("__n", F.row_number().over(by_project().orderBy(F.desc("run_id")))).where(F.col("__n") > keep).drop("__n")
 
 
 def prune_older(runs: DataFrame, now: Column, days: int, at: Column | None = None) -> DataFrame:
@@ -38,7 +40,7 @@ def prune_older(runs: DataFrame, now: Column, days: int, at: Column | None = Non
     if days < 1:
         raise ValueError("days must be at least 1")
     time = scan_time(F.col("run_id")) if at is None else at
-    last = F.max("run_id").over(BY_PROJECT)
+    last = F.max("run_id").over(by_project())
     return runs.withColumn("__last", last).where((time < now - F.expr(f"interval {days} days")) & (F.col("run_id") != F.col("__last"))).drop("__last")
 
 

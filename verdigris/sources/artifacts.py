@@ -72,14 +72,14 @@ def portal_pages(cards: DataFrame, files: DataFrame, families: DataFrame, plan:
         "families": families.select(*RUN, F.to_json(F.struct("run_id", "rule_family", "count")).alias("row"), "rank"),
         "plan": plan.where("list = 'top'").select(*RUN, F.to_json(F.struct("run_id", "title", "priority_score")).alias("row"), F.col("place").alias("rank")),
     }
-    rows = None
+    sections, rows = list(kinds), None
     for kind, df in kinds.items():
         part = df.withColumn("kind", F.lit(kind))
         rows = part if rows is None else rows.unionByName(part)
 
     def render(pdf: pd.DataFrame) -> pd.DataFrame:
         project, body = pdf["project"].iloc[0], ""
-        for kind in kinds:
+        for kind in sections:
             part = pdf[pdf["kind"] == kind].sort_values(["run_id", "rank"])
             found = [json.loads(x) for x in part["row"]]
             names = list(dict.fromkeys(k for x in found for k in x))
