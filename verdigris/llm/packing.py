@@ -34,7 +34,7 @@ from verdigris.llm.common import BoundedCache, byte_letters, quiet_tokenizers
 from verdigris.llm.token_counts import settled
 
 #: Entries of a worker's cache of word ids, and the longest word it keeps.
-CACHE_ENTRIES, CACHE_KEY = 1 << 19, 64
+CACHE_ENTRIES, CACHE_KEY = 1 << 18, 64
 #: Pieces that a task holds at a time.
 WINDOW = 1024
 
@@ -244,9 +244,9 @@ def pack(df: DataFrame, encode: Callable[[list], list[tuple[bytes, bytes | None]
             if schema is None:
                 long, int_ = pa.int64(), pa.int32()
                 schema = pa.schema([("id", batch.schema.field("id").type), ("start", long), ("length", long), ("ids_crc32", long), ("doc_tokens", long), ("sequence_id", long), ("offset", long), ("segment", int_), ("loss_tokens", long)])
-            keys, rows = batch.column(0).to_pylist(), list(zip(*(c.to_pylist() for c in batch.columns[1:])))
-            for at in range(0, len(rows), 64):
-                for key, (ids, mask) in zip(keys[at : at + 64], encode(rows[at : at + 64])):
+            for at in range(0, batch.num_rows, 64):
+                keys, *columns_ = (c.to_pylist() for c in batch.slice(at, 64).columns)
+                for key, (ids, mask) in zip(keys, encode(list(zip(*columns_)))):
                     packer.add(key, ids, mask)
             if len(out) >= 4096:
                 yield flush(schema)

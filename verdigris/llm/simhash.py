@@ -34,7 +34,7 @@ SEED = 42
 #: Fingerprints in a range, at least about, and ranges at most.
 RANGE, MAX_NODES = 1 << 14, 50_000
 #: Children of a tree node; queries that go down a tree at a time.
-FAN, BLOCK = 8, 512
+FAN, BLOCK = 8, 128
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LANE = np.uint64(0x0101010101010101)
@@ -254,7 +254,7 @@ def spanning_edges(items: DataFrame, radius: int, payload_radius: int | None = N
                 q, found = q[near], found[near]
             if len(q):
                 forest.join(q, found)
-                if len(q) > BLOCK:  # spare later blocks the links that say nothing new
+                if len(q) > 4 * BLOCK:  # spare later blocks the links that say nothing new
                     label = np.array([forest.find(i) for i in range(len(item))])
         root = np.array([forest.find(i) for i in range(len(item))], np.int64)
         joined = np.flatnonzero(item[root] != item)
