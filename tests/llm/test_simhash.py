@@ -94,3 +94,53 @@ def test_copy_groups_find_edited_texts_and_leave_others(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.group_id for r in simhash.copy_groups(df).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def edited(rng, words, share):
+    """The words with runs of new ones at the end, so that about the share of all five-word shingles is common."""
+    n = len(words) - 4
+    new = round(n * (1 - share) / (1 + share))
+    return words[: len(words) - new] + [f"new{x}" for x in rng.integers(0, 1 << 30, new)]
+
+
+def runs(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_only_pairs_alike_in_four_fifths_link(spark):
+    rng = np.random.default_rng(8)
+    texts, kind = [], []
+    for share in (0.7, 0.75, 0.785, 0.8, 0.815, 0.85):
+        for _ in range(60):
+            words = [f"v{i}" for i in rng.integers(0, 1 << 30, 300)]
+            texts += [" ".join(words), " ".join(edited(rng, words, share))]
+            kind.append(share)
+    got = {r.doc_id: r.group_id for r in simhash.copy_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    found = {}
+    for k, share in enumerate(kind):
+        a, b = runs(texts[2 * k]), runs(texts[2 * k + 1])
+        true, linked = 5 * len(a & b) >= 4 * len(a | b), got[2 * k] == got[2 * k + 1]
+        assert true or not linked
+        if true:
+            found.setdefault(share, []).append(linked)
+    assert {0.815, 0.85} <= set(found) and not {0.7, 0.75, 0.785} & set(found)
+    assert sum(map(sum, found.values())) >= 0.97 * sum(map(len, found.values()))
+
+
+def test_a_repeated_line_does_not_link_texts(spark):
+    rng = np.random.default_rng(9)
+    line = " ".join(f"l{i}" for i in range(8)) + " "
+    texts = [line * 50 + " ".join(f"v{i}" for i in rng.integers(0, 1 << 30, 200)) for _ in range(40)]
+    got = simhash.copy_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len({r.group_id for r in got}) == 40
+
+
+def test_links_behind_a_failed_edge_are_found(spark):
+    """A chain of texts each alike with the next only: proposals beyond it fail, its links hold."""
+    rng = np.random.default_rng(10)
+    stream = [f"v{i}" for i in rng.integers(0, 1 << 30, 1100)]
+    texts = [" ".join(stream[k : k + 500]) for k in range(0, 600, 40)] + [" ".join(stream[k : k + 500]) for k in (20, 60)]
+    order = rng.permutation(len(texts))
+    got = simhash.copy_groups(spark.createDataFrame([(int(i), texts[j]) for i, j in enumerate(order)], "doc_id long, text string")).collect()
+    assert {r.group_id for r in got} == {0}

@@ -185,11 +185,12 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def spanning_edges(items: DataFrame, radius: int, payload_radius: int | None = None) -> DataFrame:
+def spanning_edges(items: DataFrame, radius: int, payload_radius: int | None = None, *, labelled: bool = False) -> DataFrame:
     """Spanning edges (a, b) of the links among items (code long, item long, payload binary).
 
     Codes link within the radius; with a payload radius, only if the payloads' bits also differ
-    in no more than that. An item may have several codes.
+    in no more than that. An item may have several codes. If labelled, the last 64 bits of a
+    payload are a label, and the edges are all links of items with different labels.
     """
     spark = items.sparkSession
     n = items.count()
@@ -243,6 +244,9 @@ def spanning_edges(items: DataFrame, radius: int, payload_radius: int | None = N
             payload = np.frombuffer(b"".join(r["payloads"] for r in rows), "<u8").reshape(len(item), -1)[order]
         forest, tree = Forest(len(item)), GrayTree(codes[:home])
         label = np.arange(len(item))
+        if labelled:
+            label, payload = payload[:, -1], payload[:, :-1]
+        crossing = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         for q, found in tree.search(codes, radius):
             new = (found < q) & (label[q] != label[found])
             q, found = q[new], found[new]
@@ -252,10 +256,16 @@ def spanning_edges(items: DataFrame, radius: int, payload_radius: int | None = N
                     part = slice(at, at + (1 << 18))
                     near[part] = np.bitwise_count(payload[q[part]] ^ payload[found[part]]).sum(1) <= payload_radius
                 q, found = q[near], found[near]
-            if len(q):
+            if labelled:
+                crossing.append((q, found))
+            elif len(q):
                 forest.join(q, found)
                 if len(q) > 4 * BLOCK:  # spare later blocks the links that say nothing new
                     label = np.array([forest.find(i) for i in range(len(item))])
+        if labelled:
+            q, found = (np.concatenate(x) for x in zip(*crossing))
+            ends = np.unique(np.stack([np.maximum(item[q], item[found]), np.minimum(item[q], item[found])], 1), axis=0)
+            return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
         root = np.array([forest.find(i) for i in range(len(item))], np.int64)
         joined = np.flatnonzero(item[root] != item)
         return pa.table({"a": item[joined], "b": item[root[joined]]})
@@ -287,9 +297,13 @@ def near_duplicates(df: DataFrame, *, words: int = 3, radius: int = 2, id_col: s
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For texts that are alike in about four fifths of their five-word shingles: parts of 64 bits
-#: of a wide fingerprint, bits of each code cut from it, bits in which copies may differ.
-PARTS, CODE_BITS, COPY_BITS = 4, 24, 46
+#: Two texts are copies if they share this part (over, under) of their distinct shingles.
+ALIKE = (4, 5)
+#: What proposes pairs: parts of 64 bits of a wide fingerprint, bits of each code cut from it,
+#: parts that are compared as a whole, and bits in which those may differ.
+PARTS, CODE_BITS, WHOLE, COPY_BITS = 6, 24, 2, 34
+#: Texts that are compared at a time, for the worker's memory.
+SLICE = 64
 
 
 def codes_of(parts: list[int]) -> list[int]:
@@ -302,32 +316,79 @@ def codes_of(parts: list[int]) -> list[int]:
     return out
 
 
-def copy_groups(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, group_id) of each row: near copies by wide fingerprints of five-word shingles.
+def alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(a, b, alike) of each pair (a, b) of texts (item, text): whether they share the part ALIKE of
+    their distinct shingles, by all of both."""
+    over, under = ALIKE
+
+    def run(batches: Iterator) -> Iterator:
+        name, mine = None, None
+        for b in batches:
+            found = []
+            for at in range(0, b.num_rows, SLICE):
+                for a, x, y in zip(*(b.column(c).slice(at, SLICE).to_pylist() for c in ("a", "mine", "theirs"))):
+                    if a != name:
+                        name, mine = a, np.unique(shingle_hashes(x, words))
+                    theirs = np.unique(shingle_hashes(y, words))
+                    both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                    found.append(under * both >= over * (len(mine) + len(theirs) - both))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(found, pa.bool_())], names=["a", "b", "alike"])
 
-    Two texts link if their wide fingerprints differ in at most COPY_BITS bits and some code cut
-    from them in at most two, which the index finds. Equal wide fingerprints are one item.
-    group_id is the least key of the group.
+    sided = pairs.join(texts.toDF("b", "theirs"), "b").join(texts.toDF("a", "mine"), "a")
+    return sided.select("a", "b", "mine", "theirs").mapInArrow(run, "a long, b long, alike boolean")
+
+
+def copy_groups(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, group_id) of each row: copies by the distinct five-word shingles of whole texts.
+
+    The index only proposes pairs: those whose wide fingerprints have some code that differs in
+    at most two bits, and differ in at most COPY_BITS bits of the parts compared as a whole. A
+    proposed pair links if the texts are alike. First a spanning forest of the proposals is
+    held against the texts, then all proposals between the groups of that which a failed edge
+    leaves apart; so a proposal is left out only if its texts are in one group already. Texts
+    with the same shingles are one item. group_id is the least key of the group.
     """
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            found = [wide(shingle_hashes(t.as_py(), words), PARTS) for t in b.column("text")]
-            payload = [np.array(p, "<u8").tobytes() for p in found]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([xxhash.xxh64_intdigest(p, SEED) - (1 << 63) for p in payload], pa.int64()), pa.array(payload, pa.binary())], names=["id", "item", "payload"])
+            found = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column("text")]
+            payload = [np.array(wide(h, PARTS), "<u8").tobytes() for h in found]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) for h in found], pa.int64()), pa.array(payload, pa.binary())], names=["id", "mark", "item", "payload"])
 
     def coded(batches: Iterator) -> Iterator:
         for b in batches:
-            codes = [codes_of(np.frombuffer(p, "<u8").tolist()) for p in b.column("payload").to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(codes)), [len(c) for c in codes]))
-            rows = b.take(at)
-            yield pa.RecordBatch.from_arrays([pa.array([x for c in codes for x in c], pa.int64()), rows.column("item"), rows.column("payload")], names=["code", "item", "payload"])
+            parts = [np.frombuffer(p, "<u8") for p in b.column("payload").to_pylist()]
+            labels = [b"" if x is None else x.to_bytes(8, "little", signed=True) for x in b.column("label").to_pylist()]
+            codes = [codes_of(p.tolist()) for p in parts]
+            at = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+            seen = pa.array([p[:WHOLE].tobytes() + x for p, x in zip(parts, labels)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x for c in codes for x in c], pa.int64()), b.column("item").take(pa.array(at)), seen.take(pa.array(at))], names=["code", "item", "payload"])
+
+    def proposed(items: DataFrame, labelled: bool) -> DataFrame:
+        codes = items.select("item", "payload", "label").mapInArrow(coded, "code long, item long, payload binary")
+        edges = spanning_edges(codes, 2, COPY_BITS, labelled=labelled)
+        return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     kind = df.schema[id_col].dataType.simpleString()
-    marked = written(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, item long, payload binary"), "wide-fingerprints")
-    distinct = checkpointed(marked.groupBy("item").agg(F.min("id").alias("least"), F.first("payload").alias("payload")))
-    codes = distinct.select("item", "payload").mapInArrow(coded, "code long, item long, payload binary")
-    roots = components(spanning_edges(codes, 2, COPY_BITS))
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
+    marked = written(rows.mapInArrow(run, f"id {kind}, mark long, item long, payload binary"), "wide-fingerprints")
+    distinct = checkpointed(marked.groupBy("item").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.first("payload").alias("payload")))
+
+    first = checkpointed(proposed(distinct.withColumn("label", F.lit(None).cast("long")), False))
+    near = distinct.join(first.select("a").union(first.select("b")).distinct().toDF("item"), "item")
+    texts = written(rows.join(near.select("item", "mark"), "mark").select("item", "text").dropDuplicates(["item"]), "near-texts")
+    judged = checkpointed(alike(first, texts, words))
+    sure = judged.where("alike").select("a", "b")
+    roots = components(sure)
+    labels = checkpointed(near.join(roots, near.item == roots.node, "left").select("item", "payload", F.coalesce("root", "item").alias("label")))
+
+    name = labels.select("item", "label")
+    failed = judged.where("not alike").join(name.toDF("a", "of_a"), "a").join(name.toDF("b", "of_b"), "b").where("of_a <> of_b")
+    apart = failed.select("of_a").union(failed.select("of_b")).distinct().toDF("label")
+    rest = proposed(checkpointed(labels.join(apart, "label", "left_semi")), True).join(judged.select("a", "b"), ["a", "b"], "left_anti")
+    more = checkpointed(alike(rest, texts, words).where("alike").select("a", "b"))
+    if not more.isEmpty():
+        roots = components(sure.union(more))
     labelled = distinct.join(roots, distinct.item == roots.node, "left").select("item", "least", F.coalesce("root", "item").alias("root"))
     named = labelled.join(labelled.groupBy("root").agg(F.min("least").alias("group_id")), "root").select("item", "group_id")
     return marked.join(named, "item").select(F.col("id").alias(id_col), "group_id")
