@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from verdigris.llm import toxicity
 
@@ -50,3 +51,19 @@ def test_held_out_quality(spark):
     y = got["toxic"] == 1
     auc = (rank[y].mean() - (y.sum() + 1) / 2) / (len(y) - y.sum())
     assert auc > 0.9
+
+
+def test_an_overlong_row_does_not_end_the_sample(spark):
+    bad, good = "you idiot moron go away now", "you are kind please stay with us"
+    for long in ("first", "all"):
+        rows = [(i, (good, bad)[i % 2] * (3000 if long == "all" else 1)) for i in range(60)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+        if long == "first":  # the row of each label that the hash puts first
+            for y in (0, 1):
+                one = labels.where(f"toxic = {y} and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").selectExpr("doc_id").orderBy(F.xxhash64("doc_id")).first().doc_id
+                rows[one] = (one, rows[one][1] * 3000)
+            docs = spark.createDataFrame(rows, "doc_id long, text string")
+        model = toxicity.learn(docs, labels, train_bytes={1: 5000, 0: 5000})
+        scores = toxicity.Scorer(model)([bad, good])
+        assert scores[0] > 0.5 > scores[1], long

@@ -7,7 +7,9 @@ trained together in numpy by full-batch Adam on the driver, so a misspelling nev
 most of its vectors with the word it stands for.
 
 Training reads whole texts of a bounded sample of the labelled rows: at most TRAIN_ROWS rows
-and TRAIN_BYTES bytes a label, in the order of a hash of the key. Whole texts are scored, map-only.
+and TRAIN_BYTES bytes a label, in the order of a hash of the key; a text that would overrun the
+bytes is passed over, but the shortest LEAST_ROWS of a label teach if fewer fit. Whole texts are
+scored, map-only.
 Null and empty texts, and those without a word, get the score of the bias alone; if either
 label has no row to learn from, every score is the share of label 1 (0 without any rows). Null
 labels teach nothing; of repeated labels the largest holds; a null key counts as the empty text
@@ -35,6 +37,8 @@ GRAMS = (3, 4, 5)
 TABLE_BITS, WIDTH = 17, 4
 #: Rows and bytes of each label that teach; neutral words that each average takes in.
 TRAIN_ROWS, TRAIN_BYTES, NEUTRAL = {1: 2500, 0: 4000}, {1: 6_000_000, 0: 10_000_000}, 6
+#: Rows of a label that teach, however long they are.
+LEAST_ROWS = 4
 #: Share of label 1 that the score assumes.
 PRIOR = 0.33
 STEPS, RATE, DECAY = 60, 0.4, 2e-6
@@ -153,12 +157,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: in
     present = known.join(sizes.groupBy("doc_id").agg(F.max("size").alias("size")), "doc_id")
     chosen: dict[object, int] = {}
     for label in (1, 0):
-        spent = 0
-        for r in present.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows[label]).collect():
-            spent += r["size"]
-            if spent > train_bytes[label]:
-                break
-            chosen[r["doc_id"]] = label
+        own = present.where(F.col("toxic") == label)
+        spent, taken = 0, []
+        for r in own.where(F.col("size") <= train_bytes[label]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows[label]).collect():
+            if spent + r["size"] <= train_bytes[label]:
+                spent += r["size"]
+                taken.append(r["doc_id"])
+        if len(taken) < LEAST_ROWS:
+            shortest = own.orderBy("size", F.xxhash64("doc_id"), "doc_id").limit(min(LEAST_ROWS, train_rows[label])).collect()
+            taken += [r["doc_id"] for r in shortest if r["doc_id"] not in taken][: LEAST_ROWS - len(taken)]
+        chosen |= dict.fromkeys(taken, label)
     if not chosen:
         return train([], [])
     spark = docs.sparkSession
