@@ -144,3 +144,10 @@ def test_links_behind_a_failed_edge_are_found(spark):
     order = rng.permutation(len(texts))
     got = simhash.copy_groups(spark.createDataFrame([(int(i), texts[j]) for i, j in enumerate(order)], "doc_id long, text string")).collect()
     assert {r.group_id for r in got} == {0}
+
+
+def test_different_texts_under_one_key_are_judged_apart(spark):
+    rng = np.random.default_rng(11)
+    a, b, c = (" ".join(f"v{i}" for i in rng.integers(0, 1 << 30, 100)) for _ in range(3))
+    df = spark.createDataFrame([(1, a), (1, b), (2, b), (2, c), (2, c), (3, a)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(df).collect()) == sorted([(1, a), (1, b), (2, c)])

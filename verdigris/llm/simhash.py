@@ -25,7 +25,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import checkpointed, written
@@ -316,6 +316,10 @@ def codes_of(parts: list[int]) -> list[int]:
     return out
 
 
+def mark_of(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(a, b, alike) of each pair (a, b) of texts (item, text): whether they share the part ALIKE of
     their distinct shingles, by all of both."""
@@ -338,8 +342,9 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return sided.select("a", "b", "mine", "theirs").mapInArrow(run, "a long, b long, alike boolean")
 
 
-def copy_groups(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, group_id) of each row: copies by the distinct five-word shingles of whole texts.
+def marked_groups(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, mark, root, group_id) of each row: copies by the distinct five-word shingles of whole
+    texts. mark is a hash of the text, and root names the group.
 
     The index only proposes pairs: those whose wide fingerprints have some code that differs in
     at most two bits, and differ in at most COPY_BITS bits of the parts compared as a whole. A
@@ -370,7 +375,7 @@ def copy_groups(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text_c
         return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).alias("id"), mark_of(text_col).alias("mark"), F.col(text_col).alias("text"))
     marked = written(rows.mapInArrow(run, f"id {kind}, mark long, item long, payload binary"), "wide-fingerprints")
     distinct = checkpointed(marked.groupBy("item").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.first("payload").alias("payload")))
 
@@ -390,19 +395,24 @@ def copy_groups(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text_c
     if not more.isEmpty():
         roots = components(sure.union(more))
     labelled = distinct.join(roots, distinct.item == roots.node, "left").select("item", "least", F.coalesce("root", "item").alias("root"))
-    named = labelled.join(labelled.groupBy("root").agg(F.min("least").alias("group_id")), "root").select("item", "group_id")
-    return marked.join(named, "item").select(F.col("id").alias(id_col), "group_id")
+    named = labelled.join(labelled.groupBy("root").agg(F.min("least").alias("group_id")), "root").select("item", "root", "group_id")
+    return marked.join(named, "item").select(F.col("id").alias(id_col), "mark", "root", "group_id")
+
+
+def copy_groups(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, group_id) of each row."""
+    return marked_groups(df, words=words, id_col=id_col, text_col=text_col).select(id_col, "group_id")
 
 
 def keep_one(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, whole, one for each group of copies: that with the least key.
 
-    Rows without a key stand under a hash of their text. Rows that share a key and are both
-    chosen are one document, of which one row stays.
+    Rows without a key stand under a hash of their text. Rows that share a key are told apart by
+    their text; of equal rows one stays.
     """
     stand_in = F.lit(-(1 << 62)) + F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) % F.lit(1 << 61)
     key = F.coalesce(F.col(id_col).cast("long"), stand_in)
-    groups = copy_groups(df.select(key.alias("key"), F.col(text_col).alias("text")), words=words, id_col="key")
-    chosen = groups.select(F.col("group_id").alias("__chosen")).distinct()
-    kept = df.withColumn("__key", key).join(chosen, F.col("__key") == F.col("__chosen"), "left_semi")
-    return kept.dropDuplicates(["__key"]).drop("__key")
+    groups = marked_groups(df.select(key.alias("key"), F.col(text_col).alias("text")), words=words, id_col="key")
+    chosen = groups.groupBy("root").agg(F.min(F.struct("key", "mark")).alias("one")).select(F.col("one.key").alias("__key"), F.col("one.mark").alias("__mark"))
+    kept = df.withColumns({"__key": key, "__mark": mark_of(text_col)}).join(chosen, ["__key", "__mark"], "left_semi")
+    return kept.dropDuplicates(["__key", "__mark"]).drop("__key", "__mark").select(df.columns)
