@@ -6,7 +6,6 @@ import os
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +54,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+#: A key is hot if it holds more than one in so many rows, so at most so many keys are hot.
+HOT = 1000
+
+
+def hot_join(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """rows joined to named (key, ..., n), n being the number of rows with the key, at least. The
+    hot keys, at most HOT, are broadcast, so that no key's rows meet in one task."""
+    total = rows.count()
+    hot = F.broadcast(named.where(F.col("n") > F.lit(max(total // HOT, 1))).drop("n"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(named.drop("n"), key)
+    return rest.unionByName(rows.join(hot, key))
 
 
 class BoundedCache(dict):
@@ -75,17 +83,6 @@ class BoundedCache(dict):
         return value
 
 
-def batches(items: Iterable, size: int) -> Iterable[list]:
-    held = []
-    for x in items:
-        held.append(x)
-        if len(held) >= size:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
 def quiet_tokenizers() -> None:
     """One thread in each task: the scheduler has given the task one core."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import checkpointed, written
+from verdigris.llm.common import checkpointed, hot_join, written
 
 SEED = 42
 #: Fingerprints in a range, at least about, and ranges at most.
@@ -160,8 +160,10 @@ def components(edges: DataFrame) -> DataFrame:
     def turned(e: DataFrame) -> DataFrame:
         return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+    def settled(e: DataFrame) -> bool:
+        """Whether each node either has one edge down or only edges from above."""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         low, high = F.least("a", "b"), F.greatest("a", "b")
@@ -174,17 +176,23 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where("a <> b").distinct()
 
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = mark(edges)
-    while before[0]:
+    while not settled(edges):
         edges = checkpointed(star(star(edges, large=True), large=False))
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def named_groups(items: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """items (key, least, n) with the root of each, itself if it has none in roots (node, root), and
+    group_id, the least of the root's. No root's items meet in one task."""
+    joined = checkpointed(items.join(roots, items[key] == roots.node, "left").select(*items.columns, "root"))
+    rooted = joined.where("root is not null")
+    groups = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("group_id"), F.count("*").alias("n")))
+    grouped = hot_join(rooted.withColumnRenamed("n", "rows"), groups, "root").withColumnRenamed("rows", "n")
+    alone = joined.where("root is null").withColumns({"root": F.col(key), "group_id": F.col("least")})
+    return grouped.select(*items.columns, "root", "group_id").unionByName(alone.select(*items.columns, "root", "group_id"))
+
+
 def spanning_edges(items: DataFrame, radius: int, payload_radius: int | None = None, *, labelled: bool = False) -> DataFrame:
     """Spanning edges (a, b) of the links among items (code long, item long, payload binary).
 
@@ -288,12 +296,10 @@ def fingerprints(df: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_
 def near_duplicates(df: DataFrame, *, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) of each row; fingerprints link within the radius."""
     marked = written(fingerprints(df, words=words, id_col=id_col, text_col=text_col), "fingerprints")
-    distinct = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    distinct = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     edges = spanning_edges(distinct.select(F.col("fp").alias("code"), F.col("fp").alias("item"), F.lit(None).cast("binary").alias("payload")), radius)
-    roots = components(edges)
-    labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = labelled.join(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    out = marked.join(named, "fp")
+    named = checkpointed(named_groups(distinct, components(edges), "fp").select("fp", F.col("group_id").alias("component_id"), "n"))
+    out = hot_join(marked, named, "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -377,7 +383,7 @@ def marked_groups(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), mark_of(text_col).alias("mark"), F.col(text_col).alias("text"))
     marked = written(rows.mapInArrow(run, f"id {kind}, mark long, item long, payload binary"), "wide-fingerprints")
-    distinct = checkpointed(marked.groupBy("item").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.first("payload").alias("payload")))
+    distinct = checkpointed(marked.groupBy("item").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.first("payload").alias("payload"), F.count("*").alias("n")))
 
     first = checkpointed(proposed(distinct.withColumn("label", F.lit(None).cast("long")), False))
     near = distinct.join(first.select("a").union(first.select("b")).distinct().toDF("item"), "item")
@@ -394,9 +400,8 @@ def marked_groups(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text
     more = checkpointed(alike(rest, texts, words).where("alike").select("a", "b"))
     if not more.isEmpty():
         roots = components(sure.union(more))
-    labelled = distinct.join(roots, distinct.item == roots.node, "left").select("item", "least", F.coalesce("root", "item").alias("root"))
-    named = labelled.join(labelled.groupBy("root").agg(F.min("least").alias("group_id")), "root").select("item", "root", "group_id")
-    return marked.join(named, "item").select(F.col("id").alias(id_col), "mark", "root", "group_id")
+    named = checkpointed(named_groups(distinct.select("item", "least", "n"), roots, "item").select("item", "root", "group_id", "n"))
+    return hot_join(marked.select("id", "mark", "item"), named, "item").select(F.col("id").alias(id_col), "mark", "root", "group_id")
 
 
 def copy_groups(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
