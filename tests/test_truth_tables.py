@@ -2,7 +2,6 @@ import pytest
 
 from verdigris.operators import baseline, findings as ops, history, recommend, scoring
 from verdigris.functions import text
-from verdigris.functions.classify import security
 from pyspark.sql import functions as F
 
 CASES = [
@@ -27,8 +26,8 @@ CASES = [
 def test_classification(spark):
     rows = [(i, *c[0]) for i, c in enumerate(CASES)]
     df = spark.createDataFrame(rows, "i int, tool string, rule_id string, category string, file string, message string, raw_payload string")
-    got = df.select("i", security(*(F.col(c) for c in df.columns[1:])).alias("s")).orderBy("i").collect()
-    assert [(r.s.security_class, r.s.classification_reason, r.s.score_weight) for r in got] == [c[1:] for c in CASES]
+    got = ops.classify(df).orderBy("i").collect()
+    assert [(r.security_class, r.classification_reason, r.score_weight) for r in got] == [c[1:] for c in CASES]
 
 
 def test_scalars(spark):

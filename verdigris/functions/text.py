@@ -12,8 +12,12 @@ def _chain(x: Column, *steps: tuple[str, str]) -> Column:
     return x
 
 
+#: What patterns know as white space.
+BLANKS = " \t\n\x0b\f\r"
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def normalize_message(message: Column) -> Column:
@@ -37,12 +41,15 @@ def snippet_hash(raw_payload: Column) -> Column:
     return F.when(snippet != "", F.sha2(snippet, 256))
 
 
-def fingerprint(tool: Column, rule_id: Column, file: Column, symbol: Column, message: Column, raw_payload: Column) -> Column:
-    """Identity of a finding, whatever its line: by symbol if there is one, else by message and snippet."""
+def identity(symbol: Column, normal_message: Column, raw_payload: Column) -> Column:
+    """What tells findings of a rule in a file apart, whatever their line: the symbol if there is one,
+    else the normal message and the hash of the snippet."""
     named = strip(F.coalesce(symbol, F.lit("")))
-    by_symbol = F.concat_ws("|", tool, rule_id, file, named)
-    by_message = F.concat_ws("|", tool, rule_id, file, normalize_message(message), snippet_hash(raw_payload))
-    return F.sha2(F.when(named != "", by_symbol).otherwise(by_message), 256)
+    return F.when(named != "", named).otherwise(F.concat_ws("|", normal_message, snippet_hash(raw_payload)))
+
+
+def fingerprint(tool: Column, rule_id: Column, file: Column, identity: Column) -> Column:
+    return F.sha2(F.concat_ws("|", tool, rule_id, file, identity), 256)
 
 
 def ownership(file: Column) -> Column:

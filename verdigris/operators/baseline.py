@@ -34,8 +34,8 @@ def stats(findings: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
     totals = marked.agg(
         F.count_if("accepted").alias("accepted_entries"), F.count_if("expired").alias("expired_entries"), F.count_if("expiring_soon").alias("expiring_soon_entries"), F.count_if("missing_owner").alias("missing_owner_entries"),
         F.count_distinct(F.when(F.col("active") & F.col("accepted"), F.col("fingerprint"))).alias("active_fingerprints"),
-    ).first()
-    known = {name: F.lit(totals[name]) for name in totals.asDict()}
+    )
+    known = {name: totals.select(name).scalar() for name in totals.columns}
     new = F.col("gross_findings") - F.col("accepted_debt")
     return runs.select(
         *RUN, "gross_findings", "accepted_debt", new.alias("new_findings"), (known["active_fingerprints"] - F.col("hits")).alias("resolved_findings"), new.alias("scored_findings"),

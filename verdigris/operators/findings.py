@@ -6,35 +6,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import text
-from verdigris.functions.classify import security
+from verdigris.functions.classify import security_outcome, security_rule
 from verdigris.schemas import PARSER_CATEGORY, SEVERITY_RANK, lookup
 
 VERSION = "1"
 
 
 def normalize(findings: DataFrame) -> DataFrame:
-    """Adds what a published finding carries: normal message, identity, ownership, native severity."""
+    """Adds what a published finding carries: normal message, identity, ownership, native severity.
+
+    The normal message and the identity are columns of projections of their own, which the
+    optimizer does not merge into the next: each is computed once."""
     c = F.col
     owner = text.ownership(c("file"))
-    return findings.withColumns(
+    parts = findings.withColumn("normalized_message", text.normalize_message(c("message")))
+    return parts.withColumn("__identity", text.identity(c("symbol"), c("normalized_message"), c("raw_payload"))).withColumns(
         {
             "native_severity": F.coalesce(F.get_json_object("raw_payload", "$.native_severity"), c("severity")),
-            "normalized_message": text.normalize_message(c("message")),
-            "fingerprint": text.fingerprint(c("tool"), c("rule_id"), c("file"), c("symbol"), c("message"), c("raw_payload")),
-            "dedupe_key": text.fingerprint(F.lit("_"), c("rule_id"), c("file"), c("symbol"), c("message"), c("raw_payload")),
+            "fingerprint": text.fingerprint(c("tool"), c("rule_id"), c("file"), c("__identity")),
+            "dedupe_key": text.fingerprint(F.lit("_"), c("rule_id"), c("file"), c("__identity")),
             "ownership": owner["ownership"],
             "ownership_confidence": owner["ownership_confidence"],
             "fingerprint_version": F.lit(VERSION),
             "message_normalizer_version": F.lit(VERSION),
         }
-    )
+    ).drop("__identity")
 
 
 def classify(findings: DataFrame) -> DataFrame:
     """Adds class, context, impact, weight and reason of security findings."""
     c = F.col
-    decided = security(c("tool"), c("rule_id"), c("category"), c("file"), c("message"), c("raw_payload"))
-    return findings.withColumn("__s", decided).select(*findings.columns, "__s.*")
+    ruled = findings.withColumn("__rule", security_rule(c("tool"), c("rule_id"), c("category"), c("file"), c("message"), c("raw_payload")))
+    return ruled.withColumns(security_outcome(c("__rule"), c("message"))).drop("__rule")
 
 
 def dedupe(findings: DataFrame, run: list[str] = ["project", "run_id"]) -> DataFrame:

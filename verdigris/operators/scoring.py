@@ -52,9 +52,11 @@ def category_scores(metrics: DataFrame) -> DataFrame:
     sums = metrics.groupBy(*RUN, "category").agg(
         F.sum(F.when(~coverage, F.col("count"))).alias("finding_count"), F.sum(F.when(~coverage, penalty)).alias("penalty"), F.max_by(F.when(coverage, value), F.when(coverage, F.col("tool"))).alias("fixed")
     )
-    every = metrics.select(*RUN).distinct().select(*RUN, F.inline(category_rows()))
+    # a run has few categories, so its sums fit a map; those without findings are filled in from it
+    held = sums.groupBy(*RUN).agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("category", F.lit("")), F.struct("finding_count", "penalty", "fixed")))).alias("m"))
+    every = held.select(*RUN, "m", F.inline(category_rows())).select("*", F.element_at("m", F.col("category")).alias("s")).select("*", "s.*")
     score = F.coalesce("fixed", F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - F.coalesce("penalty", F.lit(0.0)))))
-    return every.join(sums, [*RUN, "category"], "left").select(*RUN, "category", "category_ord", "weight", F.coalesce("finding_count", F.lit(0)).cast("long").alias("finding_count"), score.alias("exact_score"), round_half_up(score, 2).alias("score"))
+    return every.select(*RUN, "category", "category_ord", "weight", F.coalesce("finding_count", F.lit(0)).cast("long").alias("finding_count"), score.alias("exact_score"), round_half_up(score, 2).alias("score"))
 
 
 def score_cards(categories: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from verdigris.operators import baseline, findings as ops, history, inventory, p
 from verdigris.schemas import SEVERITY_RANK, lookup
 from verdigris.functions import text
 from verdigris.sources import derived, reports
+from verdigris.sources.work import written
 
 RUN = ["project", "run_id"]
 #: The moment that baselines and retention are judged at.
@@ -25,6 +26,17 @@ def classified(spark: SparkSession, d: str) -> DataFrame:
     return ops.classify(normalized(spark, d))
 
 
+def identified(spark: SparkSession, d: str) -> DataFrame:
+    """What tells findings apart, computed once and written."""
+    return written(normalized(spark, d).select(*RUN, "scanner_ord", "finding_ord", "tool", "fingerprint", "dedupe_key"), "identified")
+
+
+def clustered(spark: SparkSession, d: str) -> DataFrame:
+    """What clusters of findings are made of, computed once and written."""
+    wanted = [*RUN, "scanner_ord", "finding_ord", "tool", "rule_id", "category", "severity", "file", "message", "normalized_message", "confidence", "security_class"]
+    return written(classified(spark, d).select(wanted), "clustered")
+
+
 def entries(rows: DataFrame) -> DataFrame:
     """A baseline for the findings whose fingerprint starts with 0 to 3; its digits set the rest."""
     digit = lambda at: F.conv(F.substring("fingerprint", at, 1), 16, 10).cast("int")
@@ -34,8 +46,10 @@ def entries(rows: DataFrame) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Classified findings that dedupe and baseline leave."""
-    rows = classified(spark, d)
+    """Classified findings that dedupe and baseline leave. What the three joins and the baseline
+    read is computed once and written."""
+    wanted = [*RUN, "scanner_ord", "finding_ord", "tool", "category", "severity", "score_weight", "fingerprint", "dedupe_key"]
+    rows = written(classified(spark, d).select(wanted), "classified")
     kept = ops.dedupe(rows).where("kept")
     return baseline.apply(kept, entries(rows), F.expr(NOW))
 
@@ -45,7 +59,7 @@ def cards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
-    metrics = scoring.finding_metrics(scored(spark, d))
+    metrics = written(scoring.finding_metrics(scored(spark, d)), "metrics")
     rows = scoring.score_cards(scoring.category_scores(metrics)).join(scoring.security_counts(metrics), RUN)
     return scoring.policy(rows)
 
@@ -60,11 +74,11 @@ def q_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return ops.dedupe(normalized(spark, d)).select("project", "run_id", "finding_ord", "tool", "fingerprint", "kept", "duplicate_of")
+    return ops.dedupe(identified(spark, d)).select("project", "run_id", "finding_ord", "tool", "fingerprint", "kept", "duplicate_of")
 
 
 def q_dedupe_summary(spark: SparkSession, d: str) -> DataFrame:
-    return ops.dedupe_summary(ops.dedupe(normalized(spark, d)))
+    return ops.dedupe_summary(ops.dedupe(identified(spark, d)))
 
 
 def q_payload_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -80,12 +94,12 @@ def q_severity_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_baseline_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = normalized(spark, d)
+    rows = identified(spark, d)
     return baseline.stats(rows, entries(rows), F.expr(NOW))
 
 
 def q_baseline_apply(spark: SparkSession, d: str) -> DataFrame:
-    rows = normalized(spark, d)
+    rows = identified(spark, d)
     return baseline.apply(rows, entries(rows), F.expr(NOW)).groupBy(*RUN, "tool").agg(F.count("*").alias("new_findings"))
 
 
@@ -110,15 +124,15 @@ def plan_columns(rows: DataFrame) -> DataFrame:
 
 
 def q_recommendations(spark: SparkSession, d: str) -> DataFrame:
-    return plan_columns(recommend.recommendations(classified(spark, d)))
+    return plan_columns(recommend.recommendations(clustered(spark, d)))
 
 
 def q_action_plan(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.action_plan(recommend.recommendations(classified(spark, d))).select(*RUN, "list", "place", "title", "priority_score", "supporting_findings_count")
+    return recommend.action_plan(recommend.recommendations(clustered(spark, d))).select(*RUN, "list", "place", "title", "priority_score", "supporting_findings_count")
 
 
 def q_systemic(spark: SparkSession, d: str) -> DataFrame:
-    return recommend.systemic(classified(spark, d)).select(*RUN, "severity", "supporting_findings_count", "file_count", "priority_score", "effort", "impact", "title")
+    return recommend.systemic(clustered(spark, d)).select(*RUN, "severity", "supporting_findings_count", "file_count", "priority_score", "effort", "impact", "title")
 
 
 def q_trend(spark: SparkSession, d: str) -> DataFrame:

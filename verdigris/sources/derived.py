@@ -39,10 +39,11 @@ ORDER = ["scanner_ord", "finding_ord", "rule_id", "file", "message", "symbol", "
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each order line. Orders and parts are joined by key; Spark picks how."""
+    """One row for each order line. Orders and parts are joined by key; Spark picks how. The rows
+    are dealt anew, so that all cores work on what follows even if the table is one small file."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "part")}
     sql = RULES.format(text="string")
     for t in tables:
         sql = sql.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
     sql = sql.replace('{"', '{{"').replace('"}', '"}}').replace("'{}'", "'{{}}'")
-    return spark.sql(sql, **tables)
+    return spark.sql(sql, **tables).repartition("finding_ord")
