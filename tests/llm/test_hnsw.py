@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from verdigris.llm import hnsw
 
@@ -48,3 +49,17 @@ def test_recall_on_the_table(spark):
     got = hnsw.nearest(df, lambda c: c % 100 == 0).collect()
     hits = sum(r.vec_id in {i for _, i in want[r.query_id]} for r in got)
     assert hits / sum(map(len, want.values())) >= 0.95
+
+
+@pytest.mark.parametrize("move, unit", [(0.0, 1.0), (1e3, 1e-2), (1e4, 1e-3), (0.0, 1e30), (0.0, 1e-30), (0.0, 1e200)])
+def test_offsets_and_units_cost_no_recall(move, unit):
+    x = np.random.default_rng(3).normal(size=(2000, 16)) * unit + move
+    graph = hnsw.Graph.build(x)
+    queries = x[::40]
+    hits = 0
+    for q, got in zip(queries, graph.search(queries, 160)):
+        d = ((x - q) / unit) ** 2
+        hits += len(set(np.argsort(d.sum(1), kind="stable")[:10].tolist()) & set(got[:10].tolist()))
+    assert hits / (10 * len(queries)) >= 0.95
+    want = np.sqrt((((x - x[0]) / unit) ** 2).sum(1)) * unit
+    assert np.allclose(hnsw.distance(x, x[0]), want, rtol=1e-12)
