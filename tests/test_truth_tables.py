@@ -94,3 +94,13 @@ def test_plan_is_the_same_in_any_order(spark):
     schema = "project string, run_id string, scanner_ord int, finding_ord long, tool string, rule_id string, severity string, category string, file string, message string, normalized_message string, confidence double, security_class string"
     plans = [sorted(map(str, recommend.action_plan(recommend.recommendations(spark.createDataFrame(r, schema).repartition(n))).collect())) for r, n in ((rows, 1), (rows[::-1], 3))]
     assert plans[0] == plans[1] and len(plans[0]) > 0
+
+
+def test_plan_summary_and_first_baseline(spark):
+    plan = spark.createDataFrame([(90.0, 80.0, "t", 2, 1), (75.0, None, None, 0, 0), (10.0, 20.0, "u", 1, 1)], "overall_score double, previous_score double, top_title string, quick_wins int, systemic int")
+    said = [r.executive_summary for r in recommend.summary_text(plan).collect()]
+    assert said[0].startswith("Project health is Good. The highest priority issue is t. 2 quick wins") and said[0].endswith("Score has improved since the previous run.")
+    assert "Fair" in said[1] and "no critical findings" in said[1] and "Score has" not in said[1] and said[2].endswith("declined since the previous run.")
+    rows = spark.createDataFrame([("f",), ("f",), ("g",)], "fingerprint string")
+    got = baseline.entries_for(rows, "o", "n", F.lit("2020-01-01").cast("timestamp"), F.lit(None).cast("timestamp")).collect()
+    assert sorted((r.fingerprint, r.accepted, r.owner, r.note) for r in got) == [("f", True, "o", "n"), ("g", True, "o", "n")]

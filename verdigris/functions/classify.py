@@ -25,6 +25,9 @@ def starts_with_any(path: Column, prefixes: list[str]) -> Column:
     return held
 
 
+CLASSES = ["runtime_security", "tooling_security", "test_security", "false_positive", "unknown"]
+CONTEXTS = ["runtime", "tool", "test", "config", "dependency", "unknown"]
+
 #: Class, context, impact, weight and reason of each rule, in the order in which rules are tried.
 OUTCOMES = [
     ("not_security", "unknown", "none", 1.0, "non_security_category"),

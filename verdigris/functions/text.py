@@ -89,10 +89,6 @@ def high_entropy(value: Column) -> Column:
     return (F.length(value) >= 24) & (F.size(F.array_distinct(F.filter(characters, lambda c: c != ""))) / F.length(value) > 0.65)
 
 
-def title_case(x: Column) -> Column:
-    return F.initcap(x)
-
-
 def capitalize(x: Column) -> Column:
     return F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1_000_000)))
 

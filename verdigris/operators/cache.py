@@ -15,10 +15,16 @@ def input_class(path: Column) -> Column:
     return F.when(low.rlike(DESCRIPTORS), "descriptor").when(low.rlike(WRAPPERS), "wrapper").when(low.rlike(LOCKFILES), "lockfile").otherwise("source")
 
 
-def cache_keys(inputs: DataFrame) -> DataFrame:
-    """A key for each module: sha256 of its inputs (module, path, digest) in the order of paths."""
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "digest"))), lambda x: F.concat_ws(":", x["path"], x["digest"])), "\n")
-    return inputs.groupBy("module").agg(F.sha2(lines, 256).alias("cache_key"), F.count("*").alias("input_count"))
+#: Entries of a decision history that are kept.
+HISTORY = 10
+
+
+def cache_keys(inputs: DataFrame, tool: str) -> DataFrame:
+    """A tool's key for each module (module_id): sha256 of tool, module and its inputs (path, digest)
+    in the order of paths."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "digest"))), lambda x: F.concat_ws(":", x["path"], x["digest"])), "|")
+    rows = inputs.groupBy("module_id").agg(lines.alias("lines"), F.count("*").alias("input_count"))
+    return rows.select("module_id", F.sha2(F.concat_ws("|", F.lit(tool), "module_id", "lines"), 256).alias("cache_key"), "input_count")
 
 
 def miss_reasons(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -27,18 +33,69 @@ def miss_reasons(before: DataFrame, now: DataFrame) -> DataFrame:
     return joined.groupBy("module").agg(F.array_sort(F.collect_set(F.concat(input_class(F.col("path")), F.lit("_hash_changed")))).alias("reasons"))
 
 
-def status(decisions: DataFrame) -> DataFrame:
-    """Hits, misses and hit rate of each tool, from decisions (tool, hit)."""
-    return decisions.groupBy("tool").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.round(F.count_if("hit") / F.count("*"), 4).alias("hit_rate"))
+def totals(manifests: DataFrame) -> DataFrame:
+    """Hits, misses and hit rate over manifests (project, last_status); a project without either has
+    no rate."""
+    hits, misses = F.count_if(F.col("last_status") == "hit"), F.count_if(F.col("last_status") == "miss")
+    return manifests.groupBy("project").agg(hits.alias("hits"), misses.alias("misses"), F.when(hits + misses > 0, F.round(hits / (hits + misses) * 100, 2)).alias("hit_rate_percent"))
+
+
+def roll_up(results: DataFrame) -> DataFrame:
+    """Over a run's results (project, run_id, tool, cached_modules, cache_hits, cache_misses,
+    miss_reason_counts map<string,long>, last_cache_update): totals, rate, reasons and the last update."""
+    run = ["project", "run_id"]
+    sums = results.groupBy(*run).agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("cached_modules", "cache_hits", "cache_misses")), F.max(F.when(F.col("last_cache_update") != "", F.col("last_cache_update"))).alias("last_cache_update"))
+    reasons = results.select(*run, F.explode("miss_reason_counts").alias("reason", "n")).groupBy(*run, "reason").agg(F.sum("n").alias("n"))
+    listed = reasons.groupBy(*run).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("miss_reason_counts"))
+    every = F.col("cache_hits") + F.col("cache_misses")
+    return sums.join(listed, run, "left").withColumn("hit_rate_percent", F.when(every > 0, F.round(F.col("cache_hits") / every * 100, 2)))
 
 
-def bounded_history(history: Column, most: int = 10) -> Column:
+def saved(manifests: DataFrame, decision: Column) -> DataFrame:
+    """Manifests with a decision (timestamp, status, reasons, previous_cache_key, current_cache_key)
+    added to their decision_history, of which the last entries stay."""
+    return manifests.withColumns({"decision_history": bounded_history(F.array_append(F.coalesce("decision_history", F.array()), decision)), "last_status": decision["status"], "last_reasons": decision["reasons"]})
+
+
+def bounded_history(history: Column, most: int = HISTORY) -> Column:
     """The last entries of a decision history."""
     return F.when(F.size(history) > most, F.slice(history, -most, most)).otherwise(history)
 
 
-def prune(manifests: DataFrame, modules: DataFrame, now: Column, days: int = 30) -> DataFrame:
-    """Manifests (module, saved_at) to delete: too old, or of modules that are gone."""
-    old = manifests.where(F.col("saved_at") < now - F.expr(f"interval {days} days")).withColumn("reason", F.lit("age"))
-    fresh = manifests.where(F.col("saved_at") >= now - F.expr(f"interval {days} days"))
-    return old.unionByName(fresh.join(modules.select("module").distinct(), "module", "left_anti").withColumn("reason", F.lit("orphan")))
+def cleared(manifests: DataFrame, modules: DataFrame, module_name: str | None = None, tool: str | None = None) -> DataFrame:
+    """The manifests (project, module_id, tool) that clearing removes: of modules that are known, of one
+    by name, of one tool, as asked."""
+    chosen = modules.where(F.col("module_name") == module_name) if module_name is not None else modules
+    held = manifests.join(chosen.select("project", "module_id", "module_name"), ["project", "module_id"])
+    return held.where(F.col("tool") == tool) if tool is not None else held
+
+
+def pruned(manifests: DataFrame, modules: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Manifests (project, module_id, tool, created_at) to delete: of modules that are gone, or too old.
+    One that tells no time stays."""
+    if days < 1:
+        raise ValueError("days must be at least 1")
+    known = modules.select("project", "module_id").withColumn("known", F.lit(True))
+    reason = F.when(F.col("known").isNull(), "orphan").when(F.col("created_at") < now - F.expr(f"interval {days} days"), "age")
+    return manifests.join(known, ["project", "module_id"], "left").withColumn("reason", reason).where("reason is not null").drop("known")
+
+
+def known_tools(manifests: DataFrame) -> DataFrame:
+    """The tools that any manifest of a project is of."""
+    return manifests.select("project", "tool").distinct()
+
+
+def unreferenced(artifacts: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Artifacts (project, path, bytes) that no manifest (project, artifact_paths) names."""
+    return artifacts.join(manifests.select("project", F.explode("artifact_paths").alias("path")).distinct(), ["project", "path"], "left_anti")
+
+
+def folder_sizes(files: DataFrame) -> DataFrame:
+    """Bytes and files of each folder (project, folder, bytes)."""
+    return files.groupBy("project", "folder").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("files"))
+
+
+def trimmed(history: Column, now: Column, days: int = 30, most: int = HISTORY) -> Column:
+    """A decision history without entries too old (one that tells no time stays), the last of them."""
+    since = now - F.expr(f"interval {days} days")
+    return bounded_history(F.filter(history, lambda x: F.coalesce(F.try_to_timestamp(x["timestamp"]) >= since, F.lit(True))), most)

@@ -70,9 +70,14 @@ def payload_budget(findings: DataFrame, *, per_finding: int = 16_384, per_run: i
     return findings.withColumns({"payload_bytes": size, "__allowed": allowed}).withColumns({"payload_used": F.least("payload_bytes", "__allowed"), "payload_truncated": F.col("payload_bytes") > F.col("__allowed")}).drop("__allowed")
 
 
+def publishing() -> list:
+    """What findings are put in order by where they are published."""
+    return [lookup(F.col("severity"), SEVERITY_RANK, 5), "category", "file", "rule_id", "fingerprint"]
+
+
 def published_order(findings: DataFrame) -> DataFrame:
     """Findings in the order in which they are published."""
-    return findings.orderBy(lookup(F.col("severity"), SEVERITY_RANK, 5), "category", "file", "rule_id", "fingerprint")
+    return findings.orderBy(*publishing())
 
 
 def parser_failures(runs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ SENSITIVE = [".env", ".env.*", "*.pem", "*.key", "*.p12", "*.pfx", "*.crt", "*.c
 JUNK = [".venv/**", "venv/**", "node_modules/**", "vendor/**", "dist/**", "build/**", ".cache/**", ".pytest_cache/**", ".mypy_cache/**", ".ruff_cache/**", ".scan-cache/**", "reports/**", "site/**", "coverage/**", "htmlcov/**", ".git/**", "target/**", ".gradle/**", ".next/**", ".nuxt/**"]
 ALWAYS_EXCLUDED = [".venv/**", ".git/**", ".pytest_cache/**", ".ruff_cache/**"]
 LANGUAGE_GLOBS = {"general": ["*"], "python": ["*.py"], "php": ["*.php"], "javascript": ["*.js", "*.jsx"], "typescript": ["*.ts", "*.tsx"], "java": ["*.java"], "go": ["*.go"], "yaml": ["*.yml", "*.yaml"], "terraform": ["*.tf", "*.tfvars"]}
-PRIMARY = ["python", "java", "php", "go", "typescript", "javascript", "general"]
 
 
 def counts(files: DataFrame, excludes: list[str] = []) -> DataFrame:
@@ -49,28 +48,16 @@ def scanner_inputs(files: DataFrame, scanners: DataFrame, excludes: list[str] =
     language = F.array_compact(F.array(*(F.when(matches_any(F.col("path"), globs), name) for name, globs in LANGUAGE_GLOBS.items())))
     able = files.where(~matches_any(F.col("path"), excludes)).select("project", "path", F.explode(language).alias("language"))
     wanted = scanners.select("scanner", F.explode("languages").alias("language"))
-    return able.join(F.broadcast(wanted), "language").select("project", "scanner", "path").distinct()  # one row for each language of 43 scanners at most
+    return able.join(wanted, "language").select("project", "scanner", "path").distinct()
+
+
+def with_zones(counted: DataFrame, zoned: DataFrame) -> DataFrame:
+    """The inventory of each project with the counts of its zones, which hold where both have one."""
+    both = [c for c in counted.columns if c in zoned.columns and c != "project"]
+    return counted.drop(*both).join(zoned, "project", "left")
 
 
 def enabled(scanners: DataFrame, languages: Column, allow: list[str] | None = None, deny: list[str] = []) -> DataFrame:
     """Scanners (scanner, languages) that share a language, are allowed and are not denied."""
     held = F.arrays_overlap(F.col("languages"), languages) & ~F.col("scanner").isin(deny)
     return scanners.where(held & F.col("scanner").isin(allow) if allow is not None else held)
-
-
-def discovery(files: DataFrame) -> DataFrame:
-    """Languages and the primary language of each project, from its files (project, path, text)."""
-    path, body = F.col("path"), F.coalesce("text", F.lit(""))
-    name = F.substring_index(path, "/", -1)
-    signs = {
-        "python": name.isin("pyproject.toml", "requirements.txt", "setup.py", "Pipfile") | path.endswith(".py"),
-        "java": name.isin("pom.xml", "build.gradle", "build.gradle.kts") | path.endswith(".java"), "php": (name == "composer.json") | path.endswith(".php"), "go": (name == "go.mod") | path.endswith(".go"),
-        "typescript": (name == "tsconfig.json") | path.rlike(r"\.tsx?$"), "javascript": (name == "package.json") | path.rlike(r"\.jsx?$"), "general": name.rlike(r"^(Dockerfile|Containerfile|docker-compose\.ya?ml|compose\.ya?ml)$|\.tf$"),
-    }
-    frameworks = {
-        "django": (name == "manage.py") | body.rlike(r"(?m)^\s*(from|import) django\b"), "fastapi": body.rlike(r"(?m)^\s*(from|import) fastapi\b"), "flask": body.rlike(r"(?m)^\s*(from|import) flask\b"),
-        "spring": body.contains("org.springframework"), "react": (name == "package.json") & body.contains('"react"'), "laravel": (name == "composer.json") & body.contains("laravel/framework"), "gin": (name == "go.mod") & body.contains("gin-gonic/gin"),
-    }
-    found = files.groupBy("project").agg(*(F.bool_or(flag).alias(f"l_{k}") for k, flag in signs.items()), *(F.bool_or(flag).alias(f"f_{k}") for k, flag in frameworks.items()))
-    languages = F.array_compact(F.array(*(F.when(F.col(f"l_{k}"), k) for k in PRIMARY)))
-    return found.select("project", languages.alias("language_hints"), F.coalesce(F.try_element_at(languages, F.lit(1)), F.lit("general")).alias("primary_language"), F.array_compact(F.array(*(F.when(F.col(f"f_{k}"), k) for k in frameworks))).alias("frameworks"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import text
+from verdigris.functions.classify import CLASSES, CONTEXTS
 from verdigris.schemas import SEVERITY_RANK, lookup
 
 RUN = ["project", "run_id"]
@@ -36,15 +37,25 @@ def clusters(findings: DataFrame, k: int = 40) -> DataFrame:
     return _top(rows, k, lookup(F.col("severity"), SEVERITY_RANK, 9), F.desc("count"), "category", "message_family")
 
 
+#: The groups that a report lists, with zero where there are none.
+GROUPS = ["runtime", "tooling", "test_only", "false_positive"]
+
+
 def security_groups(findings: DataFrame) -> DataFrame:
-    """Security findings of each run by group; unknown classes count as runtime."""
+    """Security findings of each run by group, zero where there are none; unknown classes count as
+    runtime."""
     group = lookup(F.col("security_class"), {"tooling_security": "tooling", "test_security": "test_only", "false_positive": "false_positive"}, "runtime")
-    return findings.where("category = 'security'").groupBy(*RUN, group.alias("security_group")).agg(F.count("*").alias("count"))
+    sec = F.col("category") == "security"
+    counted = findings.groupBy(*RUN).agg(*(F.count_if(sec & (group == g)).alias(g) for g in GROUPS))
+    return counted.unpivot(RUN, GROUPS, "security_group", "count")
 
 
 def security_summary(findings: DataFrame) -> DataFrame:
-    """Security findings of each run by class and context."""
-    return findings.where("category = 'security'").groupBy(*RUN, "security_class", "security_context").agg(F.count("*").alias("count"))
+    """Security findings of each run by class and by context, zero where there are none."""
+    sec, names = F.col("category") == "security", [*(("class", x) for x in CLASSES), *(("context", x) for x in CONTEXTS)]
+    counted = findings.groupBy(*RUN).agg(*(F.count_if(sec & (F.coalesce(f"security_{kind}", F.lit("unclassified")) == x)).alias(f"{kind}:{x}") for kind, x in names))
+    rows = counted.unpivot(RUN, [f"{kind}:{x}" for kind, x in names], "name", "count")
+    return rows.select(*RUN, F.split_part("name", F.lit(":"), F.lit(1)).alias("kind"), F.split_part("name", F.lit(":"), F.lit(2)).alias("value"), "count")
 
 
 def parser_summary(findings: DataFrame) -> DataFrame:
@@ -56,4 +67,12 @@ def raw_samples(findings: DataFrame, k: int = 25) -> DataFrame:
     """The compact form of a scanner's output: how much, which rules and files, the first findings."""
     key = [*RUN, "tool"]
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("finding_ord", "rule_id", "file", "message"))
-    return findings.withColumn("nth", nth).groupBy(*key).agg(F.count("*").alias("finding_count"), F.count_distinct("rule_id").alias("rule_count"), F.count_distinct("file").alias("file_count"), F.count_if(F.col("nth") <= k).alias("sample_count"))
+    sample = F.struct("nth", "rule_id", "file", "line", "message")
+    first = findings.withColumn("nth", nth).where(F.col("nth") <= k).groupBy(*key).agg(F.array_sort(F.collect_list(sample)).alias("samples"))
+    counts = findings.groupBy(*key).agg(F.count("*").alias("finding_count"), F.count_distinct("rule_id").alias("rule_count"), F.count_distinct("file").alias("file_count"))
+    return counts.join(first, key)
+
+
+def samples(findings: DataFrame, k: int = 25) -> DataFrame:
+    """The sampled findings one by one, by their place."""
+    return raw_samples(findings, k).select(*RUN, "tool", F.inline("samples"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.schemas import DEPENDENCY_TOOLS, PARSER_CATEGORY, SCALAR_SCANNERS, SEVERITIES, SEVERITY_PENALTY, category_rows, lookup, round_half_up
+from verdigris.schemas import DEPENDENCY_TOOLS, EXIT_CODES, PARSE_FAILURES, PARSER_CATEGORY, PARSER_MISSING, PATH_INVALID, SCALAR_SCANNERS, SEVERITIES, SEVERITY_PENALTY, category_rows, lookup, round_half_up
 
 RUN = ["project", "run_id"]
 #: Scalar metrics: category, and whether the value is a percentage.
@@ -139,8 +139,8 @@ def run_counters(results: DataFrame) -> DataFrame:
     """Counters of scan results (project, run_id, scanner, success, error_code, finding_count,
     invalid_finding_count)."""
     code, bad = F.col("error_code"), F.coalesce("invalid_finding_count", F.lit(0))
-    missing, path = code.eqNullSafe("PARSER_MISSING"), code.eqNullSafe("INVALID_PATH")
-    parse = F.coalesce(code.isin("SCHEMA_ERROR", "UNHANDLED"), F.lit(False))
+    missing, path = code.eqNullSafe(PARSER_MISSING), code.eqNullSafe(PATH_INVALID)
+    parse = F.coalesce(code.isin(PARSE_FAILURES), F.lit(False))
     return results.groupBy(*RUN).agg(
         F.count("*").alias("scanner_count"), F.count_if("success").alias("successful_scanners"), F.count_if(~F.col("success")).alias("failed_scanners"), F.sum("finding_count").alias("finding_count"),
         F.sum(bad).alias("invalid_findings"), F.sum(F.when(path, F.when(bad > 0, bad).otherwise(1)).otherwise(0)).alias("invalid_paths"),
@@ -149,5 +149,8 @@ def run_counters(results: DataFrame) -> DataFrame:
 
 
 def exit_code(policy_status: Column, scanner_failures: Column, parser_failures: Column, gate: bool) -> Column:
-    code = F.when(scanner_failures > 0, 4).when(parser_failures > 0, 5)
-    return (code.when(policy_status == "fail", 2).when(policy_status == "warn", 1) if gate else code).otherwise(0)
+    """Scanner failures first, then parser failures, then, if the policy gates, its status."""
+    code = F.when(scanner_failures > 0, EXIT_CODES["scanner_failure"]).when(parser_failures > 0, EXIT_CODES["parser_failure"])
+    if gate:
+        code = code.when(policy_status == "fail", EXIT_CODES["policy_fail"]).when(policy_status == "warn", EXIT_CODES["policy_warn"])
+    return code.otherwise(EXIT_CODES["ok"])

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from verdigris.functions.classify import DOCUMENTATION_PREFIXES, HARMLESS_LITERALS, INTERPOLATION, RUNTIME_PREFIXES, TOOLING_PREFIXES
+from verdigris.functions.classify import CLASSES, CONTEXTS, DOCUMENTATION_PREFIXES, HARMLESS_LITERALS, INTERPOLATION, RUNTIME_PREFIXES, TOOLING_PREFIXES
+from verdigris.plans import oracle_scan
 from verdigris.schemas import CATEGORY_WEIGHT, DEPENDENCY_TOOLS, SEVERITY_PENALTY
 from verdigris.sources.derived import DUCK_SQL, ORDER
 
@@ -158,7 +159,7 @@ FINAL = {
     "payload_budget": f"""SELECT project, run_id, CAST(sum(size) AS BIGINT) AS payload_bytes, CAST(sum(least(size, allowed)) AS BIGINT) AS payload_used, count(*) FILTER (size > allowed) AS truncated FROM (
       SELECT *, least(48, greatest(0, 2000 - coalesce(sum(least(size, 48)) OVER (PARTITION BY project, run_id ORDER BY {', '.join(c + ' NULLS FIRST' for c in ORDER)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS allowed
       FROM (SELECT *, strlen(raw_payload) AS size FROM f)) GROUP BY ALL""",
-    "severity_order": "SELECT project, run_id, severity, category, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS severity_rank, count(*) AS count FROM f GROUP BY ALL",
+    "severity_order": "SELECT project, run_id, finding_ord, tool, CAST(rank() OVER (PARTITION BY project, run_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, category, file, rule_id, fingerprint) AS INTEGER) AS place FROM n",
     "baseline_stats": f"""SELECT project, run_id, count(*) AS gross_findings, count(a.fingerprint) AS accepted_debt, count(*) - count(a.fingerprint) AS new_findings,
       (SELECT count(*) FROM active) - count(DISTINCT a.fingerprint) AS resolved_findings, count(*) - count(a.fingerprint) AS scored_findings, (SELECT count(*) FROM e WHERE accepted) AS accepted_entries,
       (SELECT count(*) FROM e WHERE expires_at <= {NOW}) AS expired_entries, (SELECT count(*) FROM e WHERE expires_at > {NOW} AND expires_at <= {NOW} + INTERVAL 14 DAY) AS expiring_soon_entries,
@@ -191,10 +192,11 @@ FINAL = {
           SELECT *, row_number() OVER (PARTITION BY project, run_id, severity, category, message_family ORDER BY so, fo, file) AS nth FROM (
             SELECT project, run_id, severity, category, array_to_string(list_slice(string_split(lower(trim(normalized_message)), ' '), 1, 2), ' ') AS message_family, file, count(*) AS n,
               min((scanner_ord, finding_ord))[1] AS so, min((scanner_ord, finding_ord))[2] AS fo FROM n GROUP BY ALL)) GROUP BY ALL)) WHERE rank <= 40""",
-    "security_groups": "SELECT project, run_id, CASE security_class WHEN 'tooling_security' THEN 'tooling' WHEN 'test_security' THEN 'test_only' WHEN 'false_positive' THEN 'false_positive' ELSE 'runtime' END AS security_group, count(*) AS count FROM c WHERE category = 'security' GROUP BY ALL",
-    "security_summary": "SELECT project, run_id, security_class, security_context, count(*) AS count FROM c WHERE category = 'security' GROUP BY ALL",
+    "security_groups": "SELECT project, run_id, g AS security_group, count(*) FILTER (category = 'security' AND grp = g) AS count FROM (SELECT *, CASE security_class WHEN 'tooling_security' THEN 'tooling' WHEN 'test_security' THEN 'test_only' WHEN 'false_positive' THEN 'false_positive' ELSE 'runtime' END AS grp FROM c), (SELECT unnest(['runtime', 'tooling', 'test_only', 'false_positive']) AS g) GROUP BY ALL",
+    "security_summary": f"""SELECT project, run_id, 'class' AS kind, v AS value, count(*) FILTER (category = 'security' AND security_class = v) AS count FROM c, (SELECT unnest([{', '.join(map(quoted, CLASSES))}]) AS v) GROUP BY ALL
+      UNION ALL SELECT project, run_id, 'context', v, count(*) FILTER (category = 'security' AND security_context = v) FROM c, (SELECT unnest([{', '.join(map(quoted, CONTEXTS))}]) AS v) GROUP BY ALL""",
     "parser_summary": "SELECT project, run_id, rule_id, tool AS scanner, count(*) AS count FROM f WHERE category = 'system/parser' GROUP BY GROUPING SETS ((project, run_id, rule_id, tool), (project, run_id, rule_id))",
-    "raw_samples": "SELECT project, run_id, tool, count(*) AS finding_count, count(DISTINCT rule_id) AS rule_count, count(DISTINCT file) AS file_count, least(count(*), 25) AS sample_count FROM f GROUP BY ALL",
+    "raw_samples": "SELECT project, run_id, tool, CAST(nth AS INTEGER) AS nth, rule_id, file, line, message FROM (SELECT *, row_number() OVER (PARTITION BY project, run_id, tool ORDER BY finding_ord, rule_id, file, message) AS nth FROM f) WHERE nth <= 5",
     "inventory": """SELECT project, count(*) AS files_seen, count(*) FILTER (NOT x AND NOT t AND NOT g) AS first_party, count(*) FILTER (NOT x AND t) AS third_party, count(*) FILTER (NOT x AND NOT t AND g) AS generated, count(*) FILTER (x) AS excluded
       FROM (SELECT *, starts_with(path, 'docs/m1') AS x, regexp_matches(path, 'node_modules/|vendor/|third_party/') AS t, regexp_matches(path, '/generated/|/dist/|/build/|_generated') AS g FROM path) GROUP BY project""",
     "zones": """SELECT project, count(*) FILTER (s) AS tracked, count(*) FILTER (NOT tr AND NOT deny) AS ignored_sensitive, count(*) FILTER (s AND starts_with(path, 'docs/')) AS docs, count(*) FILTER (s AND path LIKE '%fixtures/%') AS fixtures,
@@ -205,22 +207,19 @@ FINAL = {
           WHEN 'ruff' THEN CASE WHEN starts_with(rule_id, 'S') THEN 'high' WHEN starts_with(rule_id, 'W') THEN 'low' ELSE 'medium' END ELSE 'medium' END AS sev,
         CASE tool WHEN 'bandit' THEN 'security' WHEN 'ruff' THEN CASE WHEN rule_id = 'F401' THEN 'dead_code' WHEN starts_with(rule_id, 'S') THEN 'security' WHEN starts_with(rule_id, 'C90') THEN 'maintainability' ELSE 'lint' END ELSE 'lint' END AS cat
       FROM f WHERE tool IN ('ruff', 'bandit', 'opengrep')) GROUP BY ALL""",
-    "text_findings": "SELECT doc_id, source, 'probable_secret_exposure' AS rule_id FROM documents WHERE regexp_matches(text, '(?i)(key|token|password|secret)[ ]*[=:]') UNION ALL SELECT doc_id, source, 'mail_address' FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z]{2,}')",
-    "event_payloads": "SELECT event_type, count(*) AS count, CAST(sum(strlen(props)) AS BIGINT) AS payload_bytes, count(DISTINCT sha256(props)) AS distinct_payloads FROM events GROUP BY ALL",
-    "page_families": "SELECT CASE WHEN t = '' THEN 'generic' ELSE array_to_string(list_slice(string_split(t, ' '), 1, 2), ' ') END AS message_family, count(*) AS count FROM (SELECT " + regex("lower(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)))", (r"\d+", "#"), (r"['\"`].*?['\"`]", "<x>"), (r"\s+", " ")) + " AS t FROM pages) GROUP BY ALL",
 }
 
 
 def sql() -> dict[str, str]:
     """Each query with the parts that it needs, in order."""
-    names = list(PARTS)
     out = {}
-    for name, final in FINAL.items():
+    for name, final in (FINAL | oracle_scan.FINAL).items():
+        known = PARTS | oracle_scan.PARTS | oracle_scan.OWN.get(name, {})
         needed, todo = set(), [final]
         while todo:
-            found = {p for p in re.findall(r"(?:FROM|JOIN|,)\s+(\w+)", todo.pop()) if p in PARTS} - needed
+            found = {p for p in re.findall(r"(?:FROM|JOIN|,)\s+(\w+)", todo.pop()) if p in known} - needed
             needed |= found
-            todo += [PARTS[p] for p in found]
-        parts = ",\n".join(f"{p} AS ({PARTS[p]})" for p in names if p in needed)
+            todo += [known[p] for p in found]
+        parts = ",\n".join(f"{p} AS ({known[p]})" for p in known if p in needed)
         out[name] = f"WITH {parts}\n{final}" if parts else final
     return out

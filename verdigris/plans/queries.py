@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.operators import baseline, findings as ops, history, inventory, portal, recommend, scoring
-from verdigris.schemas import SEVERITY_RANK, lookup
-from verdigris.functions import text
+from verdigris.plans import queries_scan
 from verdigris.sources import derived, reports
 from verdigris.sources.work import written
 
@@ -26,9 +25,9 @@ def classified(spark: SparkSession, d: str) -> DataFrame:
     return ops.classify(normalized(spark, d))
 
 
-def identified(spark: SparkSession, d: str) -> DataFrame:
+def identified(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """What tells findings apart, computed once and written."""
-    return written(normalized(spark, d).select(*RUN, "scanner_ord", "finding_ord", "tool", "fingerprint", "dedupe_key"), "identified")
+    return written(normalized(spark, d).select(*RUN, "scanner_ord", "finding_ord", "tool", "fingerprint", "dedupe_key", *more), "identified")
 
 
 def clustered(spark: SparkSession, d: str) -> DataFrame:
@@ -87,10 +86,11 @@ def q_payload_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_severity_order(spark: SparkSession, d: str) -> DataFrame:
-    """How many findings sort before each severity and category of a run."""
-    rank = lookup(F.col("severity"), SEVERITY_RANK, 5)
-    rows = derived.findings(spark, d).groupBy(*RUN, "severity", "category").agg(F.count("*").alias("count"), F.first(rank).alias("severity_rank"))
-    return ops.published_order(rows.withColumns({"file": F.lit(""), "rule_id": F.lit(""), "fingerprint": F.lit("")})).select(*RUN, "severity", "category", "severity_rank", "count")
+    """The place of each finding in the published order of its run: severity, category, file, rule and
+    fingerprint. Findings that agree in all of these share a place."""
+    rows = identified(spark, d, "severity", "category", "file", "rule_id")
+    place = F.rank().over(Window.partitionBy(*RUN).orderBy(*ops.publishing()))
+    return rows.select(*RUN, "finding_ord", "tool", place.alias("place"))
 
 
 def q_baseline_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +189,7 @@ def q_parser_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_raw_samples(spark: SparkSession, d: str) -> DataFrame:
-    return portal.raw_samples(derived.findings(spark, d))
+    return portal.samples(derived.findings(spark, d), 5)
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
@@ -219,24 +219,4 @@ def q_parse_reports(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("project", "tool", "rule_id", "severity", "category", "file", "line").agg(F.count("*").alias("count"), F.count("problem").alias("problems"))
 
 
-def q_text_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold an assignment of a secret or an address, as rule hits."""
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    hits = F.array_compact(F.array(F.when(F.regexp_like("text", F.lit("(?i)(key|token|password|secret)[ ]*[=:]")), F.lit("probable_secret_exposure")), F.when(F.regexp_like("text", F.lit("[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z]{2,}")), F.lit("mail_address"))))
-    return docs.select("doc_id", "source", F.explode(hits).alias("rule_id"))
-
-
-def q_event_payloads(spark: SparkSession, d: str) -> DataFrame:
-    """Size and identity of events' payloads, by type."""
-    events = spark.read.parquet(f"{d}/events.parquet")
-    return events.groupBy("event_type").agg(F.count("*").alias("count"), F.sum(F.octet_length("props")).alias("payload_bytes"), F.count_distinct(F.sha2("props", 256)).alias("distinct_payloads"))
-
-
-def q_page_families(spark: SparkSession, d: str) -> DataFrame:
-    """Pages by the family of their title's first words."""
-    pages = spark.read.parquet(f"{d}/pages.parquet")
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return pages.groupBy(text.message_family(title).alias("message_family")).agg(F.count("*").alias("count"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name[2:]: f for name, f in [*globals().items(), *vars(queries_scan).items()] if name.startswith("q_")}

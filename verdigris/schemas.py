@@ -21,7 +21,10 @@ CATEGORY_WEIGHT = {"security": 0.30, "typing": 0.10, "lint": 0.15, "maintainabil
 SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3, "info": 4, "informational": 4}
 PRIORITY_SEVERITY = {"critical": 100.0, "high": 40.0, "medium": 10.0, "low": 2.0, "info": 0.5}
 DEPENDENCY_TOOLS = ["dependency_check", "spotbugs", "npm_audit", "django_check_deploy", "composer_audit", "govulncheck"]
-EXIT_CODES = {"ok": 0, "policy_warn": 1, "policy_fail": 2, "scanner_failure": 4, "parser_failure": 5}
+EXIT_CODES = {"ok": 0, "policy_warn": 1, "policy_fail": 2, "config_error": 3, "scanner_failure": 4, "parser_failure": 5, "internal_error": 6, "interrupted": 7}
+#: What a scanner's result may fail with.
+SCANNER_ERRORS = ["scanner_contract_violation", "scanner_binary_missing", "scanner_config_error", "scanner_nonzero_exit", "scanner_timeout"]
+PARSER_MISSING, PARSE_FAILURES, PATH_INVALID = "scanner_parser_missing", ["scanner_parse_error", "scanner_output_invalid"], "finding_path_invalid"
 
 #: Scanners in the order of registration, which is their scanner_ord.
 SCANNERS = [

@@ -38,12 +38,61 @@ DUCK_SQL = RULES.format(text="varchar")
 ORDER = ["scanner_ord", "finding_ord", "rule_id", "file", "message", "symbol", "severity", "category", "confidence", "raw_payload"]
 
 
+def run(spark: SparkSession, rules: str, **tables: DataFrame) -> DataFrame:
+    """The rules over tables; all other braces are text."""
+    sql = rules.format(text="string").replace("{", "{{").replace("}", "}}")
+    for name in tables:
+        sql = sql.replace(f"FROM {name}\n", f"FROM {{{name}}}\n").replace(f"FROM {name}) ", f"FROM {{{name}}}) ").replace(f"FROM {name} ", f"FROM {{{name}}} ").replace(f"JOIN {name} ", f"JOIN {{{name}}} ")
+    return spark.sql(sql, **tables)
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each order line. Orders and parts are joined by key; Spark picks how. The rows
     are dealt anew, so that all cores work on what follows even if the table is one small file."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "part")}
-    sql = RULES.format(text="string")
-    for t in tables:
-        sql = sql.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
-    sql = sql.replace('{"', '{{"').replace('"}', '"}}').replace("'{}'", "'{{}}'")
-    return spark.sql(sql, **tables).repartition("finding_ord")
+    return run(spark, RULES, **tables).repartition("finding_ord")
+
+
+#: Files of projects, with texts on which rules do and do not hold; nl is a line feed.
+FILE_RULES = """
+SELECT project, CASE WHEN root THEN name ELSE concat('d', CAST(k AS {text}), CASE WHEN k % 7 = 0 THEN '/tests/' WHEN k % 11 = 0 THEN '/node_modules/' ELSE '/' END, name) END AS path,
+  CASE WHEN k % 16 < 2 THEN concat('FROM x', nl, CASE WHEN b1 THEN '  user root' ELSE 'USER rooted' END, nl, CASE WHEN b2 THEN 'HEALTHCHECK CMD y' ELSE '' END, nl, CASE WHEN b3 THEN 'ADD a b' ELSE 'COPY a b' END)
+       WHEN k % 16 < 4 THEN concat('services:', nl, CASE WHEN b1 THEN '    privileged: true' ELSE '    # privileged: true' END, nl, CASE WHEN b2 THEN '    ports:' ELSE '    ports: [1]' END, nl, CASE WHEN b3 THEN '    network_mode: host' ELSE '    network_mode: hosted' END)
+       WHEN k % 16 < 6 THEN concat(CASE WHEN b1 THEN 'PublishPort = 80:80' ELSE 'Publish=1' END, nl, CASE WHEN b2 THEN 'User = root' ELSE 'User=rooted' END, nl)
+       WHEN k % 16 < 10 THEN concat(CASE WHEN b1 THEN 'ssl_protocols TLSv1 TLSv1.2;' ELSE 'ssl_protocols TLSv1_2;' END, nl, CASE WHEN b2 THEN 'server_tokens on;' ELSE 'server_tokens off;' END, nl, CASE WHEN b3 THEN 'insecureSkipVerify: TRUE' ELSE '' END)
+       WHEN k % 16 = 10 THEN concat(CASE WHEN b1 THEN 'cidr = "0.0.0.0/0"' ELSE 'cidr = "10.0.0.0/8"' END, nl, CASE WHEN b2 THEN 'is_public = true' ELSE 'public = trueish' END, nl, CASE WHEN b3 THEN 'encrypted=false' ELSE '' END)
+       WHEN k % 16 = 11 THEN concat('import os', nl, nl, CASE WHEN b1 THEN 'DEBUG = True' ELSE 'DEBUG = Trueish' END, nl, CASE WHEN b2 THEN 'ALLOWED_HOSTS = [ ]' ELSE 'ALLOWED_HOSTS = ["x"]' END, nl, CASE WHEN b3 THEN 'SECURE_PROXY_SSL_HEADER = 1' ELSE '' END)
+       WHEN k % 16 = 12 AND root THEN CASE WHEN b1 THEN 'Django==4' ELSE 'flask' END
+       WHEN k % 16 = 12 THEN concat(CASE WHEN k % 23 < 12 THEN 'from django.db import models' ELSE 'from fastapi import FastAPI' END, nl, CASE WHEN k % 23 = 20 THEN 'app = FastAPI()' ELSE '' END, nl, CASE WHEN k % 23 = 22 THEN 'import rest_framework' ELSE '' END, nl, CASE WHEN b1 THEN 'q = A.objects.raw("x")' ELSE 'q = 1' END, nl, CASE WHEN b2 THEN 'r = A.objects.all()' ELSE '' END, nl, CASE WHEN b3 THEN 's = A.select_related("b")' ELSE '' END)
+       WHEN k % 16 < 15 THEN concat('<p>', nl, CASE WHEN b1 THEN '{{% autoescape OFF %}}' ELSE '' END, nl, '<form method="', CASE WHEN b2 THEN 'post' ELSE 'get' END, '">', nl, CASE WHEN b3 THEN '{{% csrf_token %}}' ELSE '<input name="x">' END, '</form>', nl,
+            '<FORM id=two method=''POST''>', CASE WHEN k % 3 = 0 THEN '{{{{ form.csrf() }}}}' WHEN k % 3 = 1 THEN '<input type="hidden" name="csrf_token">' ELSE 'csrf' END, '</FORM >')
+       WHEN NOT root THEN ''
+       WHEN b1 THEN concat('{{"dependencies":{{"react":"1","left-', CAST(k % 3 AS {text}), '":"1"}},"devDependencies":{{"', CASE WHEN b2 THEN 'next' ELSE 'express' END, '":"2"}}}}')
+       ELSE '{{"name":"x"}}' END AS text
+FROM (SELECT concat('p', CAST(p_partkey % 23 AS {text})) AS project, p_partkey AS k, p_partkey % 32 >= 16 AS b1, p_partkey % 64 >= 32 AS b2, p_partkey % 128 >= 64 AS b3, chr(10) AS nl, p_partkey < 368 AND p_partkey % 16 IN (12, 15) AS root,
+  CASE p_partkey % 16 WHEN 0 THEN 'Dockerfile' WHEN 1 THEN 'Containerfile' WHEN 2 THEN 'docker-compose.yml' WHEN 3 THEN 'compose.yaml' WHEN 4 THEN 'web.container' WHEN 5 THEN 'x.kube' WHEN 6 THEN 'my-traefik-1.yml'
+    WHEN 7 THEN 'nginx.conf' WHEN 8 THEN 'site.nginx.conf' WHEN 9 THEN 'httpd.conf' WHEN 10 THEN 'main.tf' WHEN 11 THEN 'settings.py' WHEN 12 THEN CASE WHEN p_partkey < 368 THEN 'requirements.txt' ELSE 'models.py' END WHEN 13 THEN 'templates/a.html' WHEN 14 THEN 'templates/sub/b.html' ELSE CASE WHEN p_partkey < 368 THEN 'package.json' WHEN p_partkey % 3 = 0 AND p_partkey % 23 < 9 THEN 'app.tsx' ELSE 'app.js' END END AS name
+  FROM part) x
+"""
+
+#: Results of scanners: one for each order. Few have errors, so runs pass, warn and fail.
+RESULT_RULES = """
+SELECT concat('p', CAST(o_custkey % 7 AS {text})) AS project, concat('r', CAST(o_custkey % 271 AS {text})) AS run_id, CAST(o_custkey % 271 AS int) AS run_no, CAST(o_orderkey AS bigint) AS scanner_ord,
+  concat('s', CAST(o_orderkey % 43 AS {text})) AS scanner, o_orderkey % 509 NOT IN (1, 2, 3, 4) AS success,
+  CASE o_orderkey % 509 WHEN 1 THEN 'scanner_parser_missing' WHEN 2 THEN 'scanner_parse_error' WHEN 3 THEN 'scanner_timeout' WHEN 4 THEN 'finding_path_invalid' END AS error_code,
+  CAST(o_orderkey % 5 AS bigint) AS finding_count, CASE WHEN o_orderkey % 509 = 2 THEN 2 WHEN o_orderkey % 1019 = 4 THEN 3 END AS invalid_finding_count, CAST(o_orderkey % 90 AS bigint) AS input_files,
+  CASE WHEN o_orderkey % 29 = 0 THEN CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'critical' ELSE 'medium' END WHEN '2' THEN 'high' WHEN '3' THEN 'medium' WHEN '4' THEN 'low' ELSE 'info' END END AS severity,
+  CASE o_orderkey % 4 WHEN 0 THEN 'security' WHEN 1 THEN 'lint' WHEN 2 THEN 'typing' ELSE 'complexity' END AS category,
+  CASE WHEN o_orderkey % 13 = 0 THEN 'coverage_percent' WHEN o_orderkey % 13 = 1 THEN 'avg_complexity' END AS scalar, CAST(o_orderkey % 101 AS double) AS scalar_value
+FROM orders
+"""
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, path, text), a file for each part."""
+    return run(spark, FILE_RULES, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result of a scanner for each order, with the severity and category of a finding, if any."""
+    return run(spark, RESULT_RULES, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))

@@ -9,6 +9,8 @@ from verdigris.schemas import round_half_up
 from verdigris.sources.reports import json_document
 
 KEY = ["project", "run_id", "tool"]
+#: Tools whose reports carry figures.
+SCALAR_DIALECTS = ["coverage", "go_coverage", "js_coverage", "jacoco", "pmd", "radon"]
 
 
 def _map(**columns) -> F.Column:
