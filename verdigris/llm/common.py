@@ -4,24 +4,15 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
-import uuid
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from verdigris.sources.work import shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    found = spark.conf.get(CHECKPOINT_DIR, None)
-    if not found:
-        current = spark.sparkContext.getCheckpointDir()
-        found = current or "file://" + tempfile.mkdtemp(prefix="verdigris-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+__all__ = ["written"]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -30,17 +21,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to a Parquet table in the shared folder and read it back, with the schema given.
-
-    The table stays until the folder is cleaned; its name is unique to the call.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
@@ -54,6 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(name: str, columns: list[str]) -> str:
+    """A name for a column of one's own that none of the columns has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: A key is hot if it holds more than one in so many rows, so at most so many keys are hot.
 HOT = 1000
 
@@ -67,6 +55,17 @@ def hot_join(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
     return rest.unionByName(rows.join(hot, key))
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Integers or floats of 8 bytes, as compressed planes of bytes."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def loosen(blob: bytes, kind=np.int64) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob, max_output_size=0) if blob else b"", np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(kind)
+
+
 class BoundedCache(dict):
     """A dictionary that computes what it misses and starts anew when it is full."""
 

@@ -30,12 +30,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import held_out, written
+from verdigris.llm.common import held_out, loosen, squeeze, written
 
 #: Counts up to this are discounted.
 K = 5
@@ -45,17 +44,6 @@ CHUNK, ENTRIES, HOT = 1 << 20, 1 << 20, 1 << 18
 END, START_ID = np.uint64(xxhash.xxh64_intdigest(b"\n")), -1
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Integers or floats of 8 bytes, as compressed planes of bytes."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def loosen(blob: bytes, kind=np.int64) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob, max_output_size=0) if blob else b"", np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(kind)
-
-
 def mix(ids: np.ndarray) -> np.ndarray:
     """Spread ids evenly over 31 bits."""
     h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -120,8 +108,18 @@ def count_of_counts(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[seen.sum(), len(seen)], np.bincount(np.minimum(seen, K + 2), minlength=K + 3)[: K + 2]]).astype(np.int64)
 
 
-def level(rows: list) -> Level:
-    found = sum((loosen(r[0]) for r in rows), np.zeros(K + 4, np.int64))
+def level(answers: DataFrame) -> Level:
+    """The level whose buckets told these counts of counts (rows without a chunk); summed in the tasks."""
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            found = sum((loosen(x) for x in b.column("a").to_pylist()), np.zeros(K + 4, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(range(K + 4), pa.int32()), pa.array(found)], names=["place", "n"])
+
+    counts = answers.where("chunk is null").select("a").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    found = np.zeros(K + 4, np.int64)
+    for r in counts.collect():
+        found[r["place"]] = r["n"]
     return Level(int(found[0]), int(found[1]), found[2:])
 
 
@@ -292,7 +290,7 @@ def score(df: DataFrame, *, modulus: int = 7, remainder: int = 2, id_col: str =
         return [(squeeze(total[p]), squeeze(ids[p])) for p in parts], squeeze(count_of_counts(total))
 
     words = answered(ask(table, None, ask_words), answer_words, "unigrams")
-    one = level(words.where("chunk is null").select("a").collect())
+    one = level(words)
 
     def with_words(chunk: Chunk, got: dict) -> Chunk:
         chunk.answer_words({b: (r["a"], r["b"]) for b, r in got.items()}, one_buckets)
@@ -330,7 +328,7 @@ def score(df: DataFrame, *, modulus: int = 7, remainder: int = 2, id_col: str =
 
     asked_words = words.where("chunk is not null")
     pairs = answered(ask(table, asked_words, ask_pairs), answer_pairs, "bigrams")
-    two = level(pairs.where("chunk is null").select("a").collect())
+    two = level(pairs)
     told = asked_words.withColumn("order", F.lit(1)).unionByName(pairs.where("chunk is not null").withColumn("order", F.lit(2)))
 
     def evaluate(mine: pa.Table, answers: pa.Table) -> pa.Table:
