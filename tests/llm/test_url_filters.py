@@ -67,3 +67,12 @@ def test_sql_agrees(spark):
     frame = QUERIES["op1_url_filters"](spark, d)
     got = sorted(({c: r[c] for c in names} for r in frame.collect()), key=str)
     assert sorted(frame.columns) == sorted(names) and got == want and {r["verdict"] for r in want} == {"block", "allow", "none"}
+
+
+def test_clashing_names_and_odd_days(spark):
+    rows = [(1, "http://ads.example.org/x", "2024-01-10", 1, 2, 3, 4, 5), (2, "http://ads.example.org/x", "soon", 1, 2, 3, 4, 5), (3, None, None, 1, 2, 3, 4, 5)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched string, u int, d int, best int, __URL int, __best_day int")
+    entries = spark.createDataFrame([("example.org", "block", "2024-01-01"), ("example.org", "allow", "never")], "pattern string, action string, day string")
+    got = {r.page_id: r for r in U.evaluate(captures, entries).collect()}
+    assert [got[i].verdict for i in (1, 2, 3)] == ["block", "none", "none"]
+    assert got[1].asDict() | {"verdict": 0, "pattern": 0, "valid_from": 0} == dict(zip(captures.columns, rows[0])) | {"verdict": 0, "pattern": 0, "valid_from": 0}

@@ -11,8 +11,8 @@ a host that holds a third of all captures costs one row a day; captures then loo
 up by pattern and day. Only URLs and days are shuffled, never pages, and nothing is broadcast
 but what Spark's own size check allows. Built-in functions only.
 
-Null URLs, URLs without a host and null days match nothing: verdict `none`. Entries with a null
-pattern, action or day are ignored, as are actions other than block, allow and remove. Of
+Null URLs, URLs without a host, and days that are null or no dates match nothing: verdict `none`.
+Entries with a null pattern or action or without a date are ignored, as are actions other than block, allow and remove. Of
 entries for one pattern and day block wins over allow, and allow over remove. Host and pattern
 are compared in lower case, paths as they are. Repeated captures are judged one by one. Extra
 columns of the captures are kept; those named verdict, pattern or valid_from are replaced.
@@ -24,7 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.llm.common import free
+
 PRIORITY = {"block": 1, "allow": 2, "remove": 3}
+#: Parts that the captures of a pattern and day are split in where they look up the answer.
+SALTS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -40,7 +44,7 @@ def path_of(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, action, valid_from, valid_to) of entries (pattern, action, day); valid_to is null
     for the last."""
-    known = entries.select(F.lower(F.regexp_extract("pattern", r"^[^/]*", 0)).alias("host"), F.regexp_replace("pattern", r"^[^/]*|/+$", "").alias("path"), "action", F.col("day").cast("date").alias("day"))
+    known = entries.select(F.lower(F.regexp_extract("pattern", r"^[^/]*", 0)).alias("host"), F.regexp_replace("pattern", r"^[^/]*|/+$", "").alias("path"), "action", F.col("day").try_cast("date").alias("day"))
     known = known.where(F.col("day").isNotNull() & F.col("action").isin(*PRIORITY) & (F.col("host") != ""))
     rank = F.element_at(F.create_map(*(F.lit(x) for kv in PRIORITY.items() for x in kv)), F.col("action"))
     one = known.groupBy(F.concat("host", "path").alias("pattern"), "day").agg(F.min_by("action", rank).alias("action"))
@@ -61,16 +65,18 @@ def evaluate(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", d
     """Captures with verdict (block, allow or none), the pattern that gave it and since when."""
     held = intervals(entries)
     listed = held.select("pattern").distinct()
-    asked = captures.select(F.col(url_col).alias("u"), F.col(day_col).cast("date").alias("d")).where((host_of(F.col("u")) != "") & F.col("d").isNotNull()).distinct()
+    asked = captures.select(F.col(url_col).alias("u"), F.col(day_col).try_cast("date").alias("d")).where((host_of(F.col("u")) != "") & F.col("d").isNotNull()).distinct()
     able = asked.select("u", "d", F.posexplode(candidates(F.col("u"))).alias("place", "pattern"))
     days = able.select("pattern", "d").distinct().join(listed, "pattern", "left_semi")
     active = days.join(held, "pattern").where((F.col("valid_from") <= F.col("d")) & (F.col("valid_to").isNull() | (F.col("d") < F.col("valid_to"))) & (F.col("action") != "remove"))
-    answers = able.join(active.select("pattern", "d", "action", "valid_from"), ["pattern", "d"])
+    answer = active.select("pattern", "d", "action", "valid_from", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    answers = able.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS))).join(answer, ["pattern", "d", "salt"])
     best = answers.groupBy("u", "d").agg(F.max(F.struct("place", "action", "pattern", "valid_from")).alias("best"))
     kept = [c for c in captures.columns if c not in ("verdict", "pattern", "valid_from")]
-    rows = captures.select(*kept, F.col(url_col).alias("__u"), F.col(day_col).cast("date").alias("__d"))
-    joined = rows.join(best, (F.col("__u") == F.col("u")) & (F.col("__d") == F.col("d")), "left")
-    return joined.select(*kept, F.coalesce("best.action", F.lit("none")).alias("verdict"), F.col("best.pattern").alias("pattern"), F.col("best.valid_from").alias("valid_from"))
+    url, day, best_url, best_day, found = (free(f"__{n}", captures.columns) for n in ("url", "day", "best_url", "best_day", "best"))
+    rows = captures.select(*kept, F.col(url_col).alias(url), F.col(day_col).try_cast("date").alias(day))
+    joined = rows.join(best.toDF(best_url, best_day, found), (F.col(url) == F.col(best_url)) & (F.col(day) == F.col(best_day)), "left")
+    return joined.select(*kept, F.coalesce(f"{found}.action", F.lit("none")).alias("verdict"), F.col(f"{found}.pattern").alias("pattern"), F.col(f"{found}.valid_from").alias("valid_from"))
 
 
 # --- the query's captures and list, which the page table lacks -------------------------------
