@@ -22,8 +22,9 @@ from tokenizers import Tokenizer
 
 from verdigris.llm.common import BoundedCache, quiet_tokenizers
 
-#: Rows that the frequent table is drawn from, and its most entries. They change speed only.
-SAMPLE_ROWS, TABLE_ENTRIES = 512, 1 << 15
+#: Texts that the frequent table is drawn from, by a hash of all that are no longer than so many
+#: bytes, and its most entries. They change speed only, and bound what comes to the driver.
+SAMPLE_ROWS, SAMPLE_BYTES, TABLE_ENTRIES = 512, 1 << 14, 1 << 15
 #: Entries of a worker's cache, and the longest pre-token it keeps.
 CACHE_ENTRIES, CACHE_KEY = 1 << 18, 64
 #: Characters that old and new versions of Unicode class alike. A text with others is left to the
@@ -65,12 +66,13 @@ def pre_tokens(text: str, pattern: str, added: tuple[str, ...]) -> tuple[list[st
 
 
 def frequent_lengths(df: DataFrame, tokenizer_file: str, pattern: str, text_col: str) -> dict[str, int]:
-    """The compact table: at most TABLE_ENTRIES frequent pre-tokens of a few rows, with lengths."""
+    """The compact table: at most TABLE_ENTRIES frequent pre-tokens of a few texts, with lengths."""
     tokenizer, added = load(tokenizer_file)
-    seen: Counter[str] = Counter()
-    for (text,) in df.select(F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()).take(SAMPLE_ROWS):
-        if settled(text):
-            seen.update(pre_tokens(text, pattern, tuple(added))[0])
+    text, seen = F.col(text_col).cast("string"), Counter()
+    picked = df.select(text.alias("text")).where(text.isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)).orderBy(F.xxhash64("text")).limit(SAMPLE_ROWS)
+    for (found,) in picked.collect():
+        if settled(found):
+            seen.update(pre_tokens(found, pattern, tuple(added))[0])
     keys = [k for k, n in seen.most_common(TABLE_ENTRIES) if n > 1 and len(k) <= CACHE_KEY]
     return dict(zip(keys, (len(e) for e in tokenizer.encode_batch(keys, add_special_tokens=False))))
 
