@@ -7,7 +7,9 @@ lacks being as far out as can be. The nearest language wins, ties going to the f
 
 Profiles are learned from a bounded sample of the labelled rows: about TRAIN_DOCS a language,
 chosen by a hash of the key and the text; all their text counts. Texts to be judged are read
-whole. Null texts and texts without a letter are `und`, score 0, and so is all if nothing was
+whole. A text is in no known language if its nearness to every profile is under a bound that the
+same sample teaches: KNOWN_SHARE of what all but KNOWN_LEAST of its texts reach, and KNOWN_MOST at
+most, as a small sample is near to its own profiles. Null texts and texts without a letter are `und`, score 0, and so is all if nothing was
 learned. Null languages teach nothing; a null key counts as the empty text in the split.
 Repeated rows are judged alike; other columns are ignored; an empty table gives an empty result.
 """
@@ -22,11 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import held_out
+from verdigris.llm.common import held_out, written
 
 UNKNOWN = "und"
 #: n-grams in a profile; documents of a language that teach its profile, about.
 PROFILE, TRAIN_DOCS = 400, 4000
+#: The bound of nearness: see above.
+KNOWN_SHARE, KNOWN_LEAST, KNOWN_MOST = 0.8, 0.001, 0.35
 
 
 @functools.lru_cache(maxsize=1)
@@ -87,19 +91,21 @@ class Profiles:
         return self.names[best], float(share[best] / share.sum()) if share[best] > 0 else 0.0, float(near[best])
 
 
-def learn(rows: DataFrame, *, train_docs: int = TRAIN_DOCS, size: int = PROFILE) -> Profiles:
-    """Profiles of the languages in rows (doc_id, text, lang), which are all labelled.
+def sampled(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """(lang, text): about train_docs labelled rows a language. The shares are a written table of one
+    row a language, which Spark broadcasts if its size allows."""
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    shares = written(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(train_docs) / F.count("*")).alias("share")), "languages")
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return rows.join(shares, "lang").where(draw < F.col("share")).select("lang", "text")
+
+
+def learn(sample: DataFrame, *, size: int = PROFILE) -> Profiles:
+    """Profiles of the languages in a sample (lang, text).
 
     Counts are added up in the tasks first and by n-gram next; at most languages times size
     n-grams come to the driver.
     """
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not totals:
-        return Profiles({}, size)
-    shares = F.create_map(*(x for lang, n in totals.items() for x in (F.lit(lang), F.lit(min(1.0, train_docs / n)))))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.where(draw < F.element_at(shares, F.col("lang"))).select("lang", "text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
@@ -127,11 +133,22 @@ def learn(rows: DataFrame, *, train_docs: int = TRAIN_DOCS, size: int = PROFILE)
     return Profiles(ranks, size)
 
 
+def least_nearness(sample: DataFrame, model) -> float:
+    """The nearness under which a text is in no language of the model, a broadcast one."""
+
+    @F.pandas_udf("double")
+    def near(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: model.value.judge(t)[2])
+
+    found = sample.select(near("text").alias("near")).where("near > 0").agg(F.percentile_approx("near", KNOWN_LEAST, 10_000)).first()[0]
+    return 0.0 if found is None else min(KNOWN_MOST, KNOWN_SHARE * found)
+
+
 def identify(df: DataFrame, *, modulus: int = 4, remainder: int = 2, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score, nearness) of each row; held-out rows teach nothing."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     out = held_out(F.col("doc_id"), modulus, remainder)
-    model = df.sparkSession.sparkContext.broadcast(learn(rows.where(~out), train_docs=train_docs))
+    model = df.sparkSession.sparkContext.broadcast(learn(sampled(rows.where(~out), train_docs)))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -149,13 +166,16 @@ def identify(df: DataFrame, *, modulus: int = 4, remainder: int = 2, train_docs:
 def keep_known(df: DataFrame, *, modulus: int = 4, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of df, whole, whose text is in some learned language; map-only once learned.
 
-    Texts that are null, or without a letter, or with nothing in common with any profile, go.
+    Texts that are null, or without a letter, or no nearer to any profile than the bound, go; all go
+    if nothing was learned.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    model = df.sparkSession.sparkContext.broadcast(learn(rows.where(~held_out(F.col("doc_id"), modulus, remainder))))
+    sample = written(sampled(rows.where(~held_out(F.col("doc_id"), modulus, remainder))), "language-sample")
+    model = df.sparkSession.sparkContext.broadcast(learn(sample))
+    least = least_nearness(sample, model)
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: model.value.judge(t)[1] > 0)
+        return texts.map(lambda t: model.value.judge(t)[2] > least)
 
     return df.where(known(F.col(text_col)))
