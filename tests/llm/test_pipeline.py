@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -55,7 +56,7 @@ def test_stages_on_the_table(spark):
 
 def test_odd_rows_pass_every_stage(spark, tmp_path):
     text = "the cat sat on the mat and looked at the moon all night long with great care "
-    rows = [(1, text * 3, "en", "a", 1, "x"), (1, text * 3, "en", "a", 1, "x"), (None, "der hund ist nicht hier", None, None, None, None), (None, "der hund ist nicht hier", None, None, None, None), (2, None, "en", None, 0, "x"), (3, "", None, "b", 0, "x"), (4, "12 34", "de", "b", 0, "x"), (5, "a long river ran under the old stone bridge to the sea " * 2000, "en", "b", 0, "x")]
+    rows = [(1, text * 3, "en", "a", 1, "x"), (1, text * 3, "en", "a", 1, "x"), (None, "der hund ist nicht hier", "de", None, None, None), (None, "der hund ist nicht hier", "de", None, None, None), (2, None, "en", None, 0, "x"), (3, "", None, "b", 0, "x"), (4, "12 34", "de", "b", 0, "x"), (5, "a long river ran under the old stone bridge to the sea " * 2000, "en", "b", 0, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
     spark.createDataFrame([(1, 0), (5, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = docs
@@ -76,6 +77,36 @@ def test_operators_agree_with_their_stages(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     kept = {r.doc_id for r in toxicity.keep_clean(docs, labels).collect()}
     assert kept == {r.doc_id for r in toxicity.score(docs, labels).where("predicted = 0").collect()}
-    assert {r.doc_id for r in language_id.keep_known(docs).collect()} == {r.doc_id for r in language_id.identify(docs).where("score > 0").collect()}
+    judged = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    known = {r.doc_id for r in language_id.keep_known(docs).collect()}
+    assert all(judged[i].nearness > 0 for i in known) and {i for i, r in judged.items() if r.nearness > language_id.KNOWN_MOST} <= known
+
+
+def test_gibberish_and_unlearned_languages_go(spark):
+    rng = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = "talvella on aina kylmä ja lumi peittää metsän kun lapset menevät koulun jälkeen ulos leikkimään pimeässä illassa".split()
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = [(10_000_000 + i, " ".join(letters(rng.randint(2, 9)) for _ in range(n)), None, "s", 1) for i, n in enumerate((20, 100, 500, 3000) * 5)]
+    rows += [(10_001_000 + i, " ".join(rng.choice(words) for _ in range(n)), None, "s", 1) for i, n in enumerate((50, 200, 1000) * 5)]
+    junk = spark.createDataFrame(rows, docs.schema)
+    kept = {r.doc_id for r in language_id.keep_known(docs.unionByName(junk)).select("doc_id").collect()}
+    assert not [i for i in kept if i >= 10_000_000]
+    sound = {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    assert len(sound - kept) <= 0.002 * len(sound)
+
+
+def test_copies_among_the_groups(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
     groups = {r.group_id for r in simhash.copy_groups(docs).collect()}
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == groups
+
+
+def test_keys_of_other_kinds_and_clashing_names(spark):
+    text = "the cat sat on the mat and looked at the moon all night long with great care"
+    rows = [("doc-b", text, 1), ("doc-a", text, 2), (None, "another text altogether that has no copy in here", 3), ("doc-c", "x", 4), ("doc-c", "y", 5)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, __KEY int")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or "", r["__KEY"]) for r in got.collect()) == [("", 3), ("doc-a", 2), ("doc-c", 4), ("doc-c", 5)]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import checkpointed, hot_join, written
+from verdigris.llm.common import checkpointed, free, hot_join, written
 
 SEED = 42
 #: Fingerprints in a range, at least about, and ranges at most.
@@ -413,11 +413,14 @@ def keep_one(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text_col:
     """The rows of df, whole, one for each group of copies: that with the least key.
 
     Rows without a key stand under a hash of their text. Rows that share a key are told apart by
-    their text; of equal rows one stays.
+    their text; of equal rows one stays. Keys that are no whole numbers are compared as text.
     """
     stand_in = F.lit(-(1 << 62)) + F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) % F.lit(1 << 61)
-    key = F.coalesce(F.col(id_col).cast("long"), stand_in)
+    kind = "long" if df.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+    key = F.coalesce(F.col(id_col).cast(kind), stand_in.cast(kind))
+    own = free("__key", df.columns)
+    of = free("__mark", df.columns)
     groups = marked_groups(df.select(key.alias("key"), F.col(text_col).alias("text")), words=words, id_col="key")
-    chosen = groups.groupBy("root").agg(F.min(F.struct("key", "mark")).alias("one")).select(F.col("one.key").alias("__key"), F.col("one.mark").alias("__mark"))
-    kept = df.withColumns({"__key": key, "__mark": mark_of(text_col)}).join(chosen, ["__key", "__mark"], "left_semi")
-    return kept.dropDuplicates(["__key", "__mark"]).drop("__key", "__mark").select(df.columns)
+    chosen = groups.groupBy("root").agg(F.min(F.struct("key", "mark")).alias("one")).select(F.col("one.key").alias(own), F.col("one.mark").alias(of))
+    kept = df.withColumns({own: key, of: mark_of(text_col)}).join(chosen, [own, of], "left_semi")
+    return kept.dropDuplicates([own, of]).select(df.columns)
