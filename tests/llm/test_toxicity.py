@@ -67,3 +67,62 @@ def test_an_overlong_row_does_not_end_the_sample(spark):
         model = toxicity.learn(docs, labels, train_bytes={1: 5000, 0: 5000})
         scores = toxicity.Scorer(model)([bad, good])
         assert scores[0] > 0.5 > scores[1], long
+
+
+def brute_bag(word):
+    """The table rows of a word's bag, by plain integers."""
+    mask, mix, shift = (1 << 64) - 1, 0x9E3779B97F4A7C15, 64 - toxicity.TABLE_BITS
+    points, out = [ord(c) for c in f"<{word}>"], []
+    for n in toxicity.GRAMS:
+        for at in range(len(points) - n + 1):
+            h = n
+            for p in points[at : at + n]:
+                h = ((h ^ p) * mix) & mask
+                h ^= h >> 29
+            out.append(((h * mix) & mask) >> shift)
+    h, power = 0, 1
+    for p in points:
+        power = power * 0x100000001B3 & mask
+        h = (h + (p + 7) * power) & mask
+    h ^= h >> 31
+    return [*out, ((h * mix) & mask) >> shift]
+
+
+def brute_train(texts, labels, steps):
+    """The same training word by word, in plain Python; gives the logit of a text."""
+    W, rng = toxicity.WIDTH, np.random.default_rng(1)
+    table, softmax, bias = rng.uniform(-1 / W, 1 / W, (W, 1 << toxicity.TABLE_BITS)), rng.uniform(-1, 1, (W, 2)), np.zeros(2)
+    bag = {w: brute_bag(w) for t in texts for w in toxicity.words(t)}
+    state = {id(p): (np.zeros_like(p), np.zeros_like(p)) for p in (table, softmax, bias)}
+
+    def hidden(text):
+        found = toxicity.words(text)
+        return sum((np.mean([table[:, r] for r in brute_bag(w)], axis=0) for w in found), np.zeros(W)) / (len(found) + toxicity.NEUTRAL)
+
+    for step in range(1, steps + 1):
+        grads = [toxicity.DECAY * table, np.zeros_like(softmax), np.zeros(2)]
+        for text, y in zip(texts, labels):
+            h = hidden(text)
+            p = np.exp(h @ softmax + bias)
+            g = (p / p.sum() - np.eye(2)[y]) * 0.5 / labels.count(y)
+            grads[1] += np.outer(h, g)
+            grads[2] += g
+            found = toxicity.words(text)
+            for w in found:
+                for r in bag[w]:
+                    grads[0][:, r] += softmax @ g / (len(found) + toxicity.NEUTRAL) / len(bag[w])
+        for param, grad in zip((table, softmax, bias), grads):
+            m, v = state[id(param)]
+            m[:] = 0.9 * m + 0.1 * grad
+            v[:] = 0.99 * v + 0.01 * grad**2
+            param -= toxicity.RATE * min(1.0, 3 * (1 - (step - 1) / steps)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    prior = np.log(toxicity.PRIOR / (1 - toxicity.PRIOR))
+    return lambda text: float(np.diff(hidden(text) @ softmax + bias)[0] + prior)
+
+
+def test_training_and_scores_match_brute_force():
+    texts, labels = ["you idiot, go", "a kind day", "kind idiot day day", "", "go ünïcode x"], [1, 0, 0, 0, 1]
+    logit = brute_train(texts, labels, 3)
+    asked = [*texts, "idioot", "!!", "kind kind words"]
+    got = toxicity.Scorer(toxicity.train(texts, labels, steps=3))(asked)
+    assert np.allclose(got, [1 / (1 + np.exp(-logit(t))) for t in asked], atol=1e-9)
