@@ -5,54 +5,11 @@ import json
 import pytest
 
 from verdigris.sources import reports as R
+from verdigris.sources.samples import CASES
 
 J = json.dumps
 
 
-def sarif(rule, uri="src/a.py", line=3):
-    return J({"version": "2.1.0", "runs": [{"results": [{"ruleId": rule, "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": uri}, "region": {"startLine": line, "startColumn": 2}}}]}]}]})
-
-
-def php(extra):
-    return J({"files": {"b.php": {"messages": [{"message": "two", "line": 4, **extra}]}, "a.php": {"messages": [{"message": "one"}]}}})
-
-
-HITS = J({"findings": [{"rule_id": "INF.X", "file": "./d/Dockerfile", "line": 1, "message": "m", "severity": "HIGH"}, {"rule_id": "INF.Y", "file": "x", "message": "n"}]})
-CASES = {
-    "ruff": (J([{"code": "F401", "message": "unused", "filename": "/work/p/src/a.py", "location": {"row": 2, "column": 1}}, {"code": "S101", "message": "assert", "filename": "b.py", "location": None}]), [("F401", "medium", "dead_code", "src/a.py", 2, "unused"), ("S101", "high", "security", "b.py", None, "assert")]),
-    "pyright": (J({"generalDiagnostics": [{"file": "a.py", "severity": "error", "message": "m", "rule": "reportUnusedImport", "range": {"start": {"line": 2, "character": 4}}}, {"file": "b.py", "severity": "information", "message": "n"}]}), [("reportUnusedImport", "high", "typing", "a.py", 3, "m"), ("pyright", "info", "typing", "b.py", None, "n")]),
-    "bandit": ("progress\nmore\n" + J({"results": [{"filename": "./src/a.py", "test_id": "B105", "issue_text": "t", "issue_severity": "HIGH", "line_number": 9}]}), [("B105", "high", "security", "src/a.py", 9, "t")]),
-    "vulture": (J([{"filename": "a.py", "first_line": 3, "size": 2, "name": "f", "type": "function"}]), [("VULTURE_UNUSED", "low", "dead_code", "a.py", 3, "Unused function: f (size=2)")]),
-    "phpstan": (php({"identifier": "method.notFound"}), [("PHPSTAN.GENERIC", "medium", "maintainability", "a.php", 1, "one"), ("METHOD.NOTFOUND", "medium", "maintainability", "b.php", 4, "two")]),
-    "phpcs": (php({"source": "PSR2", "type": "ERROR", "column": 5}), [("PHPCS.GENERIC", "medium", "lint", "a.php", 1, "one"), ("PSR2", "high", "lint", "b.php", 4, "two")]),
-    "composer_audit": (J({"advisories": {"p/q": [{"packageName": "p/q", "cve": "CVE-1", "title": "t", "severity": "high"}]}}), [("COMPOSER.AUDIT.CVE-1", "high", "security", "composer.lock", 1, "t")]),
-    "opengrep_php": (sarif("SEC.SQL"), [("SEC.SQL", "high", "security", "src/a.py", 3, "m")]),
-    "opengrep_go": (sarif("x"), [("x", "medium", "maintainability", "src/a.py", 3, "m")]),
-    "opengrep": (sarif("SPRING.API.x"), [("SPRING.API.x", "high", "lint", "src/a.py", 3, "m")]),
-    "opengrep_infra": (sarif("INF.IAC.x"), [("INF.IAC.x", "medium", "maintainability", "src/a.py", 3, "m")]),
-    "opengrep_java": (sarif("SPRING.ACT.1"), [("SPRING.ACT.1", "high", "security", "src/a.py", 3, "m")]),
-    "opengrep_js": (sarif("TS.any", "a.tsx"), [("TS.any", "medium", "typing", "a.tsx", 3, "m")]),
-    "go_vet": ("# pkg\na/b.go:3:4: bad thing\nnoise\nx.txt:1:1: no", [("GO.VET", "medium", "maintainability", "a/b.go", 3, "bad thing")]),
-    "staticcheck": (J({"code": "SA4006", "message": "m", "location": {"file": "a.go", "line": 2, "column": 1}}) + "\nnot json\n", [("STATICCHECK.SA4006", "medium", "maintainability", "a.go", 2, "m")]),
-    "govulncheck": (J({"config": {}}) + "\n" + J({"vuln": {"osv": "go-2024-1", "summary": "s"}}), [("GOVULNCHECK.GO-2024-1", "high", "security", "go.mod", 1, "s")]),
-    "shellcheck": (J([{"file": "a.sh", "line": 1, "code": 2086, "level": "warning", "message": "q"}]), [("SHELLCHECK.SC2086", "medium", "lint", "a.sh", 1, "q")]),
-    "spotbugs": ('<BugCollection><BugInstance type="SECURITY_X" rank="4"><LongMessage>long</LongMessage><SourceLine sourcepath="a/B.java" start="7"/></BugInstance><BugInstance type="N" rank="2"/></BugCollection>', [("SECURITY_X", "high", "security", "a/B.java", 7, "long")]),
-    "checkstyle": ('<checkstyle><file name="A.java"><error line="2" column="3" severity="warning" message="m" source="x.UnusedImports"/></file></checkstyle>', [("x.UnusedImports", "low", "dead_code", "A.java", 2, "m")]),
-    "pmd": (J({"files": [{"filename": "A.java", "violations": [{"rule": "CyclomaticComplexity", "description": "d", "beginline": 4, "priority": 3}]}]}), [("CyclomaticComplexity", "medium", "complexity", "A.java", 4, "d")]),
-    "pmd_xml": ('<pmd><file name="A.java"><violation rule="UnusedLocal" beginline="5" begincolumn="1" priority="1"> text </violation></file></pmd>', [("UnusedLocal", "high", "dead_code", "A.java", 5, "text")]),
-    "errorprone": ("src/A.java:3: error: dereference [NullAway]\nother", [("NullAway", "high", "security", "src/A.java", 3, "dereference")]),
-    "dependency_check": (J({"dependencies": [{"fileName": "a.jar", "vulnerabilities": [{"name": "CVE-2", "cvssv3": {"baseScore": 9.1}, "description": " d "}]}]}), [("CVE-2", "critical", "security", "a.jar", None, "d")]),
-    "eslint": (J([{"filePath": "a.ts", "messages": [{"ruleId": "TS.any", "message": "m", "line": 1, "column": 2, "severity": 2}]}]), [("TS.any", "medium", "typing", "a.ts", 1, "m")]),
-    "typescript_diagnostics": ("src/a.ts(3,5): error TS2322: wrong type", [("TS2322", "high", "typing", "src/a.ts", 3, "wrong type")]),
-    "npm_audit": (J({"tool": "npm", "stdout": J({"vulnerabilities": {"left": {"severity": "moderate", "via": [{"source": 99, "title": "bad"}]}}})}), [("NPM.AUDIT.99", "medium", "security", "package.json", 1, "bad")]),
-    "gitleaks": (J([{"File": ".env", "Description": "key", "StartLine": 2, "RuleID": "private-key"}]), [("private_key_material", "critical", "security", ".env", 2, "key")]),
-    "trufflehog": (J({"Verified": True, "DetectorName": "AWS", "SourceMetadata": {"Data": {"Filesystem": {"file": "a", "line": 4}}}}), [("real_secret_exposure", "high", "security", "a", 4, "Verified credential detector hit: AWS")]),
-    "django_check_deploy": (J({"returncode": 1, "stdout": "?: (security.W001) mid\n?: (security.W001) mid\n", "stderr": ""}), [("DJG.CHECK.SECURITY.W001", "high", "security", "manage.py", 1, "mid")]),
-    **{t: (HITS, [("INF.X", "high", "security", "d/Dockerfile", 1, "m"), ("INF.Y", "medium", "security", "x", None, "n")]) for t in ("dockerfile_scan", "compose_scan", "quadlet_scan", "reverse_proxy_scan", "terraform_scan", "django_settings_scan", "django_template_scan")},
-    "django_orm_health": (HITS, [("INF.X", "high", "maintainability", "d/Dockerfile", 1, "m"), ("INF.Y", "medium", "maintainability", "x", None, "n")]),
-}
-
-
 def frame(spark, rows):
     return spark.createDataFrame([("p", "r", t, out, err, "/work/p") for t, out, err in rows], R.REPORT)
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.operators import baseline, discovery, findings as ops, results, scoring, secrets
-from verdigris.sources import derived, text_rules
+from verdigris.sources import derived, metrics, reports, text_rules
+from verdigris.sources.samples import CASES, SCALARS
 from verdigris.sources.work import written
 
 RUN = ["project", "run_id"]
@@ -14,6 +15,28 @@ RUN = ["project", "run_id"]
 SECRET_RULES = ["private_key_material", "probable_secret_exposure", "historical_secret_exposure", "certificate_material", "credential_hardcoding", "weak_secret_management"]
 
 
+def dealt(spark: SparkSession, d: str, samples: list[tuple[str, str]]) -> DataFrame:
+    """Reports, one for each supplier: the samples (tool, text) in turn."""
+    texts = spark.createDataFrame([(i, tool, text) for i, (tool, text) in enumerate(samples)], "i long, tool string, stdout string")
+    suppliers = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("p"), F.col("s_suppkey") % 7).alias("project"), F.col("s_suppkey").cast("string").alias("run_id"), (F.col("s_suppkey") % len(samples)).cast("long").alias("i"))
+    made = suppliers.join(texts, "i").select("project", "run_id", "tool", "stdout", F.lit("").alias("stderr"), F.lit("/work/p").alias("root"))
+    return written(made, "reports")
+
+
+def q_parse_dialects(spark: SparkSession, d: str) -> DataFrame:
+    """Reports of every dialect, read into findings."""
+    made = dealt(spark, d, [(reports.DIALECTS[name].tool or name, text) for name, (text, _) in sorted(CASES.items())])
+    found = reports.parse_all(made)
+    return found.groupBy("project", "tool", "rule_id", "severity", "category", "file", "line", "message").agg(F.count("*").alias("count"))
+
+
+def q_scalar_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Reports that carry figures, read into scalar metrics."""
+    made = dealt(spark, d, [(tool, text) for tool, (text, _) in sorted(SCALARS.items())])
+    found = metrics.scalar_metrics(made).select("project", "tool", F.explode("scalar_metrics").alias("name", "value"))
+    return found.groupBy("project", "tool", "name", "value").agg(F.count("*").alias("count"))
+
+
 def q_text_rules(spark: SparkSession, d: str) -> DataFrame:
     return text_rules.scan(derived.files(spark, d)).select("project", "file", "tool", "rule_id", "severity", "category", "language", "line", "message")
 
@@ -101,11 +124,11 @@ BY_RUN = {
 def judged_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of the derived results, judged with all counters of the policy."""
     rows = written(scan_results(spark, d), "results")
-    metrics = written(run_metrics(rows), "run-metrics")
-    cards = scoring.score_cards(scoring.category_scores(metrics))
+    measured = written(run_metrics(rows), "run-metrics")
+    cards = scoring.score_cards(scoring.category_scores(measured))
     counters = scoring.run_counters(rows).drop("finding_count")
     numbers = rows.groupBy(*RUN).agg(F.min("run_no").alias("run_no")).selectExpr(*RUN, *(f"{sql} AS {name}" for name, sql in BY_RUN.items()))
-    every = counters.join(numbers, RUN).join(cards, RUN, "left").join(scoring.security_counts(metrics), RUN, "left")
+    every = counters.join(numbers, RUN).join(cards, RUN, "left").join(scoring.security_counts(measured), RUN, "left")
     blank = {"overall_score": 100.0, "critical_security_findings": 0, "high_security_findings": 0}
     whole = every.fillna(blank)
     return scoring.policy(whole.withColumn("grade", F.coalesce("grade", scoring.grade(F.col("overall_score")))))
