@@ -1,9 +1,11 @@
 import json
 
-from verdigris.operators import portal, recommend, scoring
+from pyspark.sql import functions as F
+
+from verdigris.operators import baseline, history, portal, recommend, scoring
 from verdigris.operators.findings import classify, normalize
 from verdigris.operators.history import trend
-from verdigris.sources import artifacts, derived
+from verdigris.sources import artifacts, derived, mappings
 from verdigris.streaming import ingest
 
 D = "/root/testdata/sf0.001"
@@ -38,3 +40,28 @@ def test_stream_takes_each_finding_once(spark, tmp_path):
     ingest.to_table(rows, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.run_id, r.rule_id, r.security_class) for r in got) == [("r1", "B105", "runtime_security"), ("r2", "B105", "runtime_security")]
+
+
+def test_digests_tell_reports_apart(spark):
+    summary = spark.createDataFrame([("p", "r", 1), ("p", "s", 1), ("p", "t", 1), ("p", "u", 1)], "project string, run_id string, score int")
+    rows = [("p", "r", "a", 1), ("p", "r", "b", 2), ("p", "s", "b", 2), ("p", "s", "a", 1), ("p", "t", "a", 1)]
+    findings = spark.createDataFrame(rows, "project string, run_id string, rule string, line int")
+    got = {r.run_id: r.report_sha256 for r in artifacts.digests(summary, findings.repartition(3)).collect()}
+    assert got["r"] == got["s"] and len({got[k] for k in "rtu"}) == 3 and all(len(x) == 64 for x in got.values())
+
+
+def test_times_plans_and_samples(spark):
+    one = spark.range(1)
+    assert one.select(history.local_time(F.lit("2024-07-01 10:00:00").cast("timestamp"), "Europe/Paris")).first()[0] == "2024-07-01 12:00 Europe/Paris"
+    plan = spark.createDataFrame([("t", 1.0, 2, 3)], "title string, priority_score double, rank int, severity_rank int")
+    assert recommend.published(plan).columns == ["title", "priority_score"]
+    entries = spark.createDataFrame([(f"f{i}",) for i in range(9)], "fingerprint string")
+    assert [r.fingerprint for r in baseline.sample(entries).collect()] == ["f0", "f1", "f2", "f3", "f4"]
+
+
+def test_mappings_from_files(spark, tmp_path):
+    (tmp_path / "m.toml").write_text('[defaults]\nseverity = "low"\n[severity_prefixes]\nS = "high"\n"SE.x" = "info"\n[posture_prefixes]\nA = "b"\n')
+    found = mappings.load(str(tmp_path / "m.toml"))
+    assert found == {"severity": {"S": "high", "SE.X": "info"}, "category": {}, "posture": {"A": "b"}, "default": ("low", "lint")}
+    rows = spark.createDataFrame([("se.x1",), ("s1",), ("q",)], "rule string")
+    assert [r[0] for r in rows.select(F.expr(mappings.longest_prefix("rule", found["severity"], found["default"][0]))).collect()] == ["info", "high", "low"]

@@ -48,6 +48,11 @@ def entries_for(findings: DataFrame, owner: str, note: str, created_at: Column,
     return findings.select("fingerprint").distinct().select("fingerprint", F.lit(True).alias("accepted"), F.lit(owner).alias("owner"), F.lit(note).alias("note"), created_at.alias("created_at"), expires_at.alias("expires_at"))
 
 
+def sample(entries: DataFrame, k: int = 5) -> DataFrame:
+    """The first entries, as a dry run shows them."""
+    return entries.orderBy("fingerprint").limit(k)
+
+
 def read(spark, path: str) -> DataFrame:
     """Entries of a JSON file that is either a list of them or an object with `entries`."""
     one = "fingerprint string, accepted boolean, owner string, note string, created_at timestamp, expires_at timestamp"

@@ -55,6 +55,11 @@ def project_order(latest_runs: DataFrame) -> DataFrame:
     return latest_runs.orderBy(rank, "overall_score", "project")
 
 
+def local_time(moment: Column, zone: str) -> Column:
+    """A moment as a report shows it, in the time of a zone."""
+    return F.concat(F.date_format(F.from_utc_timestamp(moment, zone), "yyyy-MM-dd HH:mm"), F.lit(f" {zone}"))
+
+
 def complete_runs(summary: DataFrame, score: DataFrame, policy: DataFrame, manifest: DataFrame) -> DataFrame:
     """Run history: runs with summary, score and policy, and a manifest if there is one."""
     key = ["project", "run_id"]

@@ -123,6 +123,15 @@ def systemic(findings: DataFrame) -> DataFrame:
     return described(named).withColumns({"title": F.lit("Repeated issue patterns across modules"), "recommended_fix": F.lit("Create one remediation checklist and apply it consistently across affected modules.")})
 
 
+#: What ranking works with and a published plan leaves out.
+INTERNAL = ["severity_rank", "trust", "mean_confidence", "dominant_class", "rank"]
+
+
+def published(plan: DataFrame) -> DataFrame:
+    """A plan without what only its ranking needs."""
+    return plan.drop(*INTERNAL)
+
+
 def summary_text(plan: DataFrame) -> DataFrame:
     """Adds executive_summary to runs with overall_score, previous_score, top_title, quick_wins, systemic."""
     health = F.when(F.col("overall_score") >= 85, "Good").when(F.col("overall_score") >= 70, "Fair").otherwise("Needs Improvement")

@@ -39,6 +39,19 @@ def export_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def digests(summaries: DataFrame, findings: DataFrame) -> DataFrame:
+    """(project, run_id, report_sha256): a digest of each run's summary and findings.
+
+    Each finding gives a digest of its JSON; the sorted digests of a run are digested in blocks by
+    their first two digits, so no task holds more than a 256th of a run."""
+    rows = findings.select(*RUN, F.sha2(F.to_json(F.struct(*sorted(c for c in findings.columns if c not in RUN))), 256).alias("d"))
+    joined = lambda x: F.sha2(F.array_join(F.array_sort(F.collect_list(x)), "\n"), 256)
+    blocks = rows.groupBy(*RUN, F.substring("d", 1, 2).alias("block")).agg(joined("d").alias("d"))
+    whole = blocks.groupBy(*RUN).agg(joined(F.concat_ws(":", "block", "d")).alias("d"))
+    told = summaries.select(*RUN, F.to_json(F.struct(*sorted(c for c in summaries.columns if c not in RUN))).alias("summary"))
+    return told.join(whole, RUN, "left").select(*RUN, F.sha2(F.concat_ws("\n", "summary", F.coalesce("d", F.lit(""))), 256).alias("report_sha256"))
+
+
 def allocate(run_id: str, taken: set[str]) -> str:
     """The run's name, with a numbered suffix if it is taken."""
     if run_id not in taken:

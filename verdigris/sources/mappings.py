@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tomllib
+
 # Fixed values of the dialects.
 RUFF = {
     "severity": {"S": "high", "SEC": "high", "F821": "high", "F823": "high", "F824": "high", "F82": "high", "I": "low", "W": "low", "D": "low", "Q": "low", "COM": "low", "ISC": "low"},
@@ -40,3 +42,12 @@ def longest_prefix(rule: str, table: dict[str, str], default: str | None) -> str
     """A SQL ladder over prefixes, longest first: a table this small needs no join."""
     steps = " ".join(f"WHEN startswith(upper({rule}), '{p}') THEN '{v}'" for p, v in sorted(table.items(), key=lambda x: -len(x[0])))
     return f"CASE {steps} ELSE {'NULL' if default is None else repr(default)} END"
+
+
+def load(path: str) -> dict:
+    """A mapping from a TOML file: its defaults, and a table of prefixes for each thing mapped."""
+    with open(path, "rb") as f:
+        found = tomllib.load(f)
+    defaults = found.pop("defaults", {})
+    tables = {name.removesuffix("_prefixes"): {str(k).upper(): str(v) for k, v in table.items()} for name, table in found.items() if name.endswith("_prefixes")}
+    return {"severity": {}, "category": {}} | tables | {"default": (defaults.get("severity", "medium"), defaults.get("category", "lint"))}
