@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import byte_bpe, hnsw, katz, language_id, media, packing, simhash, token_counts, toxicity, url_filters
+from verdigris.llm import byte_bpe, hnsw, katz, language_id, media, packing, secret_scan, simhash, token_counts, toxicity, url_filters
 from verdigris.llm.common import table
 
 
@@ -64,6 +64,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets, by a trigram index; built-in functions only."""
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
@@ -75,7 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_katz": op9_katz,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_secret_scan": op11_secret_scan,
 }
 
 #: DuckDB SQL for those that SQL can express.
-SQL: dict[str, str] = {"op1_url_filters": url_filters.SQL}
+SQL: dict[str, str] = {"op1_url_filters": url_filters.SQL, "op11_secret_scan": secret_scan.duck_sql()}
