@@ -73,11 +73,23 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", F.xxhash64(F.col("id").cast("string"), "text"))
 
 
+def finder(wanted: set[str]) -> str:
+    """An expression that finds the wanted trigrams at every place, in either case of letters, as group
+    1. Classes of first, second and third letters turn most places away before the trigrams are tried,
+    and these share their first letters."""
+    escaped = lambda c: c if c.isalnum() else "\\" + c
+    any_of = lambda cs: "[" + "".join(map(escaped, sorted(cs))) + "]"
+    tree: dict[str, dict[str, set[str]]] = {}
+    for x, y, z in sorted(wanted):
+        tree.setdefault(x, {}).setdefault(y, set()).add(z)
+    branches = [escaped(x) + "(?:" + "|".join(escaped(y) + any_of(zs) for y, zs in ys.items()) + ")" for x, ys in tree.items()]
+    return f"(?i)(?={''.join(any_of({g[i] for g in wanted}) for i in range(3))})(?=({'|'.join(branches)}))"
+
+
 def index(rows: DataFrame, wanted: set[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The inverted index (block, gram, postings) of keyed rows over the wanted trigrams."""
     blocks = max(1, -(-rows.count() // block_rows))
-    either = "|".join("".join(x if x.isalnum() else "\\" + x for x in gram) for gram in sorted(wanted))
-    found = F.expr(f"array_distinct(transform(regexp_extract_all(text, {quoted(f'(?i)(?=({either}))')}, 1), g -> lower(g)))")
+    found = F.expr(f"array_distinct(transform(regexp_extract_all(text, {quoted(finder(wanted))}, 1), g -> lower(g)))")
     each = rows.select("key", F.pmod("key", F.lit(blocks)).cast("int").alias("block"), F.explode(found).alias("gram"))
     return each.groupBy("block", "gram").agg(F.sort_array(F.collect_set("key")).alias("postings"))
 
