@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import byte_bpe, hnsw, katz, language_id, media, packing, secret_scan, simhash, token_counts, toxicity, url_filters
+from verdigris.llm import alignment, byte_bpe, hnsw, katz, language_id, leaderboard, media, packing, secret_scan, simhash, token_counts, toxicity, url_filters
 from verdigris.llm.common import table
 
 
@@ -69,6 +69,16 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links of two tokenizers, with the corpus-wide counts of the links."""
+    return alignment.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of every nation's board of ten items, by a stream of eight batches."""
+    return leaderboard.feed(spark, *(table(spark, sf_dir, name) for name in ("sale_lines", "vendors", "items")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
@@ -81,7 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_katz": op9_katz,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_secret_scan": op11_secret_scan,
+    "op12_alignment": op12_alignment,
+    "op13_leaderboard": op13_leaderboard,
 }
 
 #: DuckDB SQL for those that SQL can express.
-SQL: dict[str, str] = {"op1_url_filters": url_filters.SQL, "op11_secret_scan": secret_scan.duck_sql()}
+SQL: dict[str, str] = {"op1_url_filters": url_filters.SQL, "op11_secret_scan": secret_scan.duck_sql(), "op13_leaderboard": leaderboard.SQL}
