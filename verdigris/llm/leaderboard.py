@@ -14,8 +14,8 @@ query of this kind may keep state once only. tens() is the first (1, 2), boards(
    Days are compared in order; what is passed on is at most ten items a shard and day, however many
    lines there are.
 
-Joins to vendors and items are left to Spark, which splits uneven ones and broadcasts a side only if
-it is under its threshold. What comes to the driver is one number a batch.
+Vendors and items are joined by merging at every size, as both grow with the input; Spark splits what is
+uneven. Nothing is broadcast, and what comes to the driver is one number a batch.
 
 Null ids are empty in the hash; lines without a vendor's nation or an item's row are ignored, but do
 count for lateness. Repeated lines count each. A repeated vendor or item counts once, by its smallest
@@ -77,7 +77,7 @@ def lines(sale_lines: DataFrame, vendors: DataFrame, items: DataFrame) -> tuple[
     nations = vendors.where("vendor_id is not null").groupBy("vendor_id").agg(F.min("nation_id").alias("nation_id"))
     prices = items.where("item_id is not null").groupBy("item_id").agg(F.min("price").alias("price"), F.lit(True).alias("listed"))
     cents = F.coalesce(c("known"), c("pieces") * F.floor(100 * c("price") + 0.5), F.lit(0.0))
-    joined = known.join(nations, "vendor_id", "left").drop("vendor_id").join(prices, "item_id", "left")
+    joined = known.join(nations.hint("merge"), "vendor_id", "left").drop("vendor_id").join(prices.hint("merge"), "item_id", "left")
     return joined.select(c("nation_id").cast("int").alias("nation_id"), c("item_id").cast("long").alias("item_id"), F.when(c("listed"), cents).alias("cents"), "arrival_day", "late", "batch"), latest
 
 
