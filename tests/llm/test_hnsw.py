@@ -63,3 +63,30 @@ def test_offsets_and_units_cost_no_recall(move, unit):
     assert hits / (10 * len(queries)) >= 0.95
     want = np.sqrt((((x - x[0]) / unit) ** 2).sum(1)) * unit
     assert np.allclose(hnsw.distance(x, x[0]), want, rtol=1e-12)
+
+
+def recall(spark, rows, *queries):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = hnsw.nearest(df, lambda c: c.isin(*queries), shard_rows=700).collect()
+    x, hits, total = np.array([v for _, v in rows]), 0, 0
+    for q in queries:
+        d = hnsw.distance(x, x[q])
+        d[q] = np.inf
+        mine = [r for r in got if r.query_id == q]
+        assert len(mine) == 10 and all(r.score == d[r.vec_id] for r in mine)
+        # a far query is as far from all near ones to the last digit: any of the tied counts
+        hits, total = hits + int((d[[r.vec_id for r in mine]] <= np.sort(d)[9]).sum()), total + 10
+    return hits / total
+
+
+@pytest.mark.parametrize("far", [1e14, 1e20, 1e60, 1e300])
+def test_one_far_vector_costs_no_recall(spark, far):
+    x = np.random.default_rng(5).normal(size=(2000, 16))
+    x[777] = far
+    assert recall(spark, list(enumerate(x)), *range(0, 2000, 100)) >= 0.95
+
+
+def test_mixed_scales_in_one_table_cost_no_recall(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2400, 16)) * np.repeat([1e-3, 1.0, 1e4, 1e20, 1e90, 1e-90], 400)[:, None]
+    assert recall(spark, list(enumerate(x)), *range(0, 2400, 100)) >= 0.95

@@ -6,8 +6,10 @@ graph of those before it (and those of its own batch), and linked to diverse nei
 back. It is stored as flat neighbour arrays in a table in the shared folder. Queries meet each
 shard in blocks; a search descends greedily from level to level and keeps the EF best at the
 bottom. Shard results, with exact distances, are merged by rank. All is computed by differences
-in double precision, within a shard on vectors moved to its middle and scaled, so that neither
-a far offset nor a large or small unit costs digits.
+in double precision, within a shard on vectors moved to the median of each coordinate, so that
+neither a far offset nor a few far vectors cost the others digits. Vectors whose magnitudes are
+dozens of powers of ten apart (CLASS) are in different shards, in units of their own, so squares
+stay within the range of a double; a query meets the shards of every class.
 
 Vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do
 rows without a key. Vectors of different lengths are in different shards and never meet.
@@ -34,6 +36,8 @@ SHARD, MOST_SHARDS, BLOCK = 8192, 2048, 16_384
 LINKS, UPPER, CANDIDATES, EF = 32, 16, 64, 160
 #: Nodes placed and queries searched at a time, and nodes that a search opens at a time.
 BATCH, STEP = 256, 4
+#: Powers of ten that a class of magnitude spans, and how far off a query may be in a shard's own unit.
+CLASS, FAR = 64, 1e150
 
 
 def diverse(x: np.ndarray, found: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
@@ -182,7 +186,8 @@ class Graph:
 
     def search(self, queries: np.ndarray, ef: int) -> np.ndarray:
         """About the ef nearest nodes of each query, nearest first, -1 where there are none."""
-        q = (queries - self.middle) / self.scale
+        with np.errstate(over="ignore"):
+            q = np.clip((queries - self.middle) / self.scale, -FAR, FAR)
         above = [(flat, part) for (_, flat), part in zip(self.levels[:0:-1], self.parts[:0:-1])]
         (members, flat), part = self.levels[0], self.parts[0]
         ids, _ = beam(part, flat, descend(above, q, len(part)), q, min(ef, len(part)))
@@ -190,10 +195,10 @@ class Graph:
 
 
 def frame(x: np.ndarray) -> tuple[np.ndarray, float]:
-    """The middle of vectors, and the size of what is left of them."""
-    low, high = x.min(0), x.max(0)
-    middle = low / 2 + high / 2
-    return middle, float(np.abs(x - middle).max()) or 1.0
+    """The middle of vectors, by coordinate, which far ones do not move; and the power of ten that keeps
+    squares of their class of magnitude within the range of a double, 1 for all but extreme ones."""
+    top = float(np.abs(x).max(initial=0.0))
+    return np.median(x, axis=0) if len(x) else np.zeros(x.shape[1]), 10.0 ** (CLASS * np.floor(np.log10(top) / CLASS + 0.5)) if top else 1.0
 
 
 def descend(above: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, placed: int) -> np.ndarray:
@@ -279,13 +284,17 @@ def nearest(df: DataFrame, is_query, *, k: int = 10, ef: int = EF, shard_rows: i
     sound = F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x)) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(sound).dropDuplicates(["id", "v"])
     rows = written(rows, "vectors")
-    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n"))
-    rows = rows.join(sizes.select("size", F.ceil(F.col("n") / F.greatest(F.lit(shard_rows), F.col("n") / MOST_SHARDS)).cast("int").alias("shards")), F.size("v") == F.col("size"))
-    named = lambda n: F.concat_ws("/", "size", n)
-    index = build_index(rows.select(named(F.pmod(F.xxhash64("id"), F.col("shards"))).alias("shard"), "id", "v"), k + 1)
+    # vectors of one size and class of magnitude share shards, so that no far one takes others' digits
+    power = F.floor(F.log10(F.array_max(F.transform("v", F.abs))) / CLASS + 0.5).cast("int")
+    rows = rows.select("id", "v", F.size("v").alias("size"), power.alias("power"))
+    sizes = rows.groupBy("size", "power").agg(F.count("*").alias("n"))
+    sizes = sizes.select("size", "power", F.ceil(F.col("n") / F.greatest(F.lit(shard_rows), F.col("n") / MOST_SHARDS)).cast("int").alias("shards"))
+    named = lambda n: F.concat_ws("/", "size", "power", n)
+    dealt = rows.join(sizes, ["size", "power"])
+    index = build_index(dealt.select(named(F.pmod(F.xxhash64("id"), F.col("shards"))).alias("shard"), "id", "v"), k + 1)
     queries = rows.where(is_query(F.col("id")))
     blocks = max(1, -(-queries.count() // block_rows))
-    asked = queries.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), named)).alias("shard"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))).cast("int").alias("block"), "id", "v")
+    asked = queries.drop("power").join(sizes, "size").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), named)).alias("shard"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))).cast("int").alias("block"), "id", "v")
     graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(mine: pa.Table, table: pa.Table) -> pa.Table:
