@@ -59,6 +59,24 @@ def test_spans_join_and_are_safe():
             assert [x for s in cut for x in enc.encode_ordinary(s)] == enc.encode_ordinary(text[:3000])
 
 
+def test_very_long_stretches_are_encoded_match_by_match(spark):
+    """Runs of one kind of character, in which no span can be cut."""
+    encode = byte_bpe.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    enc = byte_bpe.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    eager = byte_bpe.Encoder(byte_bpe.ranks_of(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, limit=2, longest=0)
+    for text in [t for t in TEXTS if t]:
+        assert eager(text[:20_000]) == enc.encode_ordinary(text[:20_000])
+    n = 3_000_000
+    texts = [" " * n + "x", "\n" * n, "\u3000" * n, " \n\u3000" * (n // 3) + "end", "a" * n, "1" * n, "!" * n]
+    for text in texts:
+        assert enc.decode_bytes(encode(text)) == text.encode()
+    assert encode(" " * n + "x") == encode(" " * (n - 1)) + enc.encode_ordinary(" x")
+    rows = spark.createDataFrame([(1, " " * n), (None, None), (None, None)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_tokens) for r in byte_bpe.encode_digests(rows, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect())
+    assert got == [("1", n), ("None", 0), ("None", 0)]
+    assert [r.n_tokens for r in token_counts.count_tokens(rows.where("doc_id = 1"), P.path("byte_bpe_50k.json"), P.PATTERN).collect()] == [n]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.count_tokens(none, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
