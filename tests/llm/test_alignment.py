@@ -85,8 +85,9 @@ def plain(texts):
 def test_report_equals_plain_loops(docs, monkeypatch):
     rows = docs.select("doc_id", "text").collect()
     want, _ = plain([r.text for r in rows])
-    got = [tuple(r) for r in A.report(docs.repartition(5), *FILES).collect()]
-    assert sorted(got, key=str) == sorted(((r.doc_id, *w) for r, w in zip(rows, want)), key=str)
+    for pattern in (None, P.PATTERN):
+        got = [tuple(r) for r in A.report(docs.repartition(5), *FILES, pattern).collect()]
+        assert sorted(got, key=str) == sorted(((r.doc_id, *w) for r, w in zip(rows, want)), key=str)
     assert sum(w[2] > 0 for w in want) >= 10
 
 
@@ -111,6 +112,15 @@ def test_bounded_buffers_and_wide_groups_give_the_same(monkeypatch):
     assert got == held
 
 
+def test_both_libraries_give_the_same_ids():
+    slow, quick = A.byte_level(FILES[0]), A.byte_level(FILES[0], P.PATTERN)
+    rng = np.random.default_rng(4)
+    letters = list("aAzZ019 \t\n\r\u00a0\u3000'’.,;!?-_<|>äßéñ漢字🎉\x00\x1c\x85ſK")
+    made = ["".join(rng.choice(letters, size=rng.integers(1, 60))) for _ in range(3000)]
+    for text in [t for t in TEXTS if t] + ["new letters \U000323b0\U000323b1 Ᲊ ՘a՘", "a\u0085b\x1cz \u3000x"] + made:
+        assert quick.encode(text) == slow.encode(text), text
+
+
 def test_table_of_pairs(spark, docs):
     _, held = plain([r.text for r in docs.select("text").collect()])
     found = A.written(A.align(docs, *FILES), "aligned")

@@ -71,7 +71,7 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's groups and links of two tokenizers, with the corpus-wide counts of the links."""
-    return alignment.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
 def op13_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
