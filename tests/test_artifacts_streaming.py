@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from verdigris.operators import baseline, history, portal, recommend, scoring
+from verdigris.operators import baseline, history, recommend, scoring
 from verdigris.operators.findings import classify, normalize
 from verdigris.operators.history import trend
 from verdigris.sources import artifacts, derived, mappings
@@ -15,18 +15,12 @@ def test_store_and_portal(spark, tmp_path):
     rows = classify(normalize(derived.findings(spark, D))).where("project in ('p1', 'p2') and run_id >= '2000-q1'").cache()
     metrics = scoring.finding_metrics(rows)
     judged = trend(scoring.policy(scoring.score_cards(scoring.category_scores(metrics)).join(scoring.security_counts(metrics), ["project", "run_id"]))).cache()
-    store = str(tmp_path / "store")
-    for _ in range(2):  # writing again replaces, never doubles
-        artifacts.persist(judged.select("project", "run_id", "overall_score", "grade"), store, "scores")
-        artifacts.persist(judged.select("project", "run_id", "status", "reasons"), store, "policies")
-    assert artifacts.runs(spark, store).count() == judged.count()
+    store, tables = str(tmp_path / "store"), {"scores": judged.select("project", "run_id", "overall_score", "grade"), "policies": judged.select("project", "run_id", "status", "reasons")}
+    for _ in range(2):  # publishing again replaces, never doubles
+        artifacts.publish(tables, store)
+    assert artifacts.runs(spark, store).count() == judged.count() and artifacts.verified(spark, store).count() == 0
     last = artifacts.latest(spark, store)
     assert {r.project: r.run_id for r in last.collect()} == {r.project: r.m for r in judged.groupBy("project").agg({"run_id": "max"}).toDF("project", "m").collect()}
-    plan = recommend.action_plan(recommend.recommendations(rows))
-    pages = {r.path: r.html for r in artifacts.portal_pages(judged, portal.affected_files(rows), portal.rule_families(rows), plan).collect()}
-    assert set(pages) == {"p1/index.html", "p2/index.html"} and "rule_family" in pages["p1/index.html"] and "<script" not in pages["p1/index.html"]
-    index = artifacts.portal_index(last)
-    assert "p1" in index and "p2" in index
     artifacts.export_json(judged.select("project", "run_id", "status"), str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == judged.count()
     assert [artifacts.allocate("r", t) for t in (set(), {"r"}, {"r", "r_01"})] == ["r", "r_01", "r_02"]

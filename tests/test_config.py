@@ -24,4 +24,6 @@ def test_gate_and_policy():
     assert C.history_gate(6000, 5000, limits)["reason"] == "commit_limit_exceeded"
     assert C.history_gate(10, 5000, limits)["reason"] == "size_limit_exceeded"
     assert C.history_gate(10, 5, limits)["allowed"] and C.history_gate(9999, 9999, limits, force=True)["allowed"]
+    assert C.history_gate(None, None, limits) == {"allowed": True, "reason": "within_limits"}
+    assert C.history_gate(None, 1000.9, limits)["allowed"]  # whole megabytes count
     assert len(C.framework_policy([])) == 4 and C.framework_policy(["django"]) == []

@@ -42,13 +42,19 @@ def totals(manifests: DataFrame) -> DataFrame:
 
 def roll_up(results: DataFrame) -> DataFrame:
     """Over a run's results (project, run_id, tool, cached_modules, cache_hits, cache_misses,
-    miss_reason_counts map<string,long>, last_cache_update): totals, rate, reasons and the last update."""
+    miss_reason_counts map<string,long>, last_cache_update): totals, rate, reasons, the last update, and
+    hits, misses and reasons of each tool, in the order of tools."""
     run = ["project", "run_id"]
-    sums = results.groupBy(*run).agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("cached_modules", "cache_hits", "cache_misses")), F.max(F.when(F.col("last_cache_update") != "", F.col("last_cache_update"))).alias("last_cache_update"))
-    reasons = results.select(*run, F.explode("miss_reason_counts").alias("reason", "n")).groupBy(*run, "reason").agg(F.sum("n").alias("n"))
-    listed = reasons.groupBy(*run).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("miss_reason_counts"))
+    sums = results.groupBy(*run, "tool").agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("cached_modules", "cache_hits", "cache_misses")), F.max(F.when(F.col("last_cache_update") != "", F.col("last_cache_update"))).alias("updated"))
+    reasons = results.select(*run, "tool", F.explode("miss_reason_counts").alias("reason", "n")).where("n IS NOT NULL").groupBy(*run, "tool", "reason").agg(F.sum("n").alias("n"))
+    listed = lambda rows, key: rows.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("miss_reason_counts"))
+    none = F.create_map().cast("map<string,bigint>")
+    own = sums.join(listed(reasons, [*run, "tool"]), [*run, "tool"], "left").withColumn("miss_reason_counts", F.coalesce("miss_reason_counts", none))
+    tools = F.array_sort(F.collect_list(F.struct("tool", F.col("cache_hits").alias("hits"), F.col("cache_misses").alias("misses"), "miss_reason_counts")), lambda a, b: F.when(a["tool"] < b["tool"], -1).when(a["tool"] > b["tool"], 1).otherwise(0))
+    totals_ = own.groupBy(*run).agg(*(F.sum(c).alias(c) for c in ("cached_modules", "cache_hits", "cache_misses")), F.max("updated").alias("last_cache_update"), tools.alias("tools"))
+    whole = listed(reasons.groupBy(*run, "reason").agg(F.sum("n").alias("n")), run)
     every = F.col("cache_hits") + F.col("cache_misses")
-    return sums.join(listed, run, "left").withColumn("hit_rate_percent", F.when(every > 0, F.round(F.col("cache_hits") / every * 100, 2)))
+    return totals_.join(whole, run, "left").withColumn("miss_reason_counts", F.coalesce("miss_reason_counts", none)).withColumn("hit_rate_percent", F.when(every > 0, F.round(F.col("cache_hits") / every * 100, 2)))
 
 
 def saved(manifests: DataFrame, decision: Column) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions import text
 from verdigris.functions.classify import security_outcome, security_rule
+from verdigris.operators.ordered import ranks, sums_before
 from verdigris.schemas import PARSER_CATEGORY, SEVERITY_RANK, lookup
 
 VERSION = "1"
@@ -61,13 +62,12 @@ def dedupe_summary(deduped: DataFrame) -> DataFrame:
 
 def payload_budget(findings: DataFrame, *, per_finding: int = 16_384, per_run: int = 10_485_760, order: list[str] | None = None) -> DataFrame:
     """Adds payload_bytes, payload_used and payload_truncated: findings draw on their run's budget in
-    the order of the report, each within its own limit."""
+    the order of the report, each within its own limit. The order has to tell a run's findings apart;
+    what the findings before have drawn is a running sum in two levels, so no task holds a run."""
     size = F.octet_length("raw_payload").cast("long")
-    before = Window.partitionBy("project", "run_id").orderBy(*(order or ["scanner_ord", "finding_ord"])).rowsBetween(Window.unboundedPreceding, -1)
-    capped = F.least(size, F.lit(per_finding))
-    left = F.greatest(F.lit(0), F.lit(per_run) - F.coalesce(F.sum(capped).over(before), F.lit(0)))
-    allowed = F.least(F.lit(per_finding), left)
-    return findings.withColumns({"payload_bytes": size, "__allowed": allowed}).withColumns({"payload_used": F.least("payload_bytes", "__allowed"), "payload_truncated": F.col("payload_bytes") > F.col("__allowed")}).drop("__allowed")
+    drawn = sums_before(findings, ["project", "run_id"], order or ["scanner_ord", "finding_ord"], F.least(size, F.lit(per_finding)), "__drawn")
+    allowed = F.least(F.lit(per_finding), F.greatest(F.lit(0), F.lit(per_run) - F.col("__drawn")))
+    return drawn.withColumns({"payload_bytes": size, "__allowed": allowed}).withColumns({"payload_used": F.least("payload_bytes", "__allowed"), "payload_truncated": F.col("payload_bytes") > F.col("__allowed")}).drop("__allowed", "__drawn")
 
 
 def publishing() -> list:
@@ -75,6 +75,11 @@ def publishing() -> list:
     return [lookup(F.col("severity"), SEVERITY_RANK, 5), "category", "file", "rule_id", "fingerprint"]
 
 
+def published_places(findings: DataFrame) -> DataFrame:
+    """Adds each finding's place in the published order of its run; findings that agree share one."""
+    return ranks(findings, ["project", "run_id"], publishing(), "place")
+
+
 def published_order(findings: DataFrame) -> DataFrame:
     """Findings in the order in which they are published."""
     return findings.orderBy(*publishing())

@@ -43,12 +43,37 @@ def zones(files: DataFrame, excludes: list[str] = [], sensitive: list[str] = SEN
     return files.groupBy("project").agg(*(F.count_if(flag).alias(zone) for zone, flag in kinds.items()))
 
 
+#: Scanners that look for secrets and so read sensitive files that are not tracked, too.
+SECRET_SCANNERS = ["gitleaks", "trufflehog", "secrets_heuristic"]
+
+
+def zoned(files: DataFrame, excludes: list[str] = [], sensitive: list[str] = SENSITIVE) -> DataFrame:
+    """Adds the zone of files (project, path, tracked) that scanners choose by: tracked, ignored_sensitive
+    or null."""
+    deny = matches_any(F.col("path"), [*excludes, *JUNK])
+    name = F.substring_index("path", "/", -1)
+    secret = matches_any(name, sensitive) | matches_any(F.col("path"), sensitive)
+    return files.withColumn("zone", F.when(F.col("tracked") & ~deny, "tracked").when(~F.col("tracked") & ~deny & secret, "ignored_sensitive"))
+
+
 def scanner_inputs(files: DataFrame, scanners: DataFrame, excludes: list[str] = []) -> DataFrame:
-    """(project, scanner, path): for each scanner (scanner, languages array) the files it reads."""
+    """(project, scanner, path): for each scanner (scanner, languages array) the files it reads. Files
+    with a zone (see zoned()) are chosen by it: tracked ones, for scanners of secrets the sensitive ones
+    too; a project without any such file gives all of its files."""
     language = F.array_compact(F.array(*(F.when(matches_any(F.col("path"), globs), name) for name, globs in LANGUAGE_GLOBS.items())))
-    able = files.where(~matches_any(F.col("path"), excludes)).select("project", "path", F.explode(language).alias("language"))
-    wanted = scanners.select("scanner", F.explode("languages").alias("language"))
-    return able.join(wanted, "language").select("project", "scanner", "path").distinct()
+    able = files.where(~matches_any(F.col("path"), excludes))
+    if "zone" not in files.columns:
+        able = able.withColumn("zone", F.lit("tracked"))
+    able = able.select("project", "path", "zone", F.explode(language).alias("language"))
+    secret = F.col("scanner").isin(SECRET_SCANNERS)
+    wanted = scanners.select("scanner", secret.alias("secret"), F.explode("languages").alias("language"))
+    rows = able.join(wanted, "language")
+    fits = (F.col("zone") == "tracked") | (F.col("secret") & (F.col("zone") == "ignored_sensitive"))
+    if "zone" in files.columns:
+        some = files.groupBy("project").agg(F.max(F.col("zone") == "tracked").alias("__some"), F.max(F.col("zone").isin("tracked", "ignored_sensitive")).alias("__secret"))
+        rows = rows.join(some, "project")
+        fits = F.coalesce(fits, F.lit(False)) | ~F.coalesce(F.when(F.col("secret"), F.col("__secret")).otherwise(F.col("__some")), F.lit(False))
+    return rows.where(fits).select("project", "scanner", "path").distinct()
 
 
 def with_zones(counted: DataFrame, zoned: DataFrame) -> DataFrame:

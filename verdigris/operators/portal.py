@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import text
@@ -41,10 +41,15 @@ def clusters(findings: DataFrame, k: int = 40) -> DataFrame:
 GROUPS = ["runtime", "tooling", "test_only", "false_positive"]
 
 
+def security_group(security_class: Column) -> Column:
+    """The group of a security class; unknown ones count as runtime."""
+    return lookup(security_class, {"tooling_security": "tooling", "test_security": "test_only", "false_positive": "false_positive"}, "runtime")
+
+
 def security_groups(findings: DataFrame) -> DataFrame:
     """Security findings of each run by group, zero where there are none; unknown classes count as
     runtime."""
-    group = lookup(F.col("security_class"), {"tooling_security": "tooling", "test_security": "test_only", "false_positive": "false_positive"}, "runtime")
+    group = security_group(F.col("security_class"))
     sec = F.col("category") == "security"
     counted = findings.groupBy(*RUN).agg(*(F.count_if(sec & (group == g)).alias(g) for g in GROUPS))
     return counted.unpivot(RUN, GROUPS, "security_group", "count")
@@ -58,11 +63,29 @@ def security_summary(findings: DataFrame) -> DataFrame:
     return rows.select(*RUN, F.split_part("name", F.lit(":"), F.lit(1)).alias("kind"), F.split_part("name", F.lit(":"), F.lit(2)).alias("value"), "count")
 
 
+# The rules of findings about reports.
+PARSER_RULES = ["PARSER.MISSING_RULE_ID", "PARSER.INVALID_PATH", "PARSER.BAD_SEVERITY", "PARSER.SCHEMA_ERROR", "PARSER.OVERSIZE_PAYLOAD", "PARSER.UNHANDLED"]
+
+
 def parser_summary(findings: DataFrame) -> DataFrame:
     """Parser findings of each run by scanner and rule, and over all scanners (scanner null)."""
     return findings.where("category = 'system/parser'").rollup(*RUN, "rule_id", "tool").agg(F.count("*").alias("count"), F.grouping_id().alias("level")).where("level <= 1").select(*RUN, "rule_id", F.col("tool").alias("scanner"), "count")
 
 
+def parser_table(findings: DataFrame) -> DataFrame:
+    """The parser findings of every run, zero-filled: each of PARSER_RULES and each other rule that the
+    run has, over all scanners (scanner null) and for each scanner that any finding is about, which its
+    symbol names."""
+    scanner = F.coalesce(F.when(F.col("symbol") != "", F.col("symbol")), F.lit("unknown"))
+    about = findings.where("category = 'system/parser'").select(*RUN, "rule_id", scanner.alias("scanner"))
+    counted = about.groupBy(*RUN, "scanner", "rule_id").agg(F.count("*").alias("n"))
+    rules = findings.select(*RUN).distinct().select(*RUN, F.explode(F.array(*map(F.lit, PARSER_RULES))).alias("rule_id")).union(about.select(*RUN, "rule_id")).distinct()
+    every = rules.withColumn("scanner", F.lit(None).cast("string")).unionByName(rules.join(about.select(*RUN, "scanner").distinct(), RUN).select(*RUN, "rule_id", "scanner"))
+    held = counted.unionByName(counted.groupBy(*RUN, "rule_id").agg(F.sum("n").alias("n")).withColumn("scanner", F.lit(None).cast("string")))
+    same = (F.col("a.project") == F.col("b.project")) & (F.col("a.run_id") == F.col("b.run_id")) & (F.col("a.rule_id") == F.col("b.rule_id")) & F.col("a.scanner").eqNullSafe(F.col("b.scanner"))
+    return every.alias("a").join(held.alias("b"), same, "left").select("a.project", "a.run_id", "a.rule_id", "a.scanner", F.coalesce("b.n", F.lit(0)).cast("long").alias("count"))
+
+
 def raw_samples(findings: DataFrame, k: int = 25) -> DataFrame:
     """The compact form of a scanner's output: how much, which rules and files, the first findings."""
     key = [*RUN, "tool"]

@@ -39,22 +39,23 @@ def keyed(findings: DataFrame) -> DataFrame:
 
 
 def features(rows: DataFrame, key: list[str]) -> DataFrame:
-    """What ranking needs of each group of keyed findings. Files are counted from one row for each
-    file of a group, and the dominant class from one for each class, so groups add up map-side."""
+    """What ranking needs of each group of keyed findings, in one pass: a row for each file of a group
+    adds up map-side, with a counter for each security class."""
     cls = lookup(F.col("security_class"), CLASS, "runtime")
     place = F.struct("scanner_ord", "finding_ord")
-    own = rows.groupBy(*key, "file", cls.alias("class")).agg(
-        F.count("*").alias("n"), F.max(lookup(F.col("severity"), RANK, 1)).alias("rank"), F.sum("confidence").alias("confidence"),
-        F.sum(confidence_weight(F.col("tool"), F.col("rule_id"), F.col("confidence"))).alias("trust"), F.min(place).alias("place"),
+    kinds = sorted({*CLASS.values(), "runtime"})
+    files = rows.groupBy(*key, "file").agg(
+        F.count("*").alias("n"), F.max(lookup(F.col("severity"), RANK, 1)).alias("rank"), F.sum("confidence").alias("confidence"), F.sum(confidence_weight(F.col("tool"), F.col("rule_id"), F.col("confidence"))).alias("trust"),
+        *(F.count_if(cls == k).alias(f"n_{k}") for k in kinds), *(F.min(F.when(cls == k, place)).alias(f"first_{k}") for k in kinds),
     )
-    classes = own.groupBy(*key, "class").agg(F.sum("n").alias("n"), F.min("place").alias("place")).groupBy(*key).agg(F.max_by("class", F.struct("n", -F.col("place.scanner_ord"), -F.col("place.finding_ord"))).alias("dominant_class"))
-    files = own.groupBy(*key, "file").agg(F.sum("n").alias("n"), F.max("rank").alias("rank"), F.sum("confidence").alias("confidence"), F.sum("trust").alias("trust"))
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("file"))
-    groups = files.withColumn("nth", nth).groupBy(*key).agg(
+    first = lambda k: F.min(f"first_{k}")
+    # the class with most findings, of several the one that is seen first
+    classes = F.array(*(F.struct(F.sum(f"n_{k}").alias("n"), -first(k)["scanner_ord"], -first(k)["finding_ord"], F.lit(k).alias("class")) for k in kinds))
+    return files.withColumn("nth", nth).groupBy(*key).agg(
         F.sum("n").alias("supporting_findings_count"), F.max("rank").alias("severity_rank"), (F.sum("confidence") / F.sum("n")).alias("mean_confidence"), (F.sum("trust") / F.sum("n")).alias("trust"),
-        F.count_if(F.col("file") != "").alias("file_count"), F.array_sort(F.collect_list(F.when(F.col("nth") <= 3, F.col("file")))).alias("example_files"),
+        F.count_if(F.col("file") != "").alias("file_count"), F.array_sort(F.collect_list(F.when(F.col("nth") <= 3, F.col("file")))).alias("example_files"), F.array_max(classes)["class"].alias("dominant_class"),
     )
-    return groups.join(classes, key)
 
 
 def described(groups: DataFrame) -> DataFrame:
@@ -132,6 +133,14 @@ def published(plan: DataFrame) -> DataFrame:
     return plan.drop(*INTERNAL)
 
 
+def summaries(cards: DataFrame, plan: DataFrame, pooled: DataFrame) -> DataFrame:
+    """The executive summary of each run with overall_score and previous_score (see history.trend), from
+    its action plan's lists and its systemic issues."""
+    lists = plan.groupBy(*RUN).agg(F.max(F.when((F.col("list") == "top") & (F.col("place") == 1), F.col("title"))).alias("top_title"), F.count_if(F.col("list") == "quick_win").alias("quick_wins"))
+    issues = pooled.groupBy(*RUN).agg(F.count("*").alias("systemic"))
+    return summary_text(cards.join(lists, RUN, "left").join(issues, RUN, "left").fillna(0, ["quick_wins", "systemic"]))
+
+
 def summary_text(plan: DataFrame) -> DataFrame:
     """Adds executive_summary to runs with overall_score, previous_score, top_title, quick_wins, systemic."""
     health = F.when(F.col("overall_score") >= 85, "Good").when(F.col("overall_score") >= 70, "Fair").otherwise("Needs Improvement")

@@ -42,8 +42,12 @@ def exit_codes(results: DataFrame, policies: DataFrame, gate: bool = True) -> Da
 def summary_lines(summary: DataFrame) -> DataFrame:
     """The text that the command line shows for a run (scanner_count, successful_scanners,
     failed_scanners, overall_score, grade, status, reasons array, the baseline's counters,
-    suppressed_count, cache_hits, cache_misses, report_root)."""
+    suppressed_count, cache_hits, cache_misses, report_root; and, if there, miss_reason_counts map and
+    secrets_suppression_rate_percent)."""
     c = F.col
+    # The words of the lines.
+    reasons = F.when((c("cache_hits") + c("cache_misses") > 0) & (F.size("miss_reason_counts") > 0), F.concat(F.lit("Miss reasons: "), F.array_join(F.transform(F.array_sort(F.map_entries("miss_reason_counts")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), " "))) if "miss_reason_counts" in summary.columns else F.lit(None)
+    noise = F.concat(F.lit("Secret scanner noise suppression: "), c("secrets_suppression_rate_percent").cast("decimal(12,2)").cast("string"), F.lit("%")) if "secrets_suppression_rate_percent" in summary.columns else F.lit(None)
     text = F.concat_ws(
         "\n",
         F.format_string("Ran %d scanners for %s (%d succeeded, %d failed)", "scanner_count", "project", "successful_scanners", "failed_scanners"),
@@ -55,6 +59,8 @@ def summary_lines(summary: DataFrame) -> DataFrame:
             *(F.coalesce(c(n).cast("long"), F.lit(0)) for n in ("gross_findings", "scored_findings", "accepted_debt", "new_findings", "resolved_findings", "suppressed_count")),
         ),
         F.when(c("cache_hits") + c("cache_misses") > 0, F.format_string("Java cache: %d hits / %d misses", "cache_hits", "cache_misses")),
+        reasons.cast("string"),
+        noise.cast("string"),
         F.when(c("status").isin("warn", "fail"), F.concat(F.lit("Policy reasons: "), F.array_join("reasons", ", "))),
         F.concat(F.lit("Report portal: "), "report_root", F.lit("/index.html")),
     )

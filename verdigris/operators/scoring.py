@@ -31,8 +31,14 @@ def finding_metrics(findings: DataFrame) -> DataFrame:
 
 
 def scalar_metrics(results: DataFrame) -> DataFrame:
-    """Metrics of scan results (project, run_id, tool, scalar_metrics map<string,double>)."""
-    named = results.where(F.col("tool").isin(SCALAR_SCANNERS)).select(*RUN, "tool", F.explode("scalar_metrics").alias("name", "value")).where(F.col("value").isNotNull() & F.col("name").isin(*SCALARS))
+    """Metrics of scan results (project, run_id, tool, scalar_metrics map<string,double>) of the scanners
+    whose scalars count."""
+    return named_scalars(results.where(F.col("tool").isin(SCALAR_SCANNERS)))
+
+
+def named_scalars(results: DataFrame) -> DataFrame:
+    """Metrics of the scalars that have a category, of any scanner; percentages are kept within 0 and 100."""
+    named = results.select(*RUN, "tool", F.explode("scalar_metrics").alias("name", "value")).where(F.col("value").isNotNull() & F.col("name").isin(*SCALARS))
     percent = F.col("name").isin([n for n, (_, p) in SCALARS.items() if p])
     clamped = F.when(percent, F.least(F.lit(100.0), F.greatest(F.lit(0.0), "value"))).otherwise(F.greatest(F.lit(0.0), "value"))
     return named.select(*RUN, "tool", lookup(F.col("name"), {n: c for n, (c, _) in SCALARS.items()}).alias("category"), F.lit("info").alias("severity"), F.lit(1).cast("long").alias("count"), F.lit(1.0).alias("weighted_count"), F.lit(1.0).alias("score_hint"), F.col("name").alias("scalar_name"), clamped.alias("scalar_value"))

@@ -68,15 +68,14 @@ def load(*files: Path, overrides: Mapping[str, Any] | None = None) -> dict[str,
 
 
 def history_gate(commits: int | None, size_mb: float | None, config: Mapping[str, Any], force: bool = False) -> dict[str, Any]:
-    """Whether a repository's history may be scanned, and why not: commits are judged before size."""
+    """Whether a repository's history may be scanned, and why not: commits are judged before size. What
+    cannot be read counts as none."""
     limits = config["secrets"]
-    if commits is None:
-        return {"allowed": False, "reason": "history_unavailable"}
     if force:
         return {"allowed": True, "reason": "forced"}
-    if commits > limits["history_commit_limit"]:
+    if (commits or 0) > limits["history_commit_limit"]:
         return {"allowed": False, "reason": "commit_limit_exceeded"}
-    if size_mb is not None and size_mb > limits["history_size_limit_mb"]:
+    if int(size_mb or 0) > limits["history_size_limit_mb"]:
         return {"allowed": False, "reason": "size_limit_exceeded"}
     return {"allowed": True, "reason": "within_limits"}
 

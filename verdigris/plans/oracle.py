@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from verdigris.functions.classify import CLASSES, CONTEXTS, DOCUMENTATION_PREFIXES, HARMLESS_LITERALS, INTERPOLATION, RUNTIME_PREFIXES, TOOLING_PREFIXES
-from verdigris.plans import oracle_scan
+from verdigris.plans import oracle_extend, oracle_scan
 from verdigris.schemas import CATEGORY_WEIGHT, DEPENDENCY_TOOLS, SEVERITY_PENALTY
 from verdigris.sources.derived import DUCK_SQL, ORDER
 
@@ -174,8 +174,15 @@ FINAL = {
       concat_ws(';', CASE WHEN high > 3 THEN 'high security findings exceed threshold (' || high || ' > 3)' END, CASE WHEN overall_score < 80 THEN 'overall score below 80' END) AS warnings,
       CASE status WHEN 'fail' THEN 'Quality policy failed' WHEN 'warn' THEN 'Quality policy warning' ELSE 'Quality policy passed' END AS summary FROM pol""",
     "recommendations": """SELECT project, run_id, category, rule_family, message_family, file_pattern, severity, n AS supporting_findings_count, files AS file_count, priority_score, priority_reason, effort, impact,
-      CASE WHEN priority_score >= 120 THEN 'Critical' WHEN priority_score >= 40 THEN 'High' WHEN priority_score >= 10 THEN 'Medium' ELSE 'Low' END AS priority, blast_radius, title, examples[1] AS "where", array_to_string(examples, ',') AS example_files, CAST(rank AS INTEGER) AS rank FROM ranked""",
+      CASE WHEN priority_score >= 120 THEN 'Critical' WHEN priority_score >= 40 THEN 'High' WHEN priority_score >= 10 THEN 'Medium' ELSE 'Low' END AS priority, blast_radius, title, named || ' ' || replace(category, '_', ' ') || ' findings with ' || replace(blast_radius, '_', ' ') || ' impact increase delivery and reliability risk.' AS why, fix AS recommended_fix, examples[1] AS "where", array_to_string(examples, ',') AS example_files, CAST(rank AS INTEGER) AS rank FROM ranked""",
     "action_plan": ACTION,
+    "executive_summary": f"""SELECT project, run_id, overall_score, previous_score, top_title, coalesce(quick_wins, 0) AS quick_wins, coalesce(systemic, 0) AS systemic,
+      'Project health is ' || CASE WHEN overall_score >= 85 THEN 'Good' WHEN overall_score >= 70 THEN 'Fair' ELSE 'Needs Improvement' END || '. The highest priority issue is ' || coalesce(top_title, 'no critical findings') || '. ' || coalesce(quick_wins, 0)
+      || ' quick wins can be completed in under one hour. ' || coalesce(systemic, 0) || ' systemic maintainability concern(s) affect multiple modules.'
+      || CASE WHEN coalesce(previous_score, 0) = 0 THEN '' WHEN overall_score >= previous_score THEN ' Score has improved since the previous run.' ELSE ' Score has declined since the previous run.' END AS executive_summary
+      FROM (SELECT project, run_id, overall_score, lag(overall_score) OVER (PARTITION BY project ORDER BY run_id) AS previous_score FROM card) t
+      LEFT JOIN (SELECT project, run_id, max(title) FILTER (list = 'top' AND place = 1) AS top_title, CAST(count(*) FILTER (list = 'quick_win') AS BIGINT) AS quick_wins FROM ({ACTION}) GROUP BY ALL) a USING (project, run_id)
+      LEFT JOIN (SELECT project, run_id, CAST(count(*) AS BIGINT) AS systemic FROM y GROUP BY ALL) s2 USING (project, run_id)""",
     "systemic": "SELECT project, run_id, severity, n AS supporting_findings_count, files AS file_count, priority_score, effort, impact, 'Repeated issue patterns across modules' AS title FROM y",
     "trend": "SELECT project, run_id, overall_score, previous_score, round(overall_score - previous_score + 1e-9, 2) AS trend_delta FROM (SELECT *, lag(overall_score) OVER (PARTITION BY project ORDER BY run_id) AS previous_score FROM card)",
     "latest": "SELECT project, run_id, overall_score, grade, status FROM pol QUALIFY row_number() OVER (PARTITION BY project ORDER BY run_id DESC) = 1",
@@ -213,8 +220,8 @@ FINAL = {
 def sql() -> dict[str, str]:
     """Each query with the parts that it needs, in order."""
     out = {}
-    for name, final in (FINAL | oracle_scan.FINAL).items():
-        known = PARTS | oracle_scan.PARTS | oracle_scan.OWN.get(name, {})
+    for name, final in (FINAL | oracle_scan.FINAL | oracle_extend.FINAL).items():
+        known = PARTS | oracle_scan.PARTS | oracle_extend.PARTS | oracle_scan.OWN.get(name, {})
         needed, todo = set(), [final]
         while todo:
             found = {p for p in re.findall(r"(?:FROM|JOIN|,)\s+(\w+)", todo.pop()) if p in known} - needed

@@ -8,7 +8,7 @@ from verdigris.plans.queries_scan import BY_RUN, SECRET_RULES
 from verdigris.schemas import CATEGORY_WEIGHT, SEVERITY_PENALTY
 from verdigris.sources import text_rules as T
 from verdigris.sources.reports import DIALECTS
-from verdigris.sources.samples import CASES, SCALARS
+from verdigris.sources.samples import SCALARS
 from verdigris.sources.derived import DUCK_SQL, FILE_RULES, RESULT_RULES
 
 
@@ -111,11 +111,9 @@ def told(rows: list[tuple], names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)}) t({names})"
 
 
-READ = told([(i, DIALECTS[name].tool or name, *finding) for i, (name, (_, findings)) in enumerate(sorted(CASES.items())) for finding in findings], "i, tool, rule_id, severity, category, file, line, message")
 FIGURES = told([(i, tool, name, figure) for i, (tool, (_, found)) in enumerate(sorted(SCALARS.items())) for name, figure in found.items()], "i, tool, name, value")
 
 FINAL = {
-    "parse_dialects": f"SELECT 'p' || (s_suppkey % 7) AS project, tool, rule_id, severity, category, file, CAST(line AS INTEGER) AS line, message, count(*) AS count FROM supplier JOIN {READ} ON s_suppkey % {len(CASES)} = i GROUP BY ALL",
     "scalar_metrics": f"SELECT 'p' || (s_suppkey % 7) AS project, tool, name, CAST(value AS DOUBLE) AS value, count(*) AS count FROM supplier JOIN {FIGURES} ON s_suppkey % {len(SCALARS)} = i GROUP BY ALL",
     "text_rules": " UNION ALL ".join(map(rule, T.RULES)) + f" UNION ALL {FORMS}",
     "file_counts": "SELECT project, " + ", ".join(f"count(*) FILTER ({reads(tool)}) AS {name}" for tool, name in T.COUNTS.items()) + " FROM files GROUP BY project",

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.operators import baseline, findings as ops, history, inventory, portal, recommend, scoring
-from verdigris.plans import queries_scan
+from verdigris.plans import queries_extend, queries_scan
 from verdigris.sources import derived, reports
 from verdigris.sources.work import written
 
@@ -81,7 +81,8 @@ def q_dedupe_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_payload_budget(spark: SparkSession, d: str) -> DataFrame:
-    rows = ops.payload_budget(derived.findings(spark, d), per_finding=48, per_run=2000, order=derived.ORDER)
+    rows = derived.findings(spark, d).select(*RUN, *derived.ORDER)
+    rows = ops.payload_budget(rows, per_finding=48, per_run=2000, order=derived.ORDER)
     return rows.groupBy(*RUN).agg(F.sum("payload_bytes").alias("payload_bytes"), F.sum("payload_used").alias("payload_used"), F.count_if("payload_truncated").alias("truncated"))
 
 
@@ -89,8 +90,7 @@ def q_severity_order(spark: SparkSession, d: str) -> DataFrame:
     """The place of each finding in the published order of its run: severity, category, file, rule and
     fingerprint. Findings that agree in all of these share a place."""
     rows = identified(spark, d, "severity", "category", "file", "rule_id")
-    place = F.rank().over(Window.partitionBy(*RUN).orderBy(*ops.publishing()))
-    return rows.select(*RUN, "finding_ord", "tool", place.alias("place"))
+    return ops.published_places(rows).select(*RUN, "finding_ord", "tool", F.col("place").cast("int").alias("place"))
 
 
 def q_baseline_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +120,7 @@ def q_policy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plan_columns(rows: DataFrame) -> DataFrame:
-    return rows.select(*RUN, *recommend.KEY, "severity", "supporting_findings_count", "file_count", "priority_score", "priority_reason", "effort", "impact", "priority", "blast_radius", "title", "where", F.array_join("example_files", ",").alias("example_files"), "rank")
+    return rows.select(*RUN, *recommend.KEY, "severity", "supporting_findings_count", "file_count", "priority_score", "priority_reason", "effort", "impact", "priority", "blast_radius", "title", "why", "recommended_fix", "where", F.array_join("example_files", ",").alias("example_files"), "rank")
 
 
 def q_recommendations(spark: SparkSession, d: str) -> DataFrame:
@@ -131,6 +131,14 @@ def q_action_plan(spark: SparkSession, d: str) -> DataFrame:
     return recommend.action_plan(recommend.recommendations(clustered(spark, d))).select(*RUN, "list", "place", "title", "priority_score", "supporting_findings_count")
 
 
+def q_executive_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What each run's plan says in one paragraph, with the run before it."""
+    rows = clustered(spark, d)
+    plan = recommend.action_plan(recommend.recommendations(rows))
+    found = recommend.summaries(history.trend(cards(spark, d)), plan, recommend.systemic(rows))
+    return found.select(*RUN, "overall_score", "previous_score", "top_title", "quick_wins", "systemic", "executive_summary")
+
+
 def q_systemic(spark: SparkSession, d: str) -> DataFrame:
     return recommend.systemic(clustered(spark, d)).select(*RUN, "severity", "supporting_findings_count", "file_count", "priority_score", "effort", "impact", "title")
 
@@ -219,4 +227,4 @@ def q_parse_reports(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("project", "tool", "rule_id", "severity", "category", "file", "line").agg(F.count("*").alias("count"), F.count("problem").alias("problems"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name[2:]: f for name, f in [*globals().items(), *vars(queries_scan).items()] if name.startswith("q_")}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name[2:]: f for name, f in [*globals().items(), *vars(queries_scan).items(), *vars(queries_extend).items()] if name.startswith("q_")}

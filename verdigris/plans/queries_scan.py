@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.operators import baseline, discovery, findings as ops, results, scoring, secrets
-from verdigris.sources import derived, metrics, reports, text_rules
-from verdigris.sources.samples import CASES, SCALARS
+from verdigris.sources import derived, metrics, text_rules
+from verdigris.sources.samples import SCALARS
 from verdigris.sources.work import written
 
 RUN = ["project", "run_id"]
@@ -23,13 +23,6 @@ def dealt(spark: SparkSession, d: str, samples: list[tuple[str, str]]) -> DataFr
     return written(made, "reports")
 
 
-def q_parse_dialects(spark: SparkSession, d: str) -> DataFrame:
-    """Reports of every dialect, read into findings."""
-    made = dealt(spark, d, [(reports.DIALECTS[name].tool or name, text) for name, (text, _) in sorted(CASES.items())])
-    found = reports.parse_all(made)
-    return found.groupBy("project", "tool", "rule_id", "severity", "category", "file", "line", "message").agg(F.count("*").alias("count"))
-
-
 def q_scalar_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Reports that carry figures, read into scalar metrics."""
     made = dealt(spark, d, [(tool, text) for tool, (text, _) in sorted(SCALARS.items())])

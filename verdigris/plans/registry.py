@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.classify import CLASSES, CONTEXTS, OUTCOMES
 from verdigris.operators.findings import VERSION
-from verdigris.schemas import SCALAR_SCANNERS, SCANNERS
+from verdigris.schemas import PARSER_MISSING, SCALAR_SCANNERS, SCANNERS
+from verdigris.sources import mappings, reports
 from verdigris.sources.metrics import SCALAR_DIALECTS
-from verdigris.sources.reports import DIALECTS
+from verdigris.sources.reports import DIALECTS, Dialect, Reader
 
 
 @dataclass(frozen=True)
@@ -51,19 +52,34 @@ class DuplicateError(ValueError):
 
 @dataclass
 class Registry:
-    """Profiles by name and the reader of each scanner; a user's own are registered like the built-in."""
+    """Profiles by name, and the reader of each scanner: dialects, in one or several forms, or a Python
+    function. parse() and outcomes() dispatch to what is registered, built-in or a user's own."""
 
     profiles: dict[str, Profile] = field(default_factory=dict)
     readers: dict[str, str] = field(default_factory=dict)
+    dialects: dict[str, Dialect] = field(default_factory=dict)
+    functions: dict[str, Reader] = field(default_factory=dict)
 
     def add_profile(self, profile: Profile) -> None:
         self.profiles[profile.name] = profile
 
-    def add_reader(self, name: str, *scanners: str) -> None:
+    def add_reader(self, name: str, *scanners: str, dialects: dict[str, Dialect] | None = None, function: Reader | None = None) -> None:
+        """A reader for scanners: dialects by name, each for the scanner that it names as its tool or is
+        named after, or a function. Without either, the scanner's output carries no findings."""
         for scanner in scanners:
             if scanner in self.readers:
                 raise DuplicateError(f"{scanner} is read by {self.readers[scanner]} already")
-            self.readers[scanner] = name
+        stray = {d.tool or n for n, d in (dialects or {}).items()} - set(scanners)
+        if stray:
+            raise ValueError(f"{name} has dialects of {sorted(stray)}, which it is not registered for")
+        self.readers |= {scanner: name for scanner in scanners}
+        self.dialects |= dialects or {}
+        if function:
+            self.functions |= {scanner: function for scanner in scanners}
+
+    def use_mapping(self, dialect: str, path: str) -> None:
+        """Has a dialect go by the prefixes of a TOML file from now on."""
+        self.dialects[dialect] = reports.with_mapping(self.dialects[dialect], mappings.load(path))
 
     def reader(self, scanner: str) -> str:
         """The reader of a scanner, or the name that one would have."""
@@ -73,6 +89,10 @@ class Registry:
         """The scanners, in order, whose reports nothing reads."""
         return [s for s in scanners if s not in self.readers]
 
+    def parse(self, found: DataFrame) -> DataFrame:
+        """Findings of reports by the registered readers, and a parser finding for each unsound report."""
+        return reports.parse_all(found, dialects=self.dialects, functions=self.functions)
+
 
 def builtin() -> Registry:
     """The registry of all that the engine brings."""
@@ -80,10 +100,35 @@ def builtin() -> Registry:
     for profile in PROFILES:
         made.add_profile(profile)
     for tool in dict.fromkeys([*(d.tool or name for name, d in DIALECTS.items()), *SCALAR_DIALECTS]):
-        made.add_reader(f"{tool}_parser", tool)
+        made.add_reader(f"{tool}_parser", tool, dialects={name: d for name, d in DIALECTS.items() if (d.tool or name) == tool})
     return made
 
 
+def reader_rows(spark: SparkSession, registry: Registry) -> DataFrame:
+    """(tool, reader) of all that is registered."""
+    return spark.createDataFrame(sorted(registry.readers.items()), "tool string, reader string")
+
+
+def outcomes(found: DataFrame, registry: Registry) -> DataFrame:
+    """The result of reading each report (project, run_id, tool): success, error_code, how many findings
+    it gave and whether it was unsound, the reader it has or would have, and what to do if it has none."""
+    rows = reports.entries_of(found, registry.dialects, registry.functions).groupBy("project", "run_id", "tool").agg(F.count("*").alias("n"), F.max("problem").alias("problem"))
+    every = found.select("project", "run_id", "tool").distinct().join(reader_rows(found.sparkSession, registry), "tool", "left").join(rows, ["project", "run_id", "tool"], "left")
+    unread, bad = F.col("reader").isNull(), F.col("problem").isNotNull()
+    expected = F.coalesce("reader", F.concat("tool", F.lit("_parser")))
+    return every.select(
+        "project", "run_id", "tool", (~unread).alias("success"), F.when(unread, PARSER_MISSING).alias("error_code"), F.when(unread, 0).when(bad, 1).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("finding_count"),
+        F.when(bad & ~unread, 1).otherwise(0).cast("long").alias("invalid_finding_count"), F.col("problem"), expected.alias("expected_parser"), F.when(unread, F.format_string("Register parser '%s' for scanner '%s'.", expected, F.col("tool"))).alias("remediation"),
+    )
+
+
+def conflicts(registrations: DataFrame) -> DataFrame:
+    """(tool, reader, registered): registrations (tool, reader, place) that come after another reader of
+    their scanner, with the one that holds it."""
+    first = registrations.groupBy("tool").agg(F.min_by("reader", "place").alias("registered"))
+    return registrations.join(first, "tool").where(F.col("reader") != F.col("registered")).select("tool", "reader", "registered")
+
+
 def profile_rows(spark: SparkSession, registry: Registry | None = None) -> DataFrame:
     """The profiles as a table, in order of their names."""
     found = registry or builtin()

@@ -1,31 +1,92 @@
-"""Run artifacts: partitioned tables as the store, JSON documents and a static portal as exports."""
+"""Run artifacts: tables of runs under manifests as the store, and JSON documents as exports."""
 
 from __future__ import annotations
 
-import html
-import json
-from collections.abc import Iterator
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from verdigris.operators import history
+from verdigris.sources.work import moved
+
+#: The version of what a run's artifacts hold.
+SCHEMA_VERSION = "1"
 
 RUN = ["project", "run_id"]
 
 
-def persist(rows: DataFrame, store: str, name: str) -> None:
-    """Write a table of runs, replacing just the runs that rows holds. Commits are Spark's own."""
-    rows.write.partitionBy(*RUN).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{store.rstrip('/')}/{name}")
+def publish(tables: dict[str, DataFrame], store: str, commit: str | None = None) -> str:
+    """Adds runs to a store: the tables' files first, then a manifest of their runs, which is moved into
+    place. Readers go by manifests only, so a commit is seen whole or not at all, whenever it ends; a
+    run that is published again is replaced by the later commit, by name. Gives the commit's name."""
+    spark, store = next(iter(tables.values())).sparkSession, store.rstrip("/")
+    commit = commit or f"c{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    written = {}
+    for name, rows in tables.items():
+        path = f"{store}/data/{name}/commit={commit}"
+        rows.write.partitionBy(*RUN).parquet(path)
+        written[name] = spark.read.schema(rows.schema).parquet(path)
+    manifest_rows(written).write.parquet(f"{store}/staged/{commit}")
+    moved(spark, f"{store}/staged/{commit}", f"{store}/manifests/commit={commit}")
+    return commit
+
+
+def manifest_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row a run: when it was made, what its tables hold, and of the tables scores and findings, if
+    there, the score, the grade and the findings of four severities."""
+    counted = None
+    for name, rows in tables.items():
+        part = rows.groupBy(*RUN).agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(c for c in rows.columns if c not in RUN)).cast("decimal(38,0)")).cast("string").alias("digest")).withColumn("name", F.lit(name))
+        counted = part if counted is None else counted.unionByName(part)
+    runs = counted.groupBy(*RUN).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.struct(F.col("n").alias("rows"), "digest"))))).alias("tables"))
+    if "scores" in tables:
+        runs = runs.join(tables["scores"].select(*RUN, F.col("overall_score").alias("score"), "grade"), RUN, "left")
+    if "findings" in tables:
+        severities = ["critical", "high", "medium", "low"]
+        runs = runs.join(tables["findings"].groupBy(*RUN).agg(*(F.count_if(F.col("severity") == s).alias(s) for s in severities)), RUN, "left").fillna(0, severities)
+    return runs.withColumns({"generated_at": F.current_timestamp(), "report_path": F.concat(F.lit("projects/"), "project", F.lit("/runs/"), "run_id", F.lit("/report.html")), "schema_version": F.lit(SCHEMA_VERSION)})
+
+
+def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
+    """A partitioned table, its partition columns as the texts that they were written as."""
+    found = spark.read.parquet(path).schema
+    for field in found:
+        if field.name in ("commit", *RUN):
+            field.dataType = StringType()
+    return spark.read.schema(found).parquet(path)
+
+
+def manifests(spark: SparkSession, store: str) -> DataFrame:
+    """The manifest of each run: the last that was committed."""
+    rows = read_partitioned(spark, f"{store.rstrip('/')}/manifests")
+    return rows.groupBy(*RUN).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in RUN]), "commit").alias("m")).select(*RUN, "m.*")
 
 
 def load(spark: SparkSession, store: str, name: str) -> DataFrame:
-    """A stored table; filters on project and run_id prune partitions."""
-    return spark.read.parquet(f"{store.rstrip('/')}/{name}").withColumns({c: F.col(c).cast("string") for c in RUN})
+    """A stored table's committed rows; filters on project and run_id prune partitions."""
+    rows = read_partitioned(spark, f"{store.rstrip('/')}/data/{name}")
+    return rows.join(manifests(spark, store).select(*RUN, "commit"), [*RUN, "commit"], "left_semi").drop("commit")
+
+
+def verified(spark: SparkSession, store: str) -> DataFrame:
+    """(project, run_id, name, told, found): tables of committed runs whose rows are not those that the
+    manifest tells."""
+    told = manifests(spark, store).select(*RUN, "commit", F.explode("tables").alias("name", "t")).select(*RUN, "name", "t")
+    names = [r["name"] for r in told.select("name").distinct().collect()]
+    found = None
+    for name in names:
+        rows = load(spark, store, name)
+        part = rows.groupBy(*RUN).agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(c for c in rows.columns if c not in RUN)).cast("decimal(38,0)")).cast("string").alias("digest")).withColumn("name", F.lit(name))
+        found = part if found is None else found.unionByName(part)
+    both = told.join(found, [*RUN, "name"], "left")
+    return both.where(~(F.col("t.rows").eqNullSafe(F.col("n")) & F.col("t.digest").eqNullSafe(F.col("digest")))).select(*RUN, "name", F.col("t.rows").alias("told"), F.col("n").alias("found"))
 
 
 def runs(spark: SparkSession, store: str) -> DataFrame:
-    """History of the runs that have score and policy."""
+    """History of the runs that have score and policy, with their manifests' counts."""
     return load(spark, store, "scores").join(load(spark, store, "policies").select(*RUN, "status", "reasons"), RUN)
 
 
@@ -60,49 +121,3 @@ def allocate(run_id: str, taken: set[str]) -> str:
     while f"{run_id}_{n:02d}" in taken:
         n += 1
     return f"{run_id}_{n:02d}"
-
-
-STYLE = "body{font-family:sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #999;padding:.3em .6em;text-align:left}.fail{color:#a00}.warn{color:#a60}.pass{color:#060}"
-
-
-def page(title: str, body: str) -> str:
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{STYLE}</style></head><body><h1>{html.escape(title)}</h1>{body}</body></html>"
-
-
-def grid(header: list[str], rows: Iterator) -> str:
-    cell = lambda x: "" if x is None else html.escape(json.dumps(x) if isinstance(x, (list, dict)) else str(x))
-    return "<table><tr>" + "".join(f"<th>{html.escape(h)}</th>" for h in header) + "</tr>" + "".join("<tr>" + "".join(f"<td>{cell(x)}</td>" for x in r) + "</tr>" for r in rows) + "</table>"
-
-
-def portal_pages(cards: DataFrame, files: DataFrame, families: DataFrame, plan: DataFrame) -> DataFrame:
-    """(path, html): a page for each project, made where its rows are. Each input has a bound a run
-    (one card, ten files, twelve families, 25 of the plan), so a page gathers few rows."""
-    import pandas as pd
-
-    kinds = {
-        "cards": cards.select(*RUN, F.to_json(F.struct("run_id", "overall_score", "grade", "status", "trend_delta")).alias("row"), F.lit(0).alias("rank")),
-        "files": files.select(*RUN, F.to_json(F.struct("run_id", "file", "count")).alias("row"), "rank"),
-        "families": families.select(*RUN, F.to_json(F.struct("run_id", "rule_family", "count")).alias("row"), "rank"),
-        "plan": plan.where("list = 'top'").select(*RUN, F.to_json(F.struct("run_id", "title", "priority_score")).alias("row"), F.col("place").alias("rank")),
-    }
-    sections, rows = list(kinds), None
-    for kind, df in kinds.items():
-        part = df.withColumn("kind", F.lit(kind))
-        rows = part if rows is None else rows.unionByName(part)
-
-    def render(pdf: pd.DataFrame) -> pd.DataFrame:
-        project, body = pdf["project"].iloc[0], ""
-        for kind in sections:
-            part = pdf[pdf["kind"] == kind].sort_values(["run_id", "rank"])
-            found = [json.loads(x) for x in part["row"]]
-            names = list(dict.fromkeys(k for x in found for k in x))
-            body += f"<h2>{kind}</h2>" + grid(names, ([x.get(k) for k in names] for x in found))
-        return pd.DataFrame({"path": [f"{project}/index.html"], "html": [page(project, body)]})
-
-    return rows.groupBy("project").applyInPandas(render, "path string, html string")
-
-
-def portal_index(latest_runs: DataFrame) -> str:
-    """The index over the projects' last runs, which the driver renders: one row a project."""
-    rows = history.project_order(latest_runs).select("project", "overall_score", "grade", "status").toLocalIterator()
-    return page("Projects", grid(["project", "score", "grade", "policy"], rows))

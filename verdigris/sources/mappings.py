@@ -1,9 +1,16 @@
-"""Rule-id prefixes that decide severity and category; the longest that fits holds."""
+"""Rule-id prefixes that decide severity and category; the longest that fits holds.
+
+A dialect holds its table as a ladder of expressions; a table of any size, such as a loaded file's or
+one of a store, is joined to the distinct rules.
+"""
 
 from __future__ import annotations
 
 import tomllib
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 # Fixed values of the dialects.
 RUFF = {
     "severity": {"S": "high", "SEC": "high", "F821": "high", "F823": "high", "F824": "high", "F82": "high", "I": "low", "W": "low", "D": "low", "Q": "low", "COM": "low", "ISC": "low"},
@@ -40,6 +47,8 @@ ESLINT = {
 
 def longest_prefix(rule: str, table: dict[str, str], default: str | None) -> str:
     """A SQL ladder over prefixes, longest first: a table this small needs no join."""
+    if not table:
+        return "NULL" if default is None else repr(default)
     steps = " ".join(f"WHEN startswith(upper({rule}), '{p}') THEN '{v}'" for p, v in sorted(table.items(), key=lambda x: -len(x[0])))
     return f"CASE {steps} ELSE {'NULL' if default is None else repr(default)} END"
 
@@ -51,3 +60,23 @@ def load(path: str) -> dict:
     defaults = found.pop("defaults", {})
     tables = {name.removesuffix("_prefixes"): {str(k).upper(): str(v) for k, v in table.items()} for name, table in found.items() if name.endswith("_prefixes")}
     return {"severity": {}, "category": {}} | tables | {"default": (defaults.get("severity", "medium"), defaults.get("category", "lint"))}
+
+
+def table(spark: SparkSession, loaded: dict) -> DataFrame:
+    """(thing, prefix, value) of a loaded mapping, the default as the empty prefix."""
+    rows = [(thing, prefix, value) for thing, found in loaded.items() if thing != "default" for prefix, value in found.items()]
+    rows += [(thing, "", value) for thing, value in zip(("severity", "category"), loaded["default"])]
+    return spark.createDataFrame(rows, "thing string, prefix string, value string")
+
+
+def joined(findings: DataFrame, prefixes: DataFrame, things: list[str], rule: str = "rule_id") -> DataFrame:
+    """Adds each thing's value of the longest of its prefixes (thing, prefix, value) that starts the rule,
+    in any case of letters; null if none does. Each distinct rule looks its own prefixes up by equality,
+    the longest of those found holds, and the findings are joined to that."""
+    lengths = F.expr("transform(sequence(0, length(r)), n -> left(r, n))")
+    rules = findings.select(F.upper(rule).alias("r")).distinct().where("r IS NOT NULL")
+    known = prefixes.select("thing", F.upper("prefix").alias("prefix"), "value")
+    hits = rules.select("r", F.explode(lengths).alias("prefix")).join(known, "prefix")
+    best = hits.groupBy("r").agg(*(F.max_by(F.when(F.col("thing") == t, F.col("value")), F.when(F.col("thing") == t, F.length("prefix"))).alias(f"__{t}") for t in things))
+    kept = [c for c in findings.columns if c not in things]
+    return findings.join(best, F.upper(rule) == F.col("r"), "left").select(*kept, *(F.col(f"__{t}").alias(t) for t in things))

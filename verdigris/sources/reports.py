@@ -8,14 +8,20 @@ nothing else (see operators.findings.parser_failures). Report files come in by w
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.operators.findings import parser_failures
 from verdigris.schemas import SCANNERS
 from verdigris.sources import mappings as M
+from verdigris.sources.work import written
+
+#: A reader of one's own: (stdout, stderr, root) -> findings as dictionaries.
+Reader = Callable[[str, str, str], Iterable[dict]]
 
 REPORT = "project string, run_id string, tool string, stdout string, stderr string, root string"
 
@@ -81,8 +87,16 @@ def sarif(rule_default: str, severity: str, category: str, language: str, tags:
     )
 
 
-def mapped(table: dict, rule: str) -> dict[str, str]:
-    return {"severity": M.longest_prefix(rule, table["severity"], table["default"][0]), "category": M.longest_prefix(rule, table["category"], table["default"][1])}
+def mapped(table: dict) -> dict[str, str]:
+    """Severity and category of an entry by its rule, which the other fields know as rule_id."""
+    return {"severity": M.longest_prefix("rule_id", table["severity"], table["default"][0]), "category": M.longest_prefix("rule_id", table["category"], table["default"][1])}
+
+
+def with_mapping(d: Dialect, table: dict) -> Dialect:
+    """A dialect whose severities and categories follow from a table of prefixes, as mappings.load()
+    gives it; where that names posture, so do its tags."""
+    posture = {"tags": f"array_compact(array({M.longest_prefix('rule_id', table['posture'], None)}))"} if table.get("posture") else {}
+    return replace(d, **mapped(table), **posture)
 
 
 def listed(category: str, language: str, rows: str = items("$.findings")) -> Dialect:
@@ -107,14 +121,12 @@ FILE_MESSAGES = f"flatten(transform({entries('$.files')}, f -> transform(coalesc
 NESTED = lambda outer, inner, key: f"flatten(transform({outer}, f -> transform(coalesce(try_variant_get(f, '{inner}', 'array<variant>'), array()), m -> parse_json(concat('{{\"k\":', coalesce(to_json(try_variant_get(f, '{key}', 'variant')), 'null'), ',\"v\":', to_json(m), '}}')))))"
 PMD_CATEGORY = "CASE WHEN lower({0}) LIKE '%security%' THEN 'security' WHEN lower({0}) LIKE '%unused%' THEN 'dead_code' WHEN lower({0}) LIKE '%cyclo%' OR lower({0}) LIKE '%complexity%' THEN 'complexity' WHEN lower({0}) LIKE '%design%' OR lower({0}) LIKE '%simplify%' THEN 'maintainability' ELSE 'lint' END"
 AUDIT = "doc2"
-ESLINT_LEVEL = M.longest_prefix(f"coalesce({s('$.v.ruleId')}, 'ESLINT.UNKNOWN')", M.ESLINT["severity"], "medium")
-PHP_RULE = f"coalesce({s('$.ruleId')}, 'OPENGREP_PHP')"
+ESLINT_LEVEL = M.longest_prefix("rule_id", M.ESLINT["severity"], "medium")
 SECRET = f"upper(coalesce({s('$.RuleID')}, {s('$.rule')}, ''))"
 VERIFIED = "coalesce(try_variant_get(r, '$.Verified', 'boolean'), false)"
-SPRING_RULE = f"coalesce({s('$.ruleId')}, 'OPENGREP_JAVA')"
 
 DIALECTS: dict[str, Dialect] = {
-    "ruff": Dialect(items("$"), s("$.filename"), CODE, s("$.message"), n("$.location.row"), n("$.location.column"), **mapped(M.RUFF, CODE), language="'python'", required=True, whole=("$.location.row", "$.location.column"), needed=("$.filename", "$.code", "$.message")),
+    "ruff": Dialect(items("$"), s("$.filename"), CODE, s("$.message"), n("$.location.row"), n("$.location.column"), **mapped(M.RUFF), language="'python'", required=True, whole=("$.location.row", "$.location.column"), needed=("$.filename", "$.code", "$.message")),
     "pyright": Dialect(
         items("$.generalDiagnostics"), s("$.file"), f"coalesce({s('$.rule')}, 'pyright')", s("$.message"), n("$.range.start.line") + " + 1", n("$.range.start.character") + " + 1", required=True, language="'python'", needed=("$.file", "$.message"),
         severity=severity_of(s("$.severity"), {"error": "high", "warning": "medium", "information": "info", "info": "info"}, "low"), category=f"CASE WHEN lower({s('$.rule')}) LIKE '%import%' THEN 'typing' WHEN lower({s('$.rule')}) LIKE '%unused%' THEN 'dead_code' ELSE 'typing' END",
@@ -126,17 +138,17 @@ DIALECTS: dict[str, Dialect] = {
         severity=f"CASE WHEN lower(coalesce({s('$.severity')}, {s('$.cvss')}, 'medium')) LIKE '%critical%' THEN 'critical' WHEN lower(coalesce({s('$.severity')}, {s('$.cvss')}, 'medium')) LIKE '%high%' THEN 'high' WHEN lower(coalesce({s('$.severity')}, {s('$.cvss')}, 'medium')) LIKE '%low%' THEN 'low' ELSE 'medium' END",
     ),
     "phpcs": Dialect(FILE_MESSAGES, s("$.k"), f"coalesce({s('$.v.source')}, 'PHPCS.GENERIC')", s("$.v.message"), f"coalesce({n('$.v.line')}, 1)", n("$.v.column"), severity=f"CASE WHEN lower(coalesce({s('$.v.type')}, 'warning')) = 'warning' THEN 'medium' ELSE 'high' END", category="'lint'", language="'php'", payload="to_json(variant_get(r, '$.v', 'variant'))"),
-    "opengrep_php": sarif("OPENGREP_PHP", f"CASE WHEN upper({PHP_RULE}) LIKE 'SEC%' OR upper({PHP_RULE}) LIKE '%SQL%' THEN 'high' WHEN upper({PHP_RULE}) LIKE 'STYLE%' THEN 'low' ELSE 'medium' END", f"CASE WHEN upper({PHP_RULE}) LIKE 'SEC%' OR upper({PHP_RULE}) LIKE '%XSS%' OR upper({PHP_RULE}) LIKE '%SQL%' THEN 'security' WHEN upper({PHP_RULE}) LIKE 'DEAD%' THEN 'dead_code' ELSE 'maintainability' END", "'php'"),
+    "opengrep_php": sarif("OPENGREP_PHP", f"CASE WHEN upper(rule_id) LIKE 'SEC%' OR upper(rule_id) LIKE '%SQL%' THEN 'high' WHEN upper(rule_id) LIKE 'STYLE%' THEN 'low' ELSE 'medium' END", f"CASE WHEN upper(rule_id) LIKE 'SEC%' OR upper(rule_id) LIKE '%XSS%' OR upper(rule_id) LIKE '%SQL%' THEN 'security' WHEN upper(rule_id) LIKE 'DEAD%' THEN 'dead_code' ELSE 'maintainability' END", "'php'"),
     "go_vet": Dialect(lines_of(r"^([^:]*\.go):(\d+):(\d+):\s*(.*?)\s*$", ["file", "line", "column", "message"], BOTH), s("$.file"), "'GO.VET'", s("$.message"), n("$.line"), n("$.column"), category="'maintainability'", language="'go'", form="text"),
     "staticcheck": Dialect("lines", s("$.location.file"), f"concat('STATICCHECK.', coalesce({s('$.code')}, 'STATICCHECK'))", f"coalesce({s('$.message')}, 'Staticcheck issue')", f"coalesce({n('$.location.line')}, 1)", n("$.location.column"), category="'maintainability'", language="'go'", form="lines"),
     "govulncheck": Dialect("filter(lines, x -> try_variant_get(x, '$.vuln', 'variant') IS NOT NULL)", "'go.mod'", f"concat('GOVULNCHECK.', upper(coalesce({s('$.vuln.osv')}, 'UNKNOWN')))", f"coalesce({s('$.vuln.summary')}, 'Go vulnerability detected')", "1", severity="'high'", language="'go'", form="lines"),
     "opengrep_go": sarif("OPENGREP_GO", "'medium'", "'maintainability'", "'go'"),
     "vulture": Dialect(items("$"), s("$.filename"), "'VULTURE_UNUSED'", f"concat('Unused ', coalesce({s('$.type')}, {s('$.typ')}, 'symbol'), ': ', coalesce({s('$.name')}, '<unknown>'), coalesce(concat(' (size=', {s('$.size')}, ')'), ''))", n("$.first_line"), severity="'low'", category="'dead_code'", language="'python'", required=True, needed=("$.filename",), whole=("$.first_line",)),
     "bandit": Dialect(items("$.results"), s("$.filename"), s("$.test_id"), s("$.issue_text"), n("$.line_number"), severity=severity_of(s("$.issue_severity"), {"high": "high", "low": "low"}, "medium"), language="'python'", required=True, needed=("$.filename", "$.test_id", "$.issue_text"), whole=("$.line_number",)),
-    "opengrep": sarif("OPENGREP", **mapped(M.OPENGREP, f"coalesce({s('$.ruleId')}, 'OPENGREP')"), language="'python'"),
-    "opengrep_infra": sarif("OPENGREP_INFRA", **mapped(M.OPENGREP_INFRA, f"coalesce({s('$.ruleId')}, 'OPENGREP_INFRA')"), language="'general'"),
-    "opengrep_java": sarif("OPENGREP_JAVA", **mapped(M.SPRING, SPRING_RULE), language="'java'", tags=f"array_compact(array({M.longest_prefix(SPRING_RULE, M.SPRING['posture'], None)}))"),
-    "opengrep_js": sarif("OPENGREP_JS", **mapped(M.OPENGREP_JS, f"coalesce({s('$.ruleId')}, 'OPENGREP_JS')"), language=SUFFIX),
+    "opengrep": sarif("OPENGREP", **mapped(M.OPENGREP), language="'python'"),
+    "opengrep_infra": sarif("OPENGREP_INFRA", **mapped(M.OPENGREP_INFRA), language="'general'"),
+    "opengrep_java": sarif("OPENGREP_JAVA", **mapped(M.SPRING), language="'java'", tags=f"array_compact(array({M.longest_prefix('rule_id', M.SPRING['posture'], None)}))"),
+    "opengrep_js": sarif("OPENGREP_JS", **mapped(M.OPENGREP_JS), language=SUFFIX),
     "shellcheck": Dialect(items("$"), s("$.file"), f"coalesce(concat('SHELLCHECK.SC', {n('$.code')}), 'SHELLCHECK.UNKNOWN')", s("$.message"), n("$.line"), severity=severity_of(s("$.level"), {"error": "high", "warning": "medium", "info": "low"}, "info"), category="'lint'", required=True, whole=("$.line",), needed=("$.file", "$.message")),
     "spotbugs": Dialect(
         "filter(coalesce(try_variant_get(doc, '$.BugInstance', 'array<variant>'), array()), x -> try_variant_get(x, '$.SourceLine[0]._sourcepath', 'string') IS NOT NULL)", s("$.SourceLine[0]._sourcepath"), f"coalesce({s('$._type')}, 'SPOTBUGS')", f"coalesce(trim({s('$.LongMessage')}), {s('$._type')}, 'SPOTBUGS')", n("$.SourceLine[0]._start"), language="'java'",
@@ -147,10 +159,10 @@ DIALECTS: dict[str, Dialect] = {
         NESTED(items("$.file"), "$.error", "$._name"), s("$.k"), f"coalesce({s('$.v._source')}, 'CHECKSTYLE')", f"coalesce({s('$.v._message')}, {s('$.v._source')}, 'CHECKSTYLE')", n("$.v._line"), n("$.v._column"), language="'java'", form="xml",
         severity=severity_of(s("$.v._severity"), {"error": "medium", "warning": "low", "info": "info", "ignore": "info"}, "medium"), category=f"CASE WHEN lower({s('$.v._source')}) LIKE '%imports%' OR lower({s('$.v._source')}) LIKE '%unused%' THEN 'dead_code' ELSE 'lint' END", schema="file array<struct<_name:string,error:array<struct<_line:string,_column:string,_severity:string,_message:string,_source:string>>>>",
     ),
-    "pmd": Dialect(NESTED(items("$.files"), "$.violations", "$.filename"), s("$.k"), f"coalesce({s('$.v.rule')}, 'PMD')", f"coalesce({s('$.v.description')}, {s('$.v.rule')}, 'PMD')", n("$.v.beginline"), n("$.v.begincolumn"), language="'java'", severity=f"CASE WHEN {n('$.v.priority')} IS NULL THEN 'medium' WHEN {n('$.v.priority')} <= 2 THEN 'high' WHEN {n('$.v.priority')} <= 3 THEN 'medium' ELSE 'low' END", category=PMD_CATEGORY.format(f"coalesce({s('$.v.rule')}, 'PMD')")),
+    "pmd": Dialect(NESTED(items("$.files"), "$.violations", "$.filename"), s("$.k"), f"coalesce({s('$.v.rule')}, 'PMD')", f"coalesce({s('$.v.description')}, {s('$.v.rule')}, 'PMD')", n("$.v.beginline"), n("$.v.begincolumn"), language="'java'", severity=f"CASE WHEN {n('$.v.priority')} IS NULL THEN 'medium' WHEN {n('$.v.priority')} <= 2 THEN 'high' WHEN {n('$.v.priority')} <= 3 THEN 'medium' ELSE 'low' END", category=PMD_CATEGORY.format("rule_id")),
     "pmd_xml": Dialect(
         NESTED(items("$.file"), "$.violation", "$._name"), s("$.k"), f"coalesce({s('$.v._rule')}, {s('$.v._ruleset')}, 'PMD')", f"coalesce(nullif(trim({s('$.v._VALUE')}), ''), {s('$.v._rule')}, {s('$.v._ruleset')}, 'PMD')", n("$.v._beginline"), n("$.v._begincolumn"), language="'java'", form="xml", tool="pmd",
-        severity=f"CASE WHEN {n('$.v._priority')} IS NULL THEN 'medium' WHEN {n('$.v._priority')} <= 2 THEN 'high' WHEN {n('$.v._priority')} <= 3 THEN 'medium' ELSE 'low' END", category=PMD_CATEGORY.format(f"coalesce({s('$.v._rule')}, {s('$.v._ruleset')}, 'PMD')"), schema="file array<struct<_name:string,violation:array<struct<_VALUE:string,_rule:string,_ruleset:string,_beginline:string,_begincolumn:string,_priority:string>>>>",
+        severity=f"CASE WHEN {n('$.v._priority')} IS NULL THEN 'medium' WHEN {n('$.v._priority')} <= 2 THEN 'high' WHEN {n('$.v._priority')} <= 3 THEN 'medium' ELSE 'low' END", category=PMD_CATEGORY.format("rule_id"), schema="file array<struct<_name:string,violation:array<struct<_VALUE:string,_rule:string,_ruleset:string,_beginline:string,_begincolumn:string,_priority:string>>>>",
     ),
     "errorprone": Dialect(f"coalesce({items('$')}, {ERRORPRONE_TEXT})", f"coalesce({s('$.file')}, {s('$.path')})", f"coalesce({s('$.rule')}, {s('$.rule_id')}, 'ERROR_PRONE')", s("$.message"), n("$.line"), n("$.column"), language="'java'", form="text", severity=severity_of(s("$.severity"), {"error": "high", "warning": "medium"}, "info"), category=f"CASE WHEN lower(coalesce({s('$.rule')}, {s('$.rule_id')})) LIKE '%null%' OR lower(coalesce({s('$.rule')}, {s('$.rule_id')})) LIKE '%injection%' THEN 'security' ELSE 'maintainability' END"),
     "dependency_check": Dialect(
@@ -159,7 +171,7 @@ DIALECTS: dict[str, Dialect] = {
     ),
     "eslint": Dialect(
         NESTED(items("$"), "$.messages", "$.filePath"), s("$.k"), f"coalesce({s('$.v.ruleId')}, 'ESLINT.UNKNOWN')", s("$.v.message"), n("$.v.line"), n("$.v.column"), required=True, whole=("$.v.line", "$.v.column"), needed=("$.k", "$.v.message"), language=SUFFIX, payload="to_json(variant_get(r, '$.v', 'variant'))",
-        severity=f"CASE WHEN {n('$.v.severity')} >= 2 THEN CASE WHEN {ESLINT_LEVEL} IN ('high', 'critical') THEN 'high' ELSE 'medium' END WHEN {n('$.v.severity')} = 1 THEN CASE WHEN {ESLINT_LEVEL} = 'low' THEN 'low' ELSE 'medium' END ELSE {ESLINT_LEVEL} END", category=mapped(M.ESLINT, f"coalesce({s('$.v.ruleId')}, 'ESLINT.UNKNOWN')")["category"],
+        severity=f"CASE WHEN {n('$.v.severity')} >= 2 THEN CASE WHEN {ESLINT_LEVEL} IN ('high', 'critical') THEN 'high' ELSE 'medium' END WHEN {n('$.v.severity')} = 1 THEN CASE WHEN {ESLINT_LEVEL} = 'low' THEN 'low' ELSE 'medium' END ELSE {ESLINT_LEVEL} END", category=mapped(M.ESLINT)["category"],
     ),
     "typescript_diagnostics": Dialect(f"coalesce({items('$.diagnostics')}, {TSC_TEXT})", s("$.file"), f"CASE WHEN startswith(coalesce({CODE}, 'TS0000'), 'TS') THEN coalesce({CODE}, 'TS0000') ELSE concat('TS', {CODE}) END", s("$.message"), n("$.line"), n("$.column"), form="text", language="'typescript'", severity=f"CASE WHEN {CODE} IN ('TS2307', 'TS7006', 'TS2322') THEN 'high' ELSE 'medium' END", category=f"CASE WHEN {CODE} LIKE 'TS7%' OR {CODE} LIKE 'TS2%' THEN 'typing' ELSE 'lint' END"),
     "npm_audit": Dialect(
@@ -202,58 +214,142 @@ def normal_path(path: Column, root: Column) -> Column:
     return F.when(sound, F.array_join(parts, "/"))
 
 
-def parse(reports: DataFrame, dialect: str) -> DataFrame:
-    """Findings of one dialect's reports, with `problem` where an entry or a report is unsound."""
-    d = DIALECTS[dialect]
-    tool = d.tool or dialect
-    rows = reports.where(F.col("tool") == tool)
-    xml = F.startswith(F.trim("stdout"), F.lit("<"))
-    if tool == "pmd":
-        rows = rows.where(xml if d.form == "xml" else ~xml)
-    rows = rows.where(F.trim(F.concat_ws("", "stdout", "stderr" if d.form == "text" else F.lit(""))) != "")
-    if d.form == "xml":
-        schema = f"{d.schema}, _corrupt_record string"
-        rows = rows.withColumn("__x", F.from_xml("stdout", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-        rows = rows.withColumn("doc", F.when(F.col("__x._corrupt_record").isNull(), F.try_parse_json(F.to_json("__x"))))
-    else:
-        rows = rows.withColumn("doc", json_document(F.col("stdout")))
-    if dialect == "npm_audit":
-        rows = rows.withColumn("doc2", F.coalesce(json_document(F.expr("try_variant_get(doc, '$.stdout', 'string')")), F.col("doc")))
-    broken = F.col("doc").isNull() if d.form in ("json", "xml") else F.lit(False)
-    if d.form == "lines":
-        rows = rows.withColumn("__l", F.filter(F.split("stdout", "\r?\n"), lambda x: F.trim(x) != "")).withColumn("lines", F.filter(F.transform("__l", F.try_parse_json), lambda x: x.isNotNull()))
-        broken = (F.size("lines") < F.size("__l")) if d.strict else broken
-    found = F.expr(d.rows)
-    if d.required:
-        broken = broken | found.isNull()
-    key = ["project", "run_id", "tool", "root"]
-    found = F.when(broken, F.array().cast("array<string>" if d.extra else "array<variant>")).otherwise(found)
-    each = rows.select(*key, broken.alias("broken"), F.posexplode_outer(found).alias("at", "r"))
-    if d.extra:
-        each = each.withColumn("r", F.try_parse_json("r"))
-    each = each.where("broken or r is not null").withColumn("r_file", F.expr(d.file))
-    bad_type = [F.expr(f"coalesce(schema_of_variant(try_variant_get(r, '{p}', 'variant')) NOT IN ('BIGINT', 'VOID'), false)") for p in d.whole]
-    bad_type += [F.expr(f"coalesce(schema_of_variant(try_variant_get(r, '{p}', 'variant')) <> 'STRING', true)") for p in d.needed]
+def by_dialect(dialects: dict[str, Dialect], of: Callable[[str, Dialect], str | None], default: str = "NULL") -> str:
+    """SQL: a CASE over the dialects; those with the same expression share a branch."""
+    same: dict[str, list[str]] = {}
+    for name, d in dialects.items():
+        if (sql := of(name, d)) is not None:
+            same.setdefault(sql, []).append(name)
+    if len(same) == 1 and sum(map(len, same.values())) == len(dialects):
+        return next(iter(same))
+    return f"CASE {' '.join(f'WHEN dialect IN ({", ".join(map(repr, names))}) THEN {sql}' for sql, names in same.items())} ELSE {default} END" if same else default
+
+
+def chosen_dialect(dialects: dict[str, Dialect]) -> str:
+    """SQL: the dialect of a report: its tool's, or of several the one in the report's form."""
+    of_tool: dict[str, list[str]] = {}
+    for name, d in dialects.items():
+        of_tool.setdefault(d.tool or name, []).append(name)
+    steps = []
+    for tool, names in of_tool.items():
+        for name in sorted(names, key=lambda x: dialects[x].form != "xml"):
+            is_xml = " AND startswith(trim(stdout), '<')" if len(names) > 1 and dialects[name].form == "xml" else ""
+            steps.append(f"WHEN tool = {tool!r}{is_xml} THEN {name!r}")
+    return f"CASE {' '.join(steps)} END"
+
+
+def json_sql(text: str) -> str:
+    """A report's JSON as VARIANT; lines before the first that opens an object or list are skipped."""
+    return f"try_parse_json(trim(regexp_replace(trim({text}), '^(?s)(?![\\\\[{{]).*?\\\\r?\\\\n(?=\\\\s*[\\\\[{{])', '')))"
+
+
+def xml_sql(schema: str) -> str:
+    """A report's XML as VARIANT, null if it is broken."""
+    read = f"from_xml(stdout, '{schema}, _corrupt_record string', map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_corrupt_record'))"
+    return f"element_at(transform(array({read}), x -> if(x._corrupt_record IS NULL, try_parse_json(to_json(x)), NULL)), 1)"
+
+
+def read_entries(reports: DataFrame, dialects: dict[str, Dialect], key: list[str]) -> DataFrame:
+    """(key, root, tool, broken, finding columns): the entries of every report that has a dialect. One
+    CASE over the dialects gives a report's entries, one gives each field of an entry, and one explode
+    makes rows of them. An unsound report gives one row. The fields are computed within a lambda, as
+    what a dozen dialects' CASEs would generate is too long for one method of the JVM."""
+    hidden = lambda sql: F.expr(f"element_at(transform(array(0), one -> {sql}), 1)")  # noqa: E731  out of generated code
+    rows = reports.withColumn("dialect", hidden(chosen_dialect(dialects))).where("dialect IS NOT NULL")
+    rows = rows.where(F.trim(hidden(by_dialect(dialects, lambda _, d: "concat_ws('', stdout, stderr)" if d.form == "text" else "stdout"))) != "")
+    rows = rows.withColumn("doc", hidden(by_dialect(dialects, lambda _, d: xml_sql(d.schema) if d.form == "xml" else json_sql("stdout") if d.form != "lines" else None)))
+    rows = rows.withColumn("doc2", hidden(by_dialect(dialects, lambda n, d: f"coalesce({json_sql("try_variant_get(doc, '$.stdout', 'string')")}, doc)" if "doc2" in d.rows else None)))
+    rows = rows.withColumn("__l", hidden(by_dialect(dialects, lambda _, d: "filter(split(stdout, '\\r?\\n'), x -> trim(x) <> '')" if d.form == "lines" else None)))
+    rows = rows.withColumn("lines", F.expr("filter(transform(__l, x -> try_parse_json(x)), x -> x IS NOT NULL)") if any(d.form == "lines" for d in dialects.values()) else F.lit(None).cast("array<variant>"))
+    rows = rows.withColumn("found", hidden(by_dialect(dialects, lambda _, d: f"transform({d.rows}, x -> try_parse_json(x))" if d.extra else d.rows)))
+    unsound = lambda _, d: " OR ".join(["doc IS NULL"] * (d.form in ("json", "xml")) + ["size(lines) < size(__l)"] * d.strict + ["found IS NULL"] * d.required) or "false"
+    rows = rows.withColumn("broken", hidden(f"coalesce({by_dialect(dialects, unsound)}, false)"))
+    take = lambda what: by_dialect(dialects, lambda _, d: getattr(d, what))
+    bad = lambda _, d: " OR ".join([f"coalesce(schema_of_variant(try_variant_get(r, '{p}', 'variant')) NOT IN ('BIGINT', 'VOID'), false)" for p in d.whole] + [f"coalesce(schema_of_variant(try_variant_get(r, '{p}', 'variant')) <> 'STRING', true)" for p in d.needed]) or "false"
+    fields = {"at": "cast(at as bigint)", "r_file": "r_file", "bad": by_dialect(dialects, bad), "rule_id": "rule_id", "severity": take("severity"), "category": take("category"), "language": take("language"), "line": take("line"), "column": take("column"), "message": take("message"), "confidence": f"cast({take('confidence')} as double)", "tags": take("tags"), "raw_payload": take("payload")}
+    entry = "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in fields.items()) + ")"
+    whole = f"transform(if(broken, array(cast(NULL AS variant)), filter(found, r -> r IS NOT NULL)), (r, at) -> element_at(transform(array({take('file')}), r_file -> element_at(transform(array({take('rule')}), rule_id -> {entry}), 1)), 1))"
+    tool = by_dialect(dialects, lambda n, d: f"'{d.tool or n}'")
+    return rows.select(*key, "root", hidden(tool).alias("tool"), "broken", F.explode(F.expr(whole)).alias("e")).select(*key, "root", "tool", "broken", "e.*")
+
+
+def findings_of(each: DataFrame, key: list[str]) -> DataFrame:
+    """Findings of entries, with `problem` where an entry or its report is unsound."""
     path = normal_path(F.col("r_file"), F.col("root"))
-    problem = F.when(F.col("broken"), "SCHEMA_ERROR")
-    for flag in bad_type:
-        problem = problem.when(flag, "SCHEMA_ERROR")
-    problem = problem.when(F.col("r_file").isNull(), "SCHEMA_ERROR").when(path.isNull(), "INVALID_PATH")
+    problem = F.when(F.col("broken") | F.col("bad") | F.col("r_file").isNull(), "SCHEMA_ERROR").when(path.isNull(), "INVALID_PATH")
     return each.select(
-        "project", "run_id", F.lit(SCANNERS.index(tool) + 1).alias("scanner_ord"), F.coalesce("at", F.lit(0)).cast("long").alias("finding_ord"), F.lit(tool).alias("tool"), F.expr(d.rule).alias("rule_id"), F.expr(d.severity).alias("severity"), F.expr(d.category).alias("category"),
-        F.expr(d.language).alias("language"), path.alias("file"), F.expr(d.line).alias("line"), F.expr(d.column).alias("column"), F.lit(None).cast("string").alias("symbol"), F.expr(d.message).alias("message"), F.lit(None).cast("string").alias("remediation"), F.expr(d.confidence).cast("double").alias("confidence"), F.expr(d.tags).alias("tags"), F.expr(d.payload).alias("raw_payload"), problem.alias("problem"),
+        *key, scanner_place().alias("scanner_ord"), F.col("at").alias("finding_ord"), "tool", "rule_id", "severity", "category", "language", path.alias("file"), "line", "column", F.lit(None).cast("string").alias("symbol"), "message",
+        F.lit(None).cast("string").alias("remediation"), "confidence", "tags", "raw_payload", problem.alias("problem"),
+    )
+
+
+def parse(reports: DataFrame, dialect: str | dict[str, Dialect], key: list[str] | None = None) -> DataFrame:
+    """Findings of the reports in one dialect, or in any of several, with `problem` where an entry or a
+    report is unsound. The reports are read once, however many dialects there are."""
+    key = key or ["project", "run_id"]
+    dialects = {dialect: DIALECTS[dialect]} if isinstance(dialect, str) else dialect
+    return findings_of(read_entries(reports, dialects, key), key)
+
+
+def parse_all(reports: DataFrame, tools: list[str] | None = None, dialects: dict[str, Dialect] | None = None, functions: dict[str, Reader] | None = None) -> DataFrame:
+    """Findings of all reports, sound ones whole, and a parser finding for each unsound report. The
+    reports are read once, and what they hold is written before it is judged. Reports of a tool that neither a dialect nor a function reads give nothing: see plans.registry.outcomes."""
+    known = {name: d for name, d in (DIALECTS if dialects is None else dialects).items() if tools is None or (d.tool or name) in tools}
+    found = written(entries_of(reports, known, {t: f for t, f in (functions or {}).items() if tools is None or t in tools}), "parsed")
+    return parser_failures(found.select("project", "run_id", "scanner_ord", "tool").distinct(), found)
+
+
+def entries_of(reports: DataFrame, dialects: dict[str, Dialect], functions: dict[str, Reader]) -> DataFrame:
+    """Findings with `problem`, by dialects and, for tools that have one, by functions."""
+    rows = parse(reports.where(~F.col("tool").isin(list(functions))) if functions else reports, dialects)
+    return rows.unionByName(parse_by_functions(reports, functions)) if functions else rows
+
+
+class OutputInvalid(ValueError):
+    """A report is not in the form that its reader knows."""
+
+
+def parse_by_functions(reports: DataFrame, functions: dict[str, Reader]) -> DataFrame:
+    """Findings of reports that Python functions read, with `problem`: OutputInvalid is a SCHEMA_ERROR,
+    any other exception UNHANDLED, a path that leads outside INVALID_PATH. A function gets stdout, stderr
+    and root, and gives findings as dictionaries; one without rule_id, file or message is unsound."""
+    texts, numbers = ["rule_id", "severity", "category", "language", "file", "symbol", "message", "remediation", "raw_payload"], ["line", "column"]
+    schema = f"project string, run_id string, tool string, root string, at long, {', '.join(f'{x} string' for x in texts)}, {', '.join(f'{x} int' for x in numbers)}, confidence double, tags array<string>, problem string"
+    names = [x.strip().split()[0] for x in schema.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                kept, out = {k: row[k] for k in ("project", "run_id", "tool", "root")}, []
+                try:
+                    for at, found in enumerate(functions[row["tool"]](row["stdout"] or "", row["stderr"] or "", row["root"] or "")):
+                        sound = all(isinstance(found.get(x), str) for x in ("rule_id", "file", "message"))
+                        out.append(kept | {"at": at, **found, "problem": None if sound else "SCHEMA_ERROR"})
+                except Exception as e:  # whatever a user's reader raises is a finding about the report
+                    out = [kept | {"at": 0, "problem": "SCHEMA_ERROR" if isinstance(e, OutputInvalid) else "UNHANDLED"}]
+                for start in range(0, len(out), 1024):
+                    part = out[start : start + 1024]
+                    yield pa.RecordBatch.from_arrays([pa.array([x.get(name) for x in part], arrow[name]) for name in names], names=names)
+
+    arrow = {name: pa.string() for name in names} | {"at": pa.int64(), "line": pa.int32(), "column": pa.int32(), "confidence": pa.float64(), "tags": pa.list_(pa.string())}
+    rows = reports.where(F.col("tool").isin(list(functions))).select("project", "run_id", "tool", "stdout", "stderr", "root").mapInArrow(read, schema)
+    path = normal_path(F.col("file"), F.col("root"))
+    defaults = {"severity": "medium", "category": "lint", "language": "general"}
+    return rows.select(
+        "project", "run_id", scanner_place().alias("scanner_ord"), F.col("at").alias("finding_ord"), "tool", "rule_id", *(F.coalesce(x, F.lit(v)).alias(x) for x, v in defaults.items()), path.alias("file"), "line", "column", "symbol", "message", "remediation",
+        F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("raw_payload", F.lit("{}")).alias("raw_payload"), F.coalesce("problem", F.when(path.isNull(), "INVALID_PATH")).alias("problem"),
     )
 
 
-def parse_all(reports: DataFrame, tools: list[str] | None = None) -> DataFrame:
-    """Findings of all reports, sound ones whole, and a parser finding for each unsound report."""
-    parts = [parse(reports, name) for name, d in DIALECTS.items() if tools is None or (d.tool or name) in tools]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+def scanner_place() -> Column:
+    """The order of a report's scanner; those that are not built in come last."""
     order = F.create_map(*(x for i, t in enumerate(SCANNERS) for x in (F.lit(t), F.lit(i + 1))))
-    runs = reports.select("project", "run_id", F.element_at(order, F.col("tool")).alias("scanner_ord"), "tool").distinct()
-    return parser_failures(runs, rows)
+    return F.coalesce(F.element_at(order, F.col("tool")), F.lit(len(SCANNERS) + 1))
+
+
+def scanner_runs(reports: DataFrame) -> DataFrame:
+    """(project, run_id, scanner_ord, tool) of the reports."""
+    return reports.select("project", "run_id", scanner_place().alias("scanner_ord"), "tool").distinct()
 
 
 def read(spark: SparkSession, pattern: str) -> DataFrame:

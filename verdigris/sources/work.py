@@ -49,3 +49,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a finished folder into place: readers see all of it or nothing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(target).getParent())
+    if files.exists(path(target)) or not files.rename(path(source), path(target)):
+        raise OSError(f"{source} could not be moved to {target}")

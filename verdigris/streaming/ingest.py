@@ -19,14 +19,9 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
 
 def findings(landed: DataFrame, tools: list[str], late: str = "1 hour") -> DataFrame:
     """Classified findings of sound entries, each fingerprint of a run once within the watermark."""
-    parts = None
-    for name in [n for n, d in DIALECTS.items() if (d.tool or n) in tools]:
-        keyed = landed.withColumn("run_id", F.concat_ws("\0", "run_id", F.col("arrived").cast("string")))
-        part = parse(keyed, name).where("problem is null").drop("problem")
-        parts = part if parts is None else parts.unionByName(part)
-    split = F.split("run_id", "\0")
-    rows = parts.withColumn("arrived", F.to_timestamp(split[1])).withColumn("run_id", split[0])
-    rows = classify(normalize(rows)).withWatermark("arrived", late)
+    known = {name: d for name, d in DIALECTS.items() if (d.tool or name) in tools}
+    parts = parse(landed, known, ["project", "run_id", "arrived"]).where("problem is null").drop("problem")
+    rows = classify(normalize(parts)).withWatermark("arrived", late)
     return rows.dropDuplicatesWithinWatermark(["project", "run_id", "fingerprint"])
 
 
