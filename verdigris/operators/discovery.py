@@ -141,6 +141,24 @@ def java(files: DataFrame) -> DataFrame:
     return rows.select("project", "is_java", F.greatest("modules", F.lit(1)).alias("module_count"), (c("modules") > 1).alias("multi_module"), chosen({n: c(n) for n in JAVA_FRAMEWORKS}).alias("java_frameworks"), *SPRING_ANNOTATIONS, *SPRING_INDICATORS, "validation")
 
 
+#: Build files that a report names as the evidence of a framework.
+EVIDENCE = 20
+
+
+def java_evidence(files: DataFrame) -> DataFrame:
+    """(project, framework, evidence): the names of the build files that tell a framework, in the order of
+    modules and of JAVA_BUILD_FILES, the first EVIDENCE of them. As in java(), a build file counts in a
+    module's folder, or at the root of a project without modules."""
+    c, text, name = F.col, F.coalesce("text", F.lit("")), F.substring_index("path", "/", -1)
+    rows = files.where(name.isin(JAVA_BUILD_FILES)).join(modules(files).select("project", "module_path"), "project")
+    folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(".")
+    own = rows.where(folder == c("module_path")).select("project", "module_path", name.alias("name"), F.explode(chosen({n: F.regexp_like(text, F.lit(p)) for n, p in JAVA_FRAMEWORKS.items()})).alias("framework"))
+    place = F.array_position(F.array(*map(F.lit, JAVA_BUILD_FILES)), c("name"))
+    nth = F.row_number().over(Window.partitionBy("project", "framework").orderBy("module_path", place))
+    first = own.withColumn("nth", nth).where(c("nth") <= EVIDENCE)
+    return first.groupBy("project", "framework").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "name"))), lambda x: x["name"]).alias("evidence"))
+
+
 def modules(files: DataFrame) -> DataFrame:
     """(project, module_path, module_name, module_id): the folders of build files, or the project's root."""
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(".")

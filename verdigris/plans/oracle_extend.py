@@ -4,7 +4,7 @@ queries make of them."""
 from __future__ import annotations
 
 from verdigris.schemas import DEPENDENCY_TOOLS
-from verdigris.sources.derived import FILE_RULES
+from verdigris.sources.derived import FILE_RULES, JAVA_RULES
 from verdigris.sources.made_reports import expected_sql
 
 #: A team's reports: entries, and which report is unsound and why. The greatest problem holds.
@@ -39,6 +39,10 @@ PAGE = 500
 TOLD = "(SELECT string_agg(reason || '=' || n, ' ' ORDER BY reason) FROM (SELECT left(o_orderpriority, 1) || '_hash_changed' AS reason, count(*) AS n FROM cached z WHERE z.o_orderkey % 2 = 1 AND z.project = {0}.project AND z.run_id = {0}.run_id{1} GROUP BY 1) q)"
 PARTS["zin"] = f"SELECT *, NOT ends_with(path, '.key') AND project <> 'p3' AS tracked FROM (SELECT project, path || CASE WHEN ends_with(path, 'settings.py') THEN '.key' ELSE '' END AS path FROM ({FILE_RULES.format(text='varchar')}) x) y"
 PARTS["win"] = "SELECT * FROM (VALUES ('ruff', '[.]py$'), ('gitleaks', ''), ('eslint', '[.](js|jsx|ts|tsx)$'), ('opengrep_infra', '')) v(scanner, pattern)"
+PARTS["jf"] = f"SELECT *, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS folder, regexp_extract(path, '[^/]*$') AS name FROM ({JAVA_RULES.format(text='varchar')}) x"
+PARTS["jb"] = """SELECT project, folder, name, text FROM jf WHERE name IN ('pom.xml', 'build.gradle', 'build.gradle.kts', 'settings.gradle', 'settings.gradle.kts')"""
+PARTS["jfw"] = """SELECT * FROM (VALUES (1, 'spring', '(?i)org[.]springframework'), (2, 'spring_boot', '(?i)spring-boot|org[.]springframework[.]boot'), (3, 'micronaut', '(?i)io[.]micronaut'), (4, 'quarkus', '(?i)io[.]quarkus'), (5, 'jakarta_ee', '(?i)jakarta[.][a-z0-9_.-]+')) v(nth, framework, pattern)"""
+PARTS["jhit"] = "SELECT jb.project, folder, name, nth, framework FROM jb JOIN jfw ON regexp_matches(text, pattern)"
 PARTS["cached"] = "SELECT *, 'p' || (o_custkey % 7) AS project, 'r' || (o_custkey % 31) AS run_id, ['pmd', 'spotbugs', 'checkstyle'][CAST(o_orderkey % 3 + 1 AS int)] AS tool FROM orders"
 PARTS["ptab"] = "SELECT project, CAST(CAST(run_id AS bigint) % 40 AS varchar) AS run_id, tool, kind, problem, entries FROM judged"
 
@@ -53,6 +57,15 @@ FINAL = {
       FROM team WHERE kind = 0 AND problem IS NULL GROUP BY ALL""",
     "large_reports": """SELECT 'p' || (l_orderkey % 3) AS project, 'r' || (l_orderkey % 2) AS run_id, row_number() OVER (PARTITION BY l_orderkey % 3, l_orderkey % 2 ORDER BY l_orderkey * 8 + l_linenumber, '<file name="src/' || l_suppkey || '.java">' || chr(10) || '<error line="' || l_linenumber || '" severity="' || CASE WHEN l_partkey % 2 = 0 THEN 'error' ELSE 'warning' END || '" message="part ' || l_partkey || '" source="') - 1 AS finding_ord, CASE WHEN l_partkey % 3 = 0 THEN 'x.UnusedImports' ELSE 'x.Brace' END AS rule_id,
       CASE WHEN l_partkey % 2 = 0 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN l_partkey % 3 = 0 THEN 'dead_code' ELSE 'lint' END AS category, 'src/' || l_suppkey || '.java' AS file, CAST(l_linenumber AS int) AS line, 'part ' || l_partkey AS message FROM lineitem""",
+    "java_projects": """SELECT m.project, is_java, greatest(modules, 1) AS module_count, modules > 1 AS multi_module, coalesce(fw, '') AS java_frameworks, spring_component_annotations, spring_security_annotations, spring_validation_annotations, spring_jpa_annotations, actuator,
+        CASE WHEN mvn THEN 'maven' WHEN gr THEN 'gradle' END AS runner, CASE WHEN mvn THEN CASE WHEN mvnw THEN './mvnw' ELSE 'mvn' END WHEN gr THEN CASE WHEN grw THEN './gradlew' ELSE 'gradle' END END AS command
+      FROM (SELECT project, count(DISTINCT folder) FILTER (name IN ('pom.xml', 'build.gradle', 'build.gradle.kts')) AS modules, bool_or(path IN ('pom.xml', 'mvnw', 'build.gradle', 'gradlew')) AS is_java, bool_or(path IN ('pom.xml', 'mvnw')) AS mvn, bool_or(path = 'mvnw') AS mvnw, bool_or(path IN ('build.gradle', 'gradlew')) AS gr, bool_or(path = 'gradlew') AS grw,
+          count(*) FILTER (ends_with(path, '.java') AND contains(text, '@RestController')) AS spring_component_annotations, count(*) FILTER (ends_with(path, '.java') AND contains(text, '@PreAuthorize')) AS spring_security_annotations,
+          count(*) FILTER (ends_with(path, '.java') AND contains(text, '@Valid')) AS spring_validation_annotations, count(*) FILTER (ends_with(path, '.java') AND contains(text, '@Entity')) AS spring_jpa_annotations, bool_or(ends_with(path, '.java') AND contains(text, '/actuator')) AS actuator FROM jf GROUP BY project) m
+      LEFT JOIN (SELECT project, string_agg(framework, ',' ORDER BY nth) AS fw FROM (SELECT DISTINCT project, nth, framework FROM jhit) u GROUP BY project) h USING (project)""",
+    "java_evidence": """SELECT project, framework, string_agg(name, ',' ORDER BY place) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY project, framework ORDER BY folder, list_position(['pom.xml', 'build.gradle', 'build.gradle.kts', 'settings.gradle', 'settings.gradle.kts'], name)) AS place FROM jhit) q WHERE place <= 20 GROUP BY project, framework""",
+    "java_artifacts": """SELECT project, row_number() OVER (PARTITION BY project ORDER BY module, bug) - 1 AS finding_ord, 'spotbugs' AS tool, 'T' || (l_partkey % 4) AS rule_id, CASE WHEN l_suppkey % 15 <= 4 THEN 'high' WHEN l_suppkey % 15 <= 9 THEN 'medium' ELSE 'low' END AS severity, 'src/' || l_suppkey || '.java' AS file, CAST(l_linenumber AS int) AS line, 'part ' || l_partkey AS message
+      FROM (SELECT *, 'p' || (l_orderkey % 5) AS project, 'm' || l_orderkey AS module, '<BugInstance type="T' || (l_partkey % 4) || '" rank="' || (l_suppkey % 15) || '"><LongMessage>part ' || l_partkey || '</LongMessage><SourceLine sourcepath="src/' || l_suppkey || '.java" start="' || l_linenumber || '"' AS bug FROM lineitem) q""",
     "mapped_rules": """SELECT project, tool, rule_id, severity AS was, CASE WHEN rule_id = 'B105' THEN 'critical' WHEN starts_with(rule_id, 'B1') THEN 'medium' WHEN starts_with(rule_id, 'B') THEN 'low' WHEN starts_with(rule_id, 'GEN') THEN 'high' WHEN starts_with(rule_id, 'S') THEN 'high' ELSE 'info' END AS severity,
       CASE WHEN starts_with(rule_id, 'B') THEN 'security' WHEN starts_with(rule_id, 'GEN.2') THEN 'complexity' WHEN starts_with(rule_id, 'F4') THEN 'dead_code' ELSE 'lint' END AS category, count(*) AS count FROM f GROUP BY ALL""",
     "remapped_dialect": f"""SELECT rule_id, CASE WHEN rule_id = 'S101' THEN 'high' ELSE 'info' END AS severity, CASE WHEN rule_id = 'F401' THEN 'dead_code' ELSE 'lint' END AS category, count(*) AS count FROM ({expected_sql()}) x WHERE tool = 'ruff' GROUP BY ALL""",

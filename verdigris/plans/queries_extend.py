@@ -9,9 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.operators import cache, findings as ops, history, inventory, portal, providers, recommend, scoring
+from verdigris.operators import cache, discovery, findings as ops, history, inventory, portal, providers, recommend, scoring
 from verdigris.plans import registry
-from verdigris.sources import artifacts, derived, hashing, large, made_reports, mappings, pages, reports, scanners
+from verdigris.sources import artifacts, derived, hashing, java_artifacts, large, made_reports, mappings, pages, reports, scanners
 from verdigris.sources.work import work_dir, written
 
 RUN = ["project", "run_id"]
@@ -217,3 +217,28 @@ def q_scanner_inputs(spark: SparkSession, d: str) -> DataFrame:
     zoned = inventory.zoned(files.withColumn("tracked", ~F.col("path").endswith(".key") & (F.col("project") != "p3")))
     wanted = spark.createDataFrame([("ruff", ["python"]), ("gitleaks", ["general"]), ("eslint", ["javascript", "typescript"]), ("opengrep_infra", ["general"])], "scanner string, languages array<string>")
     return inventory.scanner_inputs(zoned, wanted).groupBy("project", "scanner").agg(F.count("*").alias("files"))
+
+
+def q_java_projects(spark: SparkSession, d: str) -> DataFrame:
+    """Modules, frameworks and Spring's traces of Java projects, and the runner that builds them."""
+    files = derived.java_files(spark, d)
+    found = discovery.java(files).join(java_artifacts.runners(files), "project", "left")
+    return found.select("project", "is_java", "module_count", "multi_module", F.array_join("java_frameworks", ",").alias("java_frameworks"), *discovery.SPRING_ANNOTATIONS, "actuator", "runner", "command")
+
+
+def q_java_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The build files that tell each framework of a Java project."""
+    return discovery.java_evidence(derived.java_files(spark, d)).select("project", "framework", F.array_join("evidence", ",").alias("evidence"))
+
+
+def q_java_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of SpotBugs over the modules of built projects: an order is a module, a line a bug."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") % 5).alias("p"), F.col("l_orderkey").alias("k"), F.format_string('<BugInstance type="T%d" rank="%d"><LongMessage>part %d</LongMessage><SourceLine sourcepath="src/%d.java" start="%d"/></BugInstance>', F.col("l_partkey") % 4, F.col("l_suppkey") % 15, "l_partkey", "l_suppkey", "l_linenumber").alias("bug"))
+    project, module = F.concat(F.lit("p"), F.col("p").cast("string")), F.concat(F.lit("m"), F.col("k").cast("string"))
+    maven = F.col("p") < 3
+    bugs = rows.groupBy("p", "k").agg(F.array_join(F.array_sort(F.collect_list("bug")), "\n").alias("bugs"))
+    left = F.concat(module, F.when(maven, "/target/spotbugsXml.xml").otherwise("/build/reports/spotbugs/main.xml"))
+    root = rows.select("p").distinct().select(project.alias("project"), F.when(maven, "mvnw").otherwise("settings.gradle").alias("path"), F.lit("").alias("text"))
+    files = bugs.select(project.alias("project"), left.alias("path"), F.concat(F.lit("<BugCollection>"), "bugs", F.lit("</BugCollection>")).alias("text")).unionByName(bugs.select(project.alias("project"), F.concat(module, F.when(maven, "/pom.xml").otherwise("/build.gradle")).alias("path"), F.lit("").alias("text"))).unionByName(root)
+    found = java_artifacts.findings(java_artifacts.artifacts(written(files, "built")), "r1")
+    return found.select("project", "finding_ord", "tool", "rule_id", "severity", "file", "line", "message")

@@ -75,6 +75,17 @@ FROM (SELECT concat('p', CAST(p_partkey % 23 AS {text})) AS project, p_partkey A
   FROM part) x
 """
 
+#: Java projects: a module or a source for each part; the texts tell frameworks and annotations.
+JAVA_RULES = """
+SELECT concat('j', CAST(k % 13 AS {text})) AS project,
+  CASE WHEN k < 13 AND k % 2 = 0 THEN CASE WHEN k % 4 = 0 THEN 'pom.xml' ELSE 'build.gradle' END WHEN k < 26 THEN CASE WHEN k % 3 = 0 THEN 'mvnw' ELSE 'gradlew' END
+    WHEN k % 13 = 12 THEN concat('src/', CAST(k AS {text}), '.java')
+    WHEN k % 4 = 0 THEN concat('m', CAST(k AS {text}), CASE WHEN k % 8 = 0 THEN '/pom.xml' ELSE '/build.gradle.kts' END) ELSE concat('m', CAST(k AS {text}), '/src/A.java') END AS path,
+  concat(CASE WHEN k % 5 = 0 THEN '<groupId>org.springframework.boot</groupId>' WHEN k % 5 = 1 THEN 'io.micronaut' WHEN k % 5 = 2 THEN 'IO.Quarkus' WHEN k % 5 = 3 THEN 'jakarta.ee' ELSE '' END,
+    CASE WHEN k % 3 = 0 THEN ' @RestController class A' ELSE '' END, CASE WHEN k % 7 = 0 THEN ' @PreAuthorize("x")' ELSE '' END, CASE WHEN k % 11 = 0 THEN ' @Entity @Valid' ELSE '' END, CASE WHEN k % 17 = 0 THEN ' /actuator' ELSE '' END) AS text
+FROM (SELECT p_partkey AS k FROM part) x
+"""
+
 #: Results of scanners: one for each order. Few have errors, so runs pass, warn and fail.
 RESULT_RULES = """
 SELECT concat('p', CAST(o_custkey % 7 AS {text})) AS project, concat('r', CAST(o_custkey % 271 AS {text})) AS run_id, CAST(o_custkey % 271 AS int) AS run_no, CAST(o_orderkey AS bigint) AS scanner_ord,
@@ -96,3 +107,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result of a scanner for each order, with the severity and category of a finding, if any."""
     return run(spark, RESULT_RULES, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, path, text) of Java projects, a file for each part."""
+    return run(spark, JAVA_RULES, part=spark.read.parquet(f"{sf_dir}/part.parquet"))

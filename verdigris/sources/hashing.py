@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from fnmatch import fnmatch
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +23,18 @@ WHOLE, BLOCK = 1 << 26, 1 << 20
 
 def file_digests(spark: SparkSession, folder: str, *, whole: int = WHOLE, glob: str | None = None) -> DataFrame:
     """(path, bytes, digest) of all files below a folder, paths relative to it. The lengths prune what is
-    read: the content of a large file is never a column."""
+    read: the content of a large file is never a column. Empty files, which Spark's sources pass over,
+    come from the folder's listing."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(folder)
     base = folder.rstrip("/").rsplit("/", 1)[1]
     short = F.substring_index(F.col("path"), f"/{base}/", -1).alias("path")
     small = files.where(F.col("length") <= whole).select(short, F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
     large = files.where(F.col("length") > whole).select("path", short.alias("short"), F.col("length").alias("bytes"))
+    where, root = opened(folder.rstrip("/"))
+    listed = where.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+    empty = [(f.path[len(root) + 1 :], 0, hashlib.sha256().hexdigest()) for f in listed if f.is_file and not f.size and not f.base_name.startswith(("_", ".")) and fnmatch(f.base_name, glob or "*")]
+    small = small.unionByName(spark.createDataFrame(empty, "path string, bytes long, digest string"))
     return small.unionByName(large.repartition("path").mapInArrow(read_in_blocks, "path string, bytes long, digest string"))
 
 
