@@ -193,13 +193,25 @@ def named_groups(items: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     return grouped.select(*items.columns, "root", "group_id").unionByName(alone.select(*items.columns, "root", "group_id"))
 
 
-def spanning_edges(items: DataFrame, radius: int, payload_radius: int | None = None, *, labelled: bool = False) -> DataFrame:
+def nearest_links(q: np.ndarray, found: np.ndarray, far: np.ndarray, label: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which links stay, the labels that have others): of each label the `most` nearest of its links."""
+    at, side, name = np.tile(np.arange(len(q)), 2), np.concatenate([q, found]), np.concatenate([label[q], label[found]])
+    order = np.lexsort((at, side, far[at], name))
+    starts = np.flatnonzero(np.append(True, name[order][1:] != name[order][:-1])) if len(order) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(order)))
+    nth = np.arange(len(order)) - np.repeat(starts, sizes)
+    return np.unique(at[order][nth < most]), name[order][starts[sizes > most]]
+
+
+def spanning_edges(items: DataFrame, radius: int, payload_radius: int | None = None, *, most: int | None = None) -> DataFrame:
     """Spanning edges (a, b) of the links among items (code long, item long, payload binary).
 
     Codes link within the radius; with a payload radius, only if the payloads' bits also differ
-    in no more than that. An item may have several codes. If labelled, the last 64 bits of a
-    payload are a label, and the edges are all links of items with different labels.
+    in no more than that. An item may have several codes. With most, the last 64 bits of a payload
+    are a label, and the edges are links of items with different labels: of each label its nearest
+    by the payloads, so many in each range at least, with `more` where a label has others.
     """
+    labelled = most is not None
     spark = items.sparkSession
     n = items.count()
     size = max(RANGE, -(-n // MAX_NODES))
@@ -254,31 +266,35 @@ def spanning_edges(items: DataFrame, radius: int, payload_radius: int | None = N
         label = np.arange(len(item))
         if labelled:
             label, payload = payload[:, -1], payload[:, :-1]
-        crossing = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        kept, others = [np.empty(0, np.int64)] * 3, [np.empty(0, np.int64)]
         for q, found in tree.search(codes, radius):
             new = (found < q) & (label[q] != label[found])
             q, found = q[new], found[new]
+            far = np.zeros(len(q), np.int64)
             if payload is not None and len(q):
-                near = np.zeros(len(q), bool)
                 for at in range(0, len(q), 1 << 18):
                     part = slice(at, at + (1 << 18))
-                    near[part] = np.bitwise_count(payload[q[part]] ^ payload[found[part]]).sum(1) <= payload_radius
-                q, found = q[near], found[near]
-            if labelled:
-                crossing.append((q, found))
+                    far[part] = np.bitwise_count(payload[q[part]] ^ payload[found[part]]).sum(1)
+                near = far <= payload_radius
+                q, found, far = q[near], found[near], far[near]
+            if labelled and len(q):  # what a label keeps is bounded, whatever it meets
+                kept = [np.concatenate(x) for x in zip(kept, (q, found, far))]
+                stay, names = nearest_links(*kept, label, most)
+                kept, others = [x[stay] for x in kept], [*others, names]
             elif len(q):
                 forest.join(q, found)
                 if len(q) > 4 * BLOCK:  # spare later blocks the links that say nothing new
                     label = np.array([forest.find(i) for i in range(len(item))])
         if labelled:
-            q, found = (np.concatenate(x) for x in zip(*crossing))
-            ends = np.unique(np.stack([np.maximum(item[q], item[found]), np.minimum(item[q], item[found])], 1), axis=0)
-            return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+            q, found, names = kept[0], kept[1], np.unique(np.concatenate(others))
+            rest = np.isin(label[q], names) | np.isin(label[found], names)
+            ends = np.unique(np.stack([np.maximum(item[q], item[found]), np.minimum(item[q], item[found]), rest], 1), axis=0)
+            return pa.table({"a": ends[:, 0], "b": ends[:, 1], "more": ends[:, 2].astype(bool)})
         root = np.array([forest.find(i) for i in range(len(item))], np.int64)
         joined = np.flatnonzero(item[root] != item)
-        return pa.table({"a": item[joined], "b": item[root[joined]]})
+        return pa.table({"a": item[joined], "b": item[root[joined]], "more": np.zeros(len(joined), bool)})
 
-    return table.mapInArrow(route, "node int, guest boolean, codes binary, items binary, payloads binary").groupBy("node").applyInArrow(links, "a long, b long")
+    return table.mapInArrow(route, "node int, guest boolean, codes binary, items binary, payloads binary").groupBy("node").applyInArrow(links, "a long, b long, more boolean")
 
 
 def fingerprints(df: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,6 +324,8 @@ ALIKE = (4, 5)
 #: What proposes pairs: parts of 64 bits of a wide fingerprint, bits of each code cut from it,
 #: parts that are compared as a whole, and bits in which those may differ.
 PARTS, CODE_BITS, WHOLE, COPY_BITS = 6, 24, 2, 34
+#: Proposals that a group makes in each range in the first round; each round makes four times as many.
+MOST = 1
 #: Texts that are compared at a time, for the worker's memory.
 SLICE = 64
 
@@ -355,9 +373,12 @@ def marked_groups(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text
     The index only proposes pairs: those whose wide fingerprints have some code that differs in
     at most two bits, and differ in at most COPY_BITS bits of the parts compared as a whole. A
     proposed pair links if the texts are alike. First a spanning forest of the proposals is
-    held against the texts, then all proposals between the groups of that which a failed edge
-    leaves apart; so a proposal is left out only if its texts are in one group already. Texts
-    with the same shingles are one item. group_id is the least key of the group.
+    held against the texts. The groups of that which a failed edge leaves apart go on in rounds:
+    each proposes its nearest pairs to others, these are held against the texts, and what links is
+    one group in the next round, in which those with proposals left make four times as many. So a
+    proposal is left out only if its texts are in one group already, and a group of copies that
+    fell apart grows together again long before all its pairs are made. Texts with the same
+    shingles are one item. group_id is the least key of the group.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -375,17 +396,17 @@ def marked_groups(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text
             seen = pa.array([p[:WHOLE].tobytes() + x for p, x in zip(parts, labels)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x for c in codes for x in c], pa.int64()), b.column("item").take(pa.array(at)), seen.take(pa.array(at))], names=["code", "item", "payload"])
 
-    def proposed(items: DataFrame, labelled: bool) -> DataFrame:
+    def proposed(items: DataFrame, most: int | None) -> DataFrame:
         codes = items.select("item", "payload", "label").mapInArrow(coded, "code long, item long, payload binary")
-        edges = spanning_edges(codes, 2, COPY_BITS, labelled=labelled)
-        return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        edges = spanning_edges(codes, 2, COPY_BITS, most=most)
+        return edges.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max("more").alias("more"))
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), mark_of(text_col).alias("mark"), F.col(text_col).alias("text"))
     marked = written(rows.mapInArrow(run, f"id {kind}, mark long, item long, payload binary"), "wide-fingerprints")
     distinct = checkpointed(marked.groupBy("item").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.first("payload").alias("payload"), F.count("*").alias("n")))
 
-    first = checkpointed(proposed(distinct.withColumn("label", F.lit(None).cast("long")), False))
+    first = checkpointed(proposed(distinct.withColumn("label", F.lit(None).cast("long")), None).drop("more"))
     near = distinct.join(first.select("a").union(first.select("b")).distinct().toDF("item"), "item")
     texts = written(rows.join(near.select("item", "mark"), "mark").select("item", "text").dropDuplicates(["item"]), "near-texts")
     judged = checkpointed(alike(first, texts, words))
@@ -393,13 +414,22 @@ def marked_groups(df: DataFrame, *, words: int = 5, id_col: str = "doc_id", text
     roots = components(sure)
     labels = checkpointed(near.join(roots, near.item == roots.node, "left").select("item", "payload", F.coalesce("root", "item").alias("label")))
 
-    name = labels.select("item", "label")
-    failed = judged.where("not alike").join(name.toDF("a", "of_a"), "a").join(name.toDF("b", "of_b"), "b").where("of_a <> of_b")
-    apart = failed.select("of_a").union(failed.select("of_b")).distinct().toDF("label")
-    rest = proposed(checkpointed(labels.join(apart, "label", "left_semi")), True).join(judged.select("a", "b"), ["a", "b"], "left_anti")
-    more = checkpointed(alike(rest, texts, words).where("alike").select("a", "b"))
-    if not more.isEmpty():
-        roots = components(sure.union(more))
+    def named_ends(pairs: DataFrame) -> DataFrame:
+        """The labels of the two ends of pairs, where they differ."""
+        name = labels.select("item", "label")
+        return pairs.select("a", "b").join(name.toDF("a", "of_a"), "a").join(name.toDF("b", "of_b"), "b").where("of_a <> of_b").select(F.greatest("of_a", "of_b").alias("a"), F.least("of_a", "of_b").alias("b")).distinct()
+
+    apart, most = named_ends(judged.where("not alike")), MOST
+    while not apart.isEmpty():
+        ends = checkpointed(apart.select("a").union(apart.select("b")).distinct().toDF("label"))
+        found = checkpointed(proposed(checkpointed(labels.join(ends, "label", "left_semi")), most))
+        fresh = checkpointed(alike(found.join(judged.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), texts, words))
+        judged = checkpointed(judged.unionByName(fresh))
+        merged = checkpointed(named_ends(fresh.where("alike")))
+        if not merged.isEmpty():
+            labels = checkpointed(labels.join(components(merged), F.col("label") == F.col("node"), "left").select("item", "payload", F.coalesce("root", "label").alias("label")))
+        apart, most = named_ends(found.where("more")), most * 4
+    roots = labels.select(F.col("item").alias("node"), F.col("label").alias("root"))
     named = checkpointed(named_groups(distinct.select("item", "least", "n"), roots, "item").select("item", "root", "group_id", "n"))
     return hot_join(marked.select("id", "mark", "item"), named, "item").select(F.col("id").alias(id_col), "mark", "root", "group_id")
 
