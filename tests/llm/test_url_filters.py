@@ -76,3 +76,12 @@ def test_clashing_names_and_odd_days(spark):
     got = {r.page_id: r for r in U.evaluate(captures, entries).collect()}
     assert [got[i].verdict for i in (1, 2, 3)] == ["block", "none", "none"]
     assert got[1].asDict() | {"verdict": 0, "pattern": 0, "valid_from": 0} == dict(zip(captures.columns, rows[0])) | {"verdict": 0, "pattern": 0, "valid_from": 0}
+
+
+def test_urls_of_any_length_are_looked_up_at_listed_depths(spark):
+    long = "http://deep.example.org/" + "a/" * 60_000
+    wide = "http://" + "x." * 2_000 + "example.org/"
+    captures = spark.createDataFrame([(1, long, D(2024, 1, 9)), (2, wide, D(2024, 1, 9)), (3, long + "b", D(2024, 1, 9)), (None, None, None)], "page_id long, url string, fetched date")
+    entries = spark.createDataFrame([("deep.example.org/a/a/a", "allow", D(2024, 1, 1)), ("example.org", "block", D(2024, 1, 1)), ("deep.example.org/" + "a/" * 500, "block", D(2024, 1, 2))], "pattern string, action string, day date")
+    got = {r.page_id: (r.verdict, len(r.pattern or "")) for r in U.evaluate(captures, entries).collect()}
+    assert got == {1: ("block", 16 + 1000), 2: ("block", 11), 3: ("block", 16 + 1000), None: ("none", 0)}

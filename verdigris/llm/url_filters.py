@@ -11,7 +11,8 @@ a host that holds a third of all captures costs one row a day; captures then loo
 up by pattern and day. Only URLs and days are shuffled, never pages, and nothing is broadcast
 but what Spark's own size check allows. Built-in functions only.
 
-Null URLs, URLs without a host, and days that are null or no dates match nothing: verdict `none`.
+A URL of any length is looked up at the depths that listed patterns have, and at no others. Null URLs
+and days are spread over the tasks. Null URLs, URLs without a host, and days that are null or no dates match nothing: verdict `none`.
 Entries with a null pattern or action or without a date are ignored, as are actions other than block, allow and remove. Of
 entries for one pattern and day block wins over allow, and allow over remove. Host and pattern
 are compared in lower case, paths as they are. Repeated captures are judged one by one. Extra
@@ -52,13 +53,23 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.select("pattern", "action", F.col("day").alias("valid_from"), later.alias("valid_to"))
 
 
-def candidates(url: Column) -> Column:
-    """The patterns that could match a URL, the least specific first."""
-    labels = F.split(host_of(url), r"\.")
-    suffixes = F.transform(F.sequence(F.size(labels), F.lit(1), F.lit(-1)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    segments = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    paths = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(segments, 1, i), "/")))
-    return F.concat(suffixes, F.when(F.size(segments) > 0, paths).otherwise(F.array().cast("array<string>")))
+def depths(held: DataFrame) -> tuple[list[int], list[int]]:
+    """(how many labels listed hosts have, how many segments listed paths have), each number once."""
+    host, path = F.substring_index("pattern", "/", 1), F.regexp_extract("pattern", "^[^/]*(/.*)?$", 1)
+    segments = F.size(F.filter(F.split(path, "/"), lambda s: s != ""))
+    found = held.select(F.size(F.split(host, r"\.")).alias("labels"), segments.alias("segments")).distinct().collect()
+    return sorted({r["labels"] for r in found if not r["segments"]}), sorted({r["segments"] for r in found if r["segments"]})
+
+
+def candidates(url: Column, labels: list[int], segments: list[int]) -> Column:
+    """The patterns of listed depths that could match a URL, the least specific first. A URL of any length
+    has no more of them than there are depths."""
+    host, path = host_of(url), F.filter(F.split(path_of(url), "/"), lambda s: s != "")
+    parts = F.split(host, r"\.")
+    of = lambda sizes, whole: F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.size(whole))
+    suffixes = F.transform(of(labels, parts), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
+    paths = F.transform(of(segments, path), lambda n: F.concat(host, F.lit("/"), F.array_join(F.slice(path, 1, n), "/")))
+    return F.concat(suffixes, paths)
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", day_col: str = "fetched") -> DataFrame:
@@ -66,7 +77,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", d
     held = intervals(entries)
     listed = held.select("pattern").distinct()
     asked = captures.select(F.col(url_col).alias("u"), F.col(day_col).try_cast("date").alias("d")).where((host_of(F.col("u")) != "") & F.col("d").isNotNull()).distinct()
-    able = asked.select("u", "d", F.posexplode(candidates(F.col("u"))).alias("place", "pattern"))
+    able = asked.select("u", "d", F.posexplode(candidates(F.col("u"), *depths(held))).alias("place", "pattern"))
     days = able.select("pattern", "d").distinct().join(listed, "pattern", "left_semi")
     active = days.join(held, "pattern").where((F.col("valid_from") <= F.col("d")) & (F.col("valid_to").isNull() | (F.col("d") < F.col("valid_to"))) & (F.col("action") != "remove"))
     answer = active.select("pattern", "d", "action", "valid_from", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
@@ -74,7 +85,10 @@ def evaluate(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", d
     best = answers.groupBy("u", "d").agg(F.max(F.struct("place", "action", "pattern", "valid_from")).alias("best"))
     kept = [c for c in captures.columns if c not in ("verdict", "pattern", "valid_from")]
     url, day, best_url, best_day, found = (free(f"__{n}", captures.columns) for n in ("url", "day", "best_url", "best_day", "best"))
-    rows = captures.select(*kept, F.col(url_col).alias(url), F.col(day_col).try_cast("date").alias(day))
+    # what asks nothing is spread by its other columns, as it would meet under one null key
+    plain = [c for c, kind in captures.select(*kept).dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
+    alone = F.concat(F.lit("\0"), F.xxhash64(*plain).cast("string")) if plain else F.lit("\0")
+    rows = captures.select(*kept, F.when(F.col(day_col).try_cast("date").isNull(), alone).otherwise(F.coalesce(F.col(url_col), alone)).alias(url), F.coalesce(F.col(day_col).try_cast("date"), F.lit("0001-01-01").cast("date")).alias(day))
     joined = rows.join(best.toDF(best_url, best_day, found), (F.col(url) == F.col(best_url)) & (F.col(day) == F.col(best_day)), "left")
     return joined.select(*kept, F.coalesce(f"{found}.action", F.lit("none")).alias("verdict"), F.col(f"{found}.pattern").alias("pattern"), F.col(f"{found}.valid_from").alias("valid_from"))
 
