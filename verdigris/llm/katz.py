@@ -13,7 +13,8 @@ number with the corpus, so that each holds about ENTRIES entries. A history with
 occurrences is spread over several buckets by its next word, whose sums the chunk adds up. Each
 token is then evaluated recursively in its chunk. Only counts of counts come to the driver.
 
-Words are told apart by 64-bit XXH64. Null and empty texts are the end token alone. The first
+Whole texts are scored, however long; a chunk is closed by its tokens as well as its documents. Words
+are told apart by 64-bit XXH64. Null and empty texts are the end token alone. The first
 token's history is a start mark, which is not a token. Where Good-Turing cannot be applied
 (counts of counts that are zero, or a discount outside 0 to 1) a count r keeps (r - 1/2)/r of
 itself, or all of itself if no word occurs once; a level that frees less than one part in its

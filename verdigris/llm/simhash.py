@@ -12,7 +12,8 @@ and small stars, cut by checkpoints, join the forests into components. The upper
 MAX_NODES, are all that comes to the driver. Equal fingerprints are one row from the start,
 summed up in the tasks first, so a group of copies weighs no more than one document.
 
-A null text has no words: fingerprint zero, linked like any other. A null key never names a
+Whole texts are taken, however long: a text's shingles are held by the one task that reads it. A null
+text has no words: fingerprint zero, linked like any other. A null key never names a
 component unless all of a component's keys are null; repeated keys and rows are kept one by
 one. Other columns are ignored. An empty table gives an empty result.
 """

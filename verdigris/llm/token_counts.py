@@ -4,6 +4,7 @@ The first tier is a compact table of frequent pre-token lengths, broadcast once.
 goes to a bounded cache in each worker, which has the library encode the misses. No pre-token
 is ever shuffled. Both tiers only remember what the library gives, so counts are exact.
 
+Texts of any length are counted whole; one pre-token of millions of characters is left to the library.
 Null text counts as empty: no bytes, no tokens. Repeated rows are counted each by itself, a
 null key is carried through, other columns are ignored, an empty table gives an empty result.
 """
