@@ -252,3 +252,36 @@ def test_parser_table_is_zero_filled(spark):
     counts = {(r.run_id, r.scanner, r.rule_id): r["count"] for r in found}
     assert len(counts) == len(found) == 7 * 3 + 6 and sum(counts.values()) == 4
     assert counts["r", "ruff", "PARSER.UNHANDLED"] == counts["r", None, "PARSER.UNHANDLED"] == counts["r", "unknown", "PARSER.OTHER"] == 1 and counts["s", None, "PARSER.BAD_SEVERITY"] == 0
+
+
+def test_what_is_listed_and_enabled(spark):
+    from verdigris.operators import history
+
+    key = lambda *pairs: spark.createDataFrame([(p, r, f"{p}{r}") for p, r in pairs], "project string, run_id string, v string")
+    runs = history.complete_runs(key(("p", "1"), ("p", "2"), ("q", "1")), key(("p", "1"), ("p", "2")).withColumnRenamed("v", "s"), key(("p", "1"), ("q", "1"), ("p", "2")).withColumnRenamed("v", "o"), key(("p", "1")).withColumnRenamed("v", "m"))
+    assert sorted((r.run_id, r.m) for r in runs.collect()) == [("1", "p1"), ("2", None)]
+    known = spark.createDataFrame([("ruff", ["python"]), ("eslint", ["javascript", "typescript"]), ("gitleaks", ["general"])], "scanner string, languages array<string>")
+    wanted = F.array(F.lit("python"), F.lit("typescript"))
+    assert sorted(r.scanner for r in inventory.enabled(known, wanted).collect()) == ["eslint", "ruff"]
+    assert [r.scanner for r in inventory.enabled(known, wanted, ["ruff", "gitleaks"]).collect()] == ["ruff"] and inventory.enabled(known, wanted, None, ["ruff", "eslint"]).count() == 0
+    found = spark.createDataFrame([("low", "a", "f", "r", "1"), ("critical", "z", "f", "r", "2"), ("odd", "a", "f", "r", "3"), ("critical", "b", "g", "r", "4"), ("critical", "b", "f", "s", "5")], "severity string, category string, file string, rule_id string, fingerprint string")
+    assert [r.fingerprint for r in ops.published_order(found).collect()] == ["5", "4", "2", "1", "3"]
+
+
+def test_java_runners_and_artifacts(spark):
+    from verdigris.operators import discovery
+    from verdigris.sources import java_artifacts
+
+    bug = lambda n: f'<BugCollection><BugInstance type="T{n}" rank="1"><LongMessage>m</LongMessage><SourceLine sourcepath="A.java" start="{n}"/></BugInstance></BugCollection>'
+    files = [
+        ("m", "mvnw", ""), ("m", "a/pom.xml", "io.micronaut"), ("m", "b/pom.xml", "org.springframework.boot"), ("m", "a/target/spotbugsXml.xml", bug(1)), ("m", "b/target/spotbugsXml.xml", bug(2)), ("m", "b/target/site/pmd.xml", "late"), ("m", "b/target/pmd.xml", "<pmd></pmd>"),
+        ("g", "build.gradle", "jakarta.ee"), ("g", "gradlew", ""), ("g", "build/reports/spotbugs/main/spotbugs.xml", bug(3)), ("g", "target/spotbugsXml.xml", bug(4)), ("n", "README", ""),
+        ("u", "pom.xml", ""), ("u", "x/pom.xml", ""), ("u", "target/spotbugsXml.xml", bug(5)), ("u", "x/target/spotbugsXml.xml", "<BugCollection><BugInst"),
+    ]
+    frame = spark.createDataFrame(files, "project string, path string, text string")
+    assert sorted(map(tuple, java_artifacts.runners(frame).collect())) == [("g", "gradle", "./gradlew"), ("m", "maven", "./mvnw"), ("u", "maven", "mvn")]
+    left = java_artifacts.artifacts(frame)
+    assert sorted((r.project, r.module_path, r.tool, r.path) for r in left.where("project <> 'u'").collect()) == [("g", ".", "spotbugs", "build/reports/spotbugs/main/spotbugs.xml"), ("m", "a", "spotbugs", "a/target/spotbugsXml.xml"), ("m", "b", "pmd", "b/target/pmd.xml"), ("m", "b", "spotbugs", "b/target/spotbugsXml.xml")]
+    got = sorted((r.project, r.finding_ord, r.rule_id) for r in java_artifacts.findings(left, "r").collect())
+    assert got == [("g", 0, "T3"), ("m", 0, "T1"), ("m", 1, "T2"), ("u", 0, "PARSER.SCHEMA_ERROR")]
+    assert {(r.project, r.framework): r.evidence for r in discovery.java_evidence(frame).collect()} == {("m", "micronaut"): ["pom.xml"], ("m", "spring"): ["pom.xml"], ("m", "spring_boot"): ["pom.xml"], ("g", "jakarta_ee"): ["build.gradle"]}
