@@ -141,6 +141,24 @@ def java(files: DataFrame) -> DataFrame:
     return rows.select("project", "is_java", F.greatest("modules", F.lit(1)).alias("module_count"), (c("modules") > 1).alias("multi_module"), chosen({n: c(n) for n in JAVA_FRAMEWORKS}).alias("java_frameworks"), *SPRING_ANNOTATIONS, *SPRING_INDICATORS, "validation")
 
 
+#: Settings files that a Django project's block lists.
+SETTINGS_LISTED = 50
+
+
+def settings_files(files: DataFrame) -> DataFrame:
+    """(project, settings_files): the first settings files of each project by path."""
+    found = listed(files).where(named(("settings.py",))).select("project", "path")
+    nth = F.row_number().over(Window.partitionBy("project").orderBy("path"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= SETTINGS_LISTED).groupBy("project").agg(F.array_sort(F.collect_list("path")).alias("settings_files"))
+
+
+def profile_names(languages: DataFrame, frameworks: DataFrame) -> DataFrame:
+    """(project, name): the profiles that hold for a project, by its language hints and, for Django, by
+    its framework; files of infrastructure have a profile of their own."""
+    hint = languages.select("project", F.explode("language_hints").alias("hint")).select("project", F.when(F.col("hint") == "general", "infrastructure").otherwise(F.col("hint")).alias("name"))
+    return hint.unionByName(frameworks.where("python_framework = 'django'").select("project", F.lit("django").alias("name"))).distinct()
+
+
 #: Build files that a report names as the evidence of a framework.
 EVIDENCE = 20
 

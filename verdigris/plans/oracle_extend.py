@@ -4,7 +4,7 @@ queries make of them."""
 from __future__ import annotations
 
 from verdigris.schemas import DEPENDENCY_TOOLS
-from verdigris.sources.derived import FILE_RULES, JAVA_RULES
+from verdigris.sources.derived import DJANGO_RULES, FILE_RULES, JAVA_RULES
 from verdigris.sources.made_reports import expected_sql
 
 #: A team's reports: entries, and which report is unsound and why. The greatest problem holds.
@@ -43,6 +43,11 @@ PARTS["jf"] = f"SELECT *, CASE WHEN contains(path, '/') THEN regexp_replace(path
 PARTS["jb"] = """SELECT project, folder, name, text FROM jf WHERE name IN ('pom.xml', 'build.gradle', 'build.gradle.kts', 'settings.gradle', 'settings.gradle.kts')"""
 PARTS["jfw"] = """SELECT * FROM (VALUES (1, 'spring', '(?i)org[.]springframework'), (2, 'spring_boot', '(?i)spring-boot|org[.]springframework[.]boot'), (3, 'micronaut', '(?i)io[.]micronaut'), (4, 'quarkus', '(?i)io[.]quarkus'), (5, 'jakarta_ee', '(?i)jakarta[.][a-z0-9_.-]+')) v(nth, framework, pattern)"""
 PARTS["jhit"] = "SELECT jb.project, folder, name, nth, framework FROM jb JOIN jfw ON regexp_matches(text, pattern)"
+PARTS["df"] = f"SELECT *, NOT starts_with(path, 'node_modules/') AS seen, regexp_extract(path, '[^/]*$') AS name FROM ({DJANGO_RULES.format(text='varchar')}) x"
+PARTS["dj"] = """SELECT project, bool_or(path = 'manage.py') AS manage_py, bool_or(path = 'manage.py' AND contains(lower(text), 'django')) AS in_manage, bool_or(path = 'requirements.txt' AND contains(lower(text), 'django')) AS in_req, bool_or(path = 'pyproject.toml' AND contains(lower(text), 'django')) AS in_toml,
+    bool_or(seen AND ends_with(path, '.py') AND contains(text, 'from django')) AS imports, bool_or(seen AND name = 'settings.py') AS settings, bool_or(seen AND name = 'settings.py' AND contains(text, 'DEBUG =')) AS hard, count(*) FILTER (seen AND path LIKE '%/templates/%.html') AS templates,
+    bool_or(seen AND name = 'consumers.py' AND contains(text, 'rest_framework')) AS drf, bool_or(seen AND name = 'consumers.py' AND (contains(text, 'channels') OR contains(text, 'daphne'))) AS channels, bool_or(seen AND name = 'consumers.py' AND contains(text, 'models.')) AS orm,
+    string_agg(path, ',' ORDER BY path) FILTER (seen AND name = 'settings.py' AND nth <= 50) AS files FROM (SELECT *, row_number() OVER (PARTITION BY project, seen AND name = 'settings.py' ORDER BY path) AS nth FROM df) y GROUP BY project"""
 PARTS["cached"] = "SELECT *, 'p' || (o_custkey % 7) AS project, 'r' || (o_custkey % 31) AS run_id, ['pmd', 'spotbugs', 'checkstyle'][CAST(o_orderkey % 3 + 1 AS int)] AS tool FROM orders"
 PARTS["ptab"] = "SELECT project, CAST(CAST(run_id AS bigint) % 40 AS varchar) AS run_id, tool, kind, problem, entries FROM judged"
 
@@ -66,6 +71,13 @@ FINAL = {
     "java_evidence": """SELECT project, framework, string_agg(name, ',' ORDER BY place) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY project, framework ORDER BY folder, list_position(['pom.xml', 'build.gradle', 'build.gradle.kts', 'settings.gradle', 'settings.gradle.kts'], name)) AS place FROM jhit) q WHERE place <= 20 GROUP BY project, framework""",
     "java_artifacts": """SELECT project, row_number() OVER (PARTITION BY project ORDER BY module, bug) - 1 AS finding_ord, 'spotbugs' AS tool, 'T' || (l_partkey % 4) AS rule_id, CASE WHEN l_suppkey % 15 <= 4 THEN 'high' WHEN l_suppkey % 15 <= 9 THEN 'medium' ELSE 'low' END AS severity, 'src/' || l_suppkey || '.java' AS file, CAST(l_linenumber AS int) AS line, 'part ' || l_partkey AS message
       FROM (SELECT *, 'p' || (l_orderkey % 5) AS project, 'm' || l_orderkey AS module, '<BugInstance type="T' || (l_partkey % 4) || '" rank="' || (l_suppkey % 15) || '"><LongMessage>part ' || l_partkey || '</LongMessage><SourceLine sourcepath="src/' || l_suppkey || '.java" start="' || l_linenumber || '"' AS bug FROM lineitem) q""",
+    "django_projects": """SELECT project, concat_ws(',', CASE WHEN imports THEN 'django_imports' END, CASE WHEN in_manage THEN 'manage.py' END, CASE WHEN in_toml THEN 'pyproject.toml' END, CASE WHEN in_req THEN 'requirements.txt' END, CASE WHEN settings THEN 'settings.py' END) AS django_evidence, drf, channels, orm AS orm_patterns,
+      hard AS settings_hardening_markers, manage_py, CAST(templates AS BIGINT) AS template_count, coalesce(files, '') AS settings_files FROM dj WHERE in_manage OR in_req OR in_toml OR imports""",
+    "project_profiles": """SELECT project, name, scanners, cards, cache_behavior FROM (
+        SELECT project, 'python' AS name FROM df WHERE path IN ('manage.py', 'requirements.txt', 'pyproject.toml') GROUP BY ALL UNION ALL SELECT project, 'django' FROM dj WHERE in_manage OR in_req OR in_toml OR imports
+        UNION ALL SELECT project, 'java' FROM jf WHERE path IN ('pom.xml', 'mvnw', 'build.gradle', 'gradlew') GROUP BY ALL) n
+      JOIN (VALUES ('python', 'ruff,pyright,coverage,radon,vulture,bandit,opengrep', 'metric_cards,dedupe,baseline', 'stateless'), ('django', 'django_check_deploy,django_settings_scan,django_template_scan,django_orm_health', 'framework_cards', 'stateless'),
+        ('java', 'spotbugs,pmd,checkstyle,errorprone,jacoco,dependency_check,opengrep_java', 'java_metrics,java_cache,framework_cards', 'aggressive')) v(name, scanners, cards, cache_behavior) USING (name)""",
     "mapped_rules": """SELECT project, tool, rule_id, severity AS was, CASE WHEN rule_id = 'B105' THEN 'critical' WHEN starts_with(rule_id, 'B1') THEN 'medium' WHEN starts_with(rule_id, 'B') THEN 'low' WHEN starts_with(rule_id, 'GEN') THEN 'high' WHEN starts_with(rule_id, 'S') THEN 'high' ELSE 'info' END AS severity,
       CASE WHEN starts_with(rule_id, 'B') THEN 'security' WHEN starts_with(rule_id, 'GEN.2') THEN 'complexity' WHEN starts_with(rule_id, 'F4') THEN 'dead_code' ELSE 'lint' END AS category, count(*) AS count FROM f GROUP BY ALL""",
     "remapped_dialect": f"""SELECT rule_id, CASE WHEN rule_id = 'S101' THEN 'high' ELSE 'info' END AS severity, CASE WHEN rule_id = 'F401' THEN 'dead_code' ELSE 'lint' END AS category, count(*) AS count FROM ({expected_sql()}) x WHERE tool = 'ruff' GROUP BY ALL""",

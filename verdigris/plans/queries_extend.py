@@ -242,3 +242,17 @@ def q_java_artifacts(spark: SparkSession, d: str) -> DataFrame:
     files = bugs.select(project.alias("project"), left.alias("path"), F.concat(F.lit("<BugCollection>"), "bugs", F.lit("</BugCollection>")).alias("text")).unionByName(bugs.select(project.alias("project"), F.concat(module, F.when(maven, "/pom.xml").otherwise("/build.gradle")).alias("path"), F.lit("").alias("text"))).unionByName(root)
     found = java_artifacts.findings(java_artifacts.artifacts(written(files, "built")), "r1")
     return found.select("project", "finding_ord", "tool", "rule_id", "severity", "file", "line", "message")
+
+
+def q_django_projects(spark: SparkSession, d: str) -> DataFrame:
+    """The Django block of each project that has it, with its settings files."""
+    files = derived.django_files(spark, d)
+    found = discovery.python(files).where("python_framework = 'django'").join(discovery.settings_files(files), "project", "left")
+    return found.select("project", F.array_join("django_evidence", ",").alias("django_evidence"), "drf", "channels", "orm_patterns", "settings_hardening_markers", "manage_py", "template_count", F.array_join(F.coalesce("settings_files", F.array().cast("array<string>")), ",").alias("settings_files"))
+
+
+def q_project_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """The profiles that hold for the Django and the Java projects, with their scanners."""
+    files = written(derived.django_files(spark, d).unionByName(derived.java_files(spark, d)), "projects")
+    found = registry.project_profiles(discovery.profile_names(discovery.languages(files), discovery.python(files)))
+    return found.select("project", "name", F.array_join("scanners", ",").alias("scanners"), F.array_join("cards", ",").alias("cards"), "cache_behavior")

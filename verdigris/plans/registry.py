@@ -136,6 +136,11 @@ def profile_rows(spark: SparkSession, registry: Registry | None = None) -> DataF
     return spark.createDataFrame(rows, "name string, scanners array<string>, parsers array<string>, metric_providers array<string>, cards array<string>, policy_extensions array<string>, cache_behavior string")
 
 
+def project_profiles(named: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """The profile blocks of projects (project, name); a name without a profile has none."""
+    return named.join(profile_rows(named.sparkSession, registry), "name").select("project", "name", "scanners", "parsers", "metric_providers", "cards", "policy_extensions", "cache_behavior")
+
+
 def scanner_rows(spark: SparkSession, registry: Registry | None = None) -> DataFrame:
     """The scanners with their order, reader, whether there is one, and whether their scalars count."""
     found = registry or builtin()

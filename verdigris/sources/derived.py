@@ -86,6 +86,16 @@ SELECT concat('j', CAST(k % 13 AS {text})) AS project,
 FROM (SELECT p_partkey AS k FROM part) x
 """
 
+#: Projects with and without Django: a file for each part.
+DJANGO_RULES = """
+SELECT concat('d', CAST(k % 11 AS {text})) AS project,
+  CASE WHEN k < 11 THEN CASE k % 3 WHEN 0 THEN 'manage.py' WHEN 1 THEN 'requirements.txt' ELSE 'pyproject.toml' END WHEN k % 4 = 0 THEN concat('app', CAST(k AS {text}), '/settings.py') WHEN k % 4 = 1 THEN concat('app', CAST(k AS {text}), '/templates/x.html')
+    WHEN k % 4 = 2 THEN concat('app', CAST(k AS {text}), '/consumers.py') ELSE concat('node_modules/', CAST(k AS {text}), '/settings.py') END AS path,
+  CASE WHEN k < 11 THEN CASE WHEN k % 2 = 0 THEN 'uses Django here' ELSE 'uses flask here' END WHEN k % 4 = 0 THEN CASE WHEN k % 9 = 0 THEN 'DEBUG = True' ELSE 'x = 1' END
+    WHEN k % 4 = 2 THEN CASE WHEN k % 17 = 0 THEN 'from channels import x' WHEN k % 19 = 1 THEN 'import daphne' WHEN k % 13 = 2 THEN 'import rest_framework' WHEN k % 23 = 3 AND k % 11 > 7 THEN 'from django.db import models' WHEN k % 29 = 4 THEN 'models.Model' ELSE '' END ELSE 'DEBUG = True' END AS text
+FROM (SELECT p_partkey AS k FROM part) x
+"""
+
 #: Results of scanners: one for each order. Few have errors, so runs pass, warn and fail.
 RESULT_RULES = """
 SELECT concat('p', CAST(o_custkey % 7 AS {text})) AS project, concat('r', CAST(o_custkey % 271 AS {text})) AS run_id, CAST(o_custkey % 271 AS int) AS run_no, CAST(o_orderkey AS bigint) AS scanner_ord,
@@ -112,3 +122,8 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project, path, text) of Java projects, a file for each part."""
     return run(spark, JAVA_RULES, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
+def django_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, path, text) of projects with and without Django, a file for each part."""
+    return run(spark, DJANGO_RULES, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
