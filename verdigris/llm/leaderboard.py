@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from verdigris.llm.treap import Treap
-from verdigris.sources.work import shared_dir
+from verdigris.sources.work import shared_dir, written
 
 #: First day, days that the batches span, batches, days a line may be late, places of a board.
 FIRST_DAY, SPAN, BATCHES, LATE, PLACES = 19723, 180, 8, 15, 10
@@ -74,8 +74,9 @@ def lines(sale_lines: DataFrame, vendors: DataFrame, items: DataFrame) -> tuple[
     known = days.select(
         "item_id", "vendor_id", "arrival_day", "batch", late.alias("late"), (sign * F.floor(100 * c("amount") + 0.5).cast("double")).alias("known"), F.when(c("amount").isNull(), sign * c("quantity")).alias("pieces")
     )
-    nations = vendors.where("vendor_id is not null").groupBy("vendor_id").agg(F.min("nation_id").alias("nation_id"))
-    prices = items.where("item_id is not null").groupBy("item_id").agg(F.min("price").alias("price"), F.lit(True).alias("listed"))
+    # written, as Spark splits an uneven join only where both sides come straight from their shuffles
+    nations = written(vendors.where("vendor_id is not null").groupBy("vendor_id").agg(F.min("nation_id").alias("nation_id")), "nations")
+    prices = written(items.where("item_id is not null").groupBy("item_id").agg(F.min("price").alias("price"), F.lit(True).alias("listed")), "prices")
     cents = F.coalesce(c("known"), c("pieces") * F.floor(100 * c("price") + 0.5), F.lit(0.0))
     joined = known.join(nations.hint("merge"), "vendor_id", "left").drop("vendor_id").join(prices.hint("merge"), "item_id", "left")
     return joined.select(c("nation_id").cast("int").alias("nation_id"), c("item_id").cast("long").alias("item_id"), F.when(c("listed"), cents).alias("cents"), "arrival_day", "late", "batch"), latest
