@@ -38,8 +38,8 @@ SCANNERS = [
 #: Scanners whose scalar metrics count.
 SCALAR_SCANNERS = ["coverage", "radon", "jacoco", "pmd", "js_coverage", "go_coverage", "dockerfile_scan", "compose_scan", "quadlet_scan", "reverse_proxy_scan", "terraform_scan"]
 
-#: Scanners whose findings and scalars the built-in metric providers name; go_coverage counts among the
-#: scalars here, which it does not elsewhere.
+# The scanners that the built-in metric providers name. Go coverage is among the scalars, as
+# it counts towards the score here.
 FINDING_PROVIDER_SCANNERS = [
     "ruff", "bandit", "pyright", "vulture", "spotbugs", "pmd", "checkstyle", "errorprone", "dependency_check", "opengrep_java", "opengrep_infra", "dockerfile_scan", "compose_scan", "quadlet_scan", "reverse_proxy_scan",
     "terraform_scan", "shellcheck", "django_check_deploy", "django_settings_scan", "django_template_scan", "django_orm_health", "eslint", "typescript_diagnostics", "npm_audit", "opengrep_js", "gitleaks", "trufflehog", "secrets_heuristic", "git_history_secrets",
