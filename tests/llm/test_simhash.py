@@ -151,19 +151,3 @@ def test_different_texts_under_one_key_are_judged_apart(spark):
     a, b, c = (" ".join(f"v{i}" for i in rng.integers(0, 1 << 30, 100)) for _ in range(3))
     df = spark.createDataFrame([(1, a), (1, b), (2, b), (2, c), (2, c), (3, a)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in simhash.keep_one(df).collect()) == sorted([(1, a), (1, b), (2, c)])
-
-
-def test_nearest_links_of_each_label_stay():
-    rng = np.random.default_rng(2)
-    label = rng.integers(0, 9, 60)
-    q, found = rng.integers(0, 60, 400), rng.integers(0, 60, 400)
-    far = rng.integers(0, 20, 400)
-    for most in (1, 3, 1000):
-        stay, names = simhash.nearest_links(q, found, far, label, most)
-        want, others = set(), set()
-        for x in set(label.tolist()):
-            mine = sorted((far[i], side, i) for ends in (q, found) for i in range(400) if label[side := ends[i]] == x)
-            want |= {i for *_, i in mine[:most]}
-            others |= {x} if len(mine) > most else set()
-        assert set(stay.tolist()) == want and set(names.tolist()) == others
-    assert [len(x) for x in simhash.nearest_links(*[np.empty(0, np.int64)] * 3, label, 1)] == [0, 0]
