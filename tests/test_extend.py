@@ -28,6 +28,20 @@ def test_sums_and_ranks_in_two_levels(spark):
     assert ordered.ranks(frame.limit(0), RUN, ["word"], "rank").count() == 0
 
 
+def test_numbers_tell_equal_rows_apart_and_join_no_rows(spark):
+    rows = [("p", "a", i % 7) for i in range(300)] + [("p", "b", None)] * 40 + [("q", "a", 1)]
+    frame = spark.createDataFrame(rows, "project string, run_id string, word int").repartition(5)
+    got = {}
+    for r in ordered.numbers(frame, RUN, ["word"], "n").collect():
+        got.setdefault((r.project, r.run_id), []).append((r.n, -1 if r.word is None else r.word))
+    for found in got.values():
+        assert [n for n, _ in sorted(found)] == list(range(1, len(found) + 1)) and [w for _, w in sorted(found)] == sorted(w for _, w in found)
+    assert {k: len(v) for k, v in got.items()} == {("p", "a"): 300, ("p", "b"): 40, ("q", "a"): 1}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(ordered.numbers(frame, RUN, ["word"], "n")).count("Join ") == 1  # that of the ranges' counts
+    assert "Join LeftOuter" in plan(ordered.ranks(frame, RUN, ["word"], "n"))  # which never broadcasts the rows
+
+
 def test_payload_budget_in_the_order_of_the_report(spark):
     rows = [("p", "r", 1, i, "x" * n) for i, n in enumerate([5, 20, 0, 7, 9, 3])] + [("p", "s", 1, 0, "ü" * 8), ("p", "s", 2, 0, None)]
     frame = spark.createDataFrame(rows, "project string, run_id string, scanner_ord int, finding_ord long, raw_payload string")

@@ -6,7 +6,8 @@ of which there are few, and of the rows before within the range. The ranges are
 bounds come from a sample that another run may draw otherwise.
 
 Columns of a group hold no nulls. Rows that agree in the order lie in one range; ranks() counts them
-first and deals out distinct keys, so equal rows do not gather either.
+first and deals out distinct keys, so equal rows do not gather either. numbers() tells equal rows apart
+by chance and joins nothing back, so it is for orders that few rows agree in.
 """
 
 from __future__ import annotations
@@ -39,4 +40,15 @@ def ranks(rows: DataFrame, group: list[str], order: list[Column | str], name: st
     placed = sums_before(keys, group, list(by), F.col("__n"), "__before")
     left, right = named.alias("l"), placed.alias("r")
     same = reduce(lambda a, b: a & b, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in group] + [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by])
-    return left.join(right, same).select(*(f"l.{c}" for c in rows.columns), (F.col("r.__before") + 1).alias(name))
+    # every row has its key; as an outer join, whose left side Spark never broadcasts: work tables are
+    # packed, and what fits its size check as a file may not fit the driver as rows
+    return left.join(right, same, "left").select(*(f"l.{c}" for c in rows.columns), (F.col("r.__before") + 1).alias(name))
+
+
+def numbers(rows: DataFrame, group: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """Adds each row's number in its group, from 1 without gaps; rows that agree in the order get theirs
+    in any way. Nulls come first. Rows are moved and written once, and nothing is joined but the counts
+    of the ranges."""
+    by = {f"__o{i}": F.col(x) if isinstance(x, str) else x for i, x in enumerate(order)} | {"__chance": F.rand(1)}
+    numbered = sums_before(rows.withColumns(by), group, list(by), F.lit(1), "__before")
+    return numbered.select(*rows.columns, (F.col("__before") + 1).alias(name))

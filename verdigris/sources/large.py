@@ -2,7 +2,7 @@
 
 Spark's text source splits a file at any separator, so a report of gigabytes is read by many tasks.
 Each record, an element or a line, is made a small report, and the dialect reads those as it reads
-whole ones. Entries are numbered over all parts by ranks in two levels, so the rows are those of
+whole ones. Entries are numbered over all parts in two levels, so the rows are those of
 reports.parse_all(). JSON documents have no such separator and stay one row a report.
 
 An XML report has to close its root once, at its end: one that is cut off gives one parser finding, as
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.operators.findings import parser_failures
-from verdigris.operators.ordered import ranks
+from verdigris.operators.ordered import numbers
 from verdigris.sources.reports import DIALECTS, Dialect, parse, scanner_runs
 from verdigris.sources.work import written
 
@@ -55,7 +55,7 @@ def parse_large(spark: SparkSession, pattern: str, dialect: str, root: str = "",
     known = dialects or DIALECTS
     small, broken = small_reports(spark, pattern, dialect, root, known)
     found = written(parse(small, {dialect: known[dialect]}, ["project", "run_id", *PLACE]), "large")
-    numbered = ranks(found, ["project", "run_id"], [*PLACE, "finding_ord"], "__rank").withColumn("finding_ord", F.col("__rank") - 1).drop("__rank", *PLACE)
+    numbered = numbers(found, ["project", "run_id"], [*PLACE, "finding_ord"], "__n").withColumn("finding_ord", F.col("__n") - 1).drop("__n", *PLACE)
     cut_off = scanner_runs(broken).withColumn("problem", F.lit("SCHEMA_ERROR"))
     runs = scanner_runs(small.select("project", "run_id", "tool").distinct())
     return parser_failures(runs, numbered.unionByName(cut_off, allowMissingColumns=True))
