@@ -222,6 +222,13 @@ def test_four_kinds_of_pages(spark, monkeypatch):
     assert "security-3.html" in got["projects/a/runs/r2/details.html"]
 
 
+def test_rows_that_agree_in_the_order_fill_pages_too(spark, monkeypatch):
+    monkeypatch.setattr(pages, "PAGE_ROWS", 4)
+    frame = spark.createDataFrame([("p", "r", 1, i // 3) for i in range(10)], "project string, run_id string, scanner_ord int, finding_ord long")
+    got = sorted((r.place, r.sheet, r.finding_ord) for r in pages.numbered(frame, RUN, ["scanner_ord", "finding_ord"]).collect())
+    assert got == [(i, i // 4 + 1, i // 3) for i in range(10)]
+
+
 def test_file_digests_of_any_size(spark, tmp_path):
     contents = {"a.bin": b"x" * 10, "d/b.bin": bytes(range(256)) * 9000, "d/c.bin": b""}
     for name, data in contents.items():

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from verdigris.operators import history, portal
-from verdigris.operators.ordered import ranks
+from verdigris.operators.ordered import numbers, ranks
 from verdigris.sources.scanners import opened
 
 RUN = ["project", "run_id"]
@@ -75,8 +75,9 @@ def run_path(page: str) -> Column:
 
 
 def numbered(rows: DataFrame, group: list[str], order: list) -> DataFrame:
-    """Adds place from 0 and sheet, the number of the page that a row goes to, from 1."""
-    placed = ranks(rows, group, order, "place").withColumn("place", F.col("place") - 1)
+    """Adds place from 0 and sheet, the number of the page that a row goes to, from 1. Rows that agree in
+    the order have places of their own, so that every page but the last is full."""
+    placed = numbers(rows, group, order, "place").withColumn("place", F.col("place") - 1)
     return placed.withColumn("sheet", F.floor(F.col("place") / PAGE_ROWS) + 1)
 
 
@@ -96,7 +97,8 @@ def blocks(cards: DataFrame, findings: DataFrame, plan: DataFrame, scalars: Data
     report, details, project = run_path("report"), run_path("details"), F.concat(F.lit("projects/"), c("project"), F.lit("/index.html"))
     zero = F.lit(0)
     security = findings.where("category = 'security'")
-    listed = numbered(security.withColumn("group", portal.security_group(c("security_class"))), RUN, [*portal_order(), "scanner_ord", "finding_ord"])
+    cells = ["rule_id", "file", "line", "message", "score_weight"]
+    listed = numbered(security.select(*RUN, portal.security_group(c("security_class")).alias("group"), "severity", "scanner_ord", "finding_ord", *cells), RUN, [*portal_order(), "scanner_ord", "finding_ord", *cells])
     sheets = listed.select(*RUN, "sheet").distinct()
     nav = F.array(linked(F.lit("details.html"), F.lit("details")), linked(F.lit("../../index.html"), F.lit("history")), linked(F.lit("summary.json"), F.lit("summary")), linked(F.lit("findings.json"), F.lit("findings")))
     own = lambda name: F.concat(F.lit("runs/"), c("run_id"), F.lit(f"/{name}.html"))
@@ -114,7 +116,7 @@ def blocks(cards: DataFrame, findings: DataFrame, plan: DataFrame, scalars: Data
         block(portal.affected_files(findings), details, title, "files", c("rank"), "file", "count"), block(portal.rule_families(findings), details, title, "families", c("rank"), "rule_family", "count"),
         block(portal.parser_summary(findings).where("scanner IS NOT NULL"), details, title, "parsers", zero, "scanner", "rule_id", "count"),
         block(sheets, details, title, "links", c("sheet"), linked(sheet_name("security", c("sheet")), F.concat(F.lit("security findings "), c("sheet").cast("string"))).alias("page")),
-        block(listed, F.concat(F.lit("projects/"), "project", F.lit("/runs/"), "run_id", F.lit("/"), sheet_name("security", c("sheet"))), title, "findings", c("place"), "group", "severity", "rule_id", "file", "line", "message", "score_weight"),
+        block(listed, F.concat(F.lit("projects/"), "project", F.lit("/runs/"), "run_id", F.lit("/"), sheet_name("security", c("sheet"))), title, "findings", c("place"), "group", "severity", *cells),
         block(runs, project, c("project"), "runs", -c("nth"), linked(own("report"), c("run_id")).alias("run"), linked(own("details"), F.lit("details")).alias("more"), *figures),
         block(latest, index, F.lit("Projects"), "projects", c("place"), linked(F.concat(F.lit("projects/"), "project", F.lit("/index.html")), c("project")).alias("project"), *figures),
         block(latest.select("sheet").distinct(), F.lit("index.html"), F.lit("Projects"), "links", c("sheet"), linked(index, F.concat(F.lit("projects, page "), c("sheet").cast("string"))).alias("page")),
