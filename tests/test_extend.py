@@ -126,6 +126,18 @@ def test_landed_reports_are_cut_at_lines(spark, tmp_path):
         assert [x for r in sorted(rows, key=lambda r: r.piece) for x in r.stdout.splitlines()] == lines and all(r.success for r in rows)
 
 
+def test_many_pieces_are_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scanners, "PARTITIONS", 3)
+    for name in "ab":
+        (tmp_path / "p" / name).mkdir(parents=True)
+        (tmp_path / "p" / name / "x.txt").write_text("".join(f"{name}{i}\n" for i in range(200)))
+    scanners.register(spark, scanners.LineReports)
+    found = spark.read.format("line_reports").options(path=str(tmp_path), piece_bytes=40).load()
+    rows = sorted(found.collect(), key=lambda r: r.piece)
+    assert found.rdd.getNumPartitions() == 3 and len(rows) > 40 and [r.piece for r in rows] == list(range(len(rows)))
+    assert [x for r in rows for x in r.stdout.splitlines()] == [f"{name}{i}" for name in "ab" for i in range(200)]
+
+
 def checkstyle(n):
     return '<?xml version="1.0"?>\n<checkstyle>\n' + "\n".join(f'<file name="src/f{i}.java">\n<error line="{i}" severity="warning" message="m {i}" source="x.Brace"/>\n</file>' if i % 7 else f'<file name="e{i}"/>' for i in range(n)) + "\n</checkstyle>\n"
 
