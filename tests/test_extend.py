@@ -250,6 +250,19 @@ def test_file_digests_of_any_size(spark, tmp_path):
     assert got == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in contents.items()}
 
 
+def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        (tmp_path / f"d{i}" / "e").mkdir(parents=True)
+        (tmp_path / f"d{i}" / "e" / "x.txt").write_text(str(i))
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "_hidden" / "y.txt").write_text("y")
+    (tmp_path / "d0" / "loop").symlink_to(tmp_path)
+    monkeypatch.setattr(hashing.os, "scandir", lambda *a: pytest.fail("the driver lists a folder"))
+    monkeypatch.setattr(hashing.fs, "FileSelector", lambda *a, **k: pytest.fail("the driver lists a folder"))
+    got = {r.path: (r.bytes, r.digest) for r in hashing.file_digests(spark, str(tmp_path), glob="*.txt").collect()}
+    assert got == {f"d{i}/e/x.txt": (len(str(i)), hashlib.sha256(str(i).encode()).hexdigest()) for i in range(40)}
+
+
 def test_a_changed_mapping_file_changes_what_is_read(spark, tmp_path):
     path, made = tmp_path / "m.toml", registry.builtin()
     frame = spark.createDataFrame([("p", "r", "ruff", '[{"code":"S101","message":"m","filename":"a"},{"code":"S2","message":"m","filename":"a"}]', "", "")], REPORT)
