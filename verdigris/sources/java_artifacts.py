@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from verdigris.operators.discovery import at_root, has, modules
 from verdigris.operators.findings import parser_failures
-from verdigris.operators.ordered import ranks
+from verdigris.operators.ordered import numbers
 from verdigris.sources.reports import DIALECTS, parse
 from verdigris.sources.work import written
 
@@ -52,5 +52,5 @@ def findings(found: DataFrame, run_id: str) -> DataFrame:
     known = {name: d for name, d in DIALECTS.items() if (d.tool or name) in ARTIFACTS}
     reports = found.select("project", F.lit(run_id).alias("run_id"), "tool", F.col("text").alias("stdout"), F.lit("").alias("stderr"), F.lit("").alias("root"), "module_path")
     rows = written(parse(reports, known, ["project", "run_id", "module_path"]), "artifacts")
-    numbered = ranks(rows, ["project", "run_id", "tool"], ["module_path", "finding_ord"], "__n").withColumn("finding_ord", F.col("__n") - 1).drop("__n", "module_path")
+    numbered = numbers(rows, ["project", "run_id", "tool"], ["module_path", "finding_ord"], "__n").withColumn("finding_ord", F.col("__n") - 1).drop("__n", "module_path")
     return parser_failures(numbered.select("project", "run_id", "scanner_ord", "tool").distinct(), numbered)
