@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import text
 from verdigris.schemas import PRIORITY_SEVERITY, lookup, round_half_up
+from verdigris.sources.work import written
 
 RUN = ["project", "run_id"]
 KEY = ["category", "rule_family", "message_family", "file_pattern"]
@@ -38,15 +39,24 @@ def keyed(findings: DataFrame) -> DataFrame:
     return findings.withColumns({"rule_family": text.rule_family(F.col("rule_id")), "message_family": text.message_family(message), "file_pattern": text.file_pattern(F.col("file"))})
 
 
-def features(rows: DataFrame, key: list[str]) -> DataFrame:
-    """What ranking needs of each group of keyed findings, in one pass: a row for each file of a group
-    adds up map-side, with a counter for each security class."""
+def file_features(rows: DataFrame, key: list[str]) -> DataFrame:
+    """What ranking needs of each file of a group, by security class and scanner. All that is added up is of
+    fixed width, so Spark adds it up by hashing, map-side, without sorting the findings first."""
     cls = lookup(F.col("security_class"), CLASS, "runtime")
+    return rows.groupBy(*key, "file", cls.alias("class"), "scanner_ord").agg(
+        F.count("*").alias("n"), F.max(lookup(F.col("severity"), RANK, 1)).alias("rank"), F.sum("confidence").alias("confidence"),
+        F.sum(confidence_weight(F.col("tool"), F.col("rule_id"), F.col("confidence"))).alias("trust"), F.min("finding_ord").alias("finding_ord"),
+    )
+
+
+def features(parts: DataFrame, key: list[str]) -> DataFrame:
+    """What ranking needs of each group of findings, from the features of their files, whatever finer key
+    these have: a row for each file of a group, with a counter for each security class."""
     place = F.struct("scanner_ord", "finding_ord")
     kinds = sorted({*CLASS.values(), "runtime"})
-    files = rows.groupBy(*key, "file").agg(
-        F.count("*").alias("n"), F.max(lookup(F.col("severity"), RANK, 1)).alias("rank"), F.sum("confidence").alias("confidence"), F.sum(confidence_weight(F.col("tool"), F.col("rule_id"), F.col("confidence"))).alias("trust"),
-        *(F.count_if(cls == k).alias(f"n_{k}") for k in kinds), *(F.min(F.when(cls == k, place)).alias(f"first_{k}") for k in kinds),
+    files = parts.groupBy(*key, "file").agg(
+        F.sum("n").alias("n"), F.max("rank").alias("rank"), F.sum("confidence").alias("confidence"), F.sum("trust").alias("trust"),
+        *(F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).alias(f"n_{k}") for k in kinds), *(F.min(F.when(F.col("class") == k, place)).alias(f"first_{k}") for k in kinds),
     )
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("file"))
     first = lambda k: F.min(f"first_{k}")
@@ -99,7 +109,7 @@ def described(groups: DataFrame) -> DataFrame:
 
 def recommendations(findings: DataFrame) -> DataFrame:
     """Every cluster of every run, described and ranked; ties in the ranking go by cluster key."""
-    ranked = described(features(keyed(findings), [*RUN, *KEY]))
+    ranked = described(features(file_features(keyed(findings), [*RUN, *KEY]), [*RUN, *KEY]))
     order = [F.desc("priority_score"), F.desc("severity_rank"), F.desc("supporting_findings_count"), "title", *KEY]
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*RUN).orderBy(*order)))
 
@@ -116,10 +126,10 @@ def action_plan(ranked: DataFrame) -> DataFrame:
 
 def systemic(findings: DataFrame) -> DataFrame:
     """One pooled row a run for clusters that span five files or hold ten findings."""
-    rows = keyed(findings)
-    sizes = rows.groupBy(*RUN, *KEY, "file").agg(F.count("*").alias("n")).groupBy(*RUN, *KEY).agg(F.sum("n").alias("n"), F.count_if(F.col("file") != "").alias("files"))
+    parts = written(file_features(keyed(findings), [*RUN, *KEY]), "file-features")
+    sizes = parts.groupBy(*RUN, *KEY, "file").agg(F.sum("n").alias("n")).groupBy(*RUN, *KEY).agg(F.sum("n").alias("n"), F.count_if(F.col("file") != "").alias("files"))
     spread = sizes.where("files >= 5 or n >= 10").select(*RUN, *KEY)
-    pooled = features(rows.join(spread, [*RUN, *KEY], "left_semi"), RUN)
+    pooled = features(parts.join(spread, [*RUN, *KEY], "left_semi"), RUN)
     named = pooled.withColumns({"category": F.lit("maintainability"), "rule_family": F.lit("systemic"), "message_family": F.lit("repeated-pattern"), "file_pattern": F.lit("project")})
     return described(named).withColumns({"title": F.lit("Repeated issue patterns across modules"), "recommended_fix": F.lit("Create one remediation checklist and apply it consistently across affected modules.")})
 
