@@ -46,10 +46,12 @@ def dedupe(findings: DataFrame, run: list[str] = ["project", "run_id"]) -> DataF
 
     The first finding of a dedupe key in a run decides: those of its tool stay, those of other
     tools are its duplicates. The first is found by an aggregate that adds up map-side and is
-    joined back, so a key that holds much of a run needs no task of its own.
+    joined back, so a key that holds much of a run needs no task of its own. The least number of each
+    key's tool is found before: by hashing, whereas Spark sorts what it takes a least struct of.
     """
+    least = findings.groupBy(*run, "dedupe_key", "scanner_ord", "tool", "fingerprint").agg(F.min("finding_ord").alias("finding_ord"))
     order = [F.col(x) for x in ("scanner_ord", "finding_ord", "tool", "fingerprint")]
-    first = findings.groupBy(*run, "dedupe_key").agg(F.min(F.struct(*order)).alias("__first"))
+    first = least.groupBy(*run, "dedupe_key").agg(F.min(F.struct(*order)).alias("__first"))
     same = F.col("__first.tool") == F.col("tool")
     joined = findings.join(first, [*run, "dedupe_key"])
     return joined.select(*findings.columns, same.alias("kept"), F.when(~same, F.col("__first.fingerprint")).alias("duplicate_of"))
