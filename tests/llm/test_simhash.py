@@ -146,6 +146,25 @@ def test_links_behind_a_failed_edge_are_found(spark):
     assert {r.group_id for r in got} == {0}
 
 
+def test_blocks_of_a_group_lose_no_link_and_make_no_pairs(spark, monkeypatch):
+    """Two chains that a text alike with none of their ends holds together in the proposals: blocks of
+    three texts find the groups that all pairs give."""
+    monkeypatch.setattr(simhash, "CELL_ITEMS", 3)
+    rng = np.random.default_rng(12)
+    stream = [f"v{i}" for i in rng.integers(0, 1 << 30, 1300)]
+    texts = [" ".join(stream[k : k + 500]) for k in (*range(0, 320, 40), *range(400, 720, 40), 360)]
+    texts = [texts[j] for j in rng.permutation(len(texts))]
+    sets = [runs(t) for t in texts]
+    want = list(range(len(texts)))
+    for _ in texts:
+        want = [min(want[j] for j in range(len(texts)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])) for i in range(len(texts))]
+    got = {r.doc_id: r.group_id for r in simhash.copy_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    items = spark.range(60).selectExpr("id as item", "id % 7 as label", "cast('' as binary) as payload", "0L as `group`")
+    met = simhash.cells(items, spark.range(60).selectExpr("id as item", "'x' as text"))
+    assert met.count() == 60 * 20 < 60 * 59 / 2 and met.groupBy("lo", "hi").count().agg({"count": "max"}).first()[0] < 30
+
+
 def test_different_texts_under_one_key_are_judged_apart(spark):
     rng = np.random.default_rng(11)
     a, b, c = (" ".join(f"v{i}" for i in rng.integers(0, 1 << 30, 100)) for _ in range(3))
