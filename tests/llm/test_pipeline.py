@@ -5,6 +5,8 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from verdigris.llm import language_id, simhash, toxicity
 
@@ -96,6 +98,13 @@ def test_gibberish_and_unlearned_languages_go(spark):
     assert len(sound - kept) <= 0.002 * len(sound)
 
 
+def test_all_labelled_rows_teach_languages(spark):
+    rows = spark.range(9000).selectExpr("concat('ab ', id) as text", "if(id % 9 = 0, null, 'xx') as lang")
+    assert language_id.labelled(rows).count() == 8000
+    model = language_id.learn(language_id.labelled(rows.withColumn("text", F.expr("if(lang = 'xx', 'q', text)"))))
+    assert model.names == ["xx"] and model.judge("q")[0] == "xx"
+
+
 def test_copies_among_the_groups(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")

@@ -5,11 +5,10 @@ edge counting as a letter). A document's profile is held against each language's
 is the sum of how far each n-gram is out of its place, an n-gram that the language's profile
 lacks being as far out as can be. The nearest language wins, ties going to the first by name.
 
-Profiles are learned from a bounded sample of the labelled rows: about TRAIN_DOCS a language,
-chosen by a hash of the key and the text; all their text counts. Texts to be judged are read
+Profiles are learned from all labelled rows that are not held out. Texts to be judged are read
 whole. A text is in no known language if its nearness to every profile is under a bound that the
-same sample teaches: KNOWN_SHARE of what all but KNOWN_LEAST of its texts reach, and KNOWN_MOST at
-most, as a small sample is near to its own profiles. Null texts and texts without a letter are `und`, score 0, and so is all if nothing was
+same rows teach: KNOWN_SHARE of what all but KNOWN_LEAST of their texts reach, and KNOWN_MOST at
+most, as a few texts are near to their own profiles. Null texts and texts without a letter are `und`, score 0, and so is all if nothing was
 learned. Null languages teach nothing; a null key counts as the empty text in the split.
 Repeated rows are judged alike; other columns are ignored; an empty table gives an empty result.
 """
@@ -24,11 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import held_out, written
+from verdigris.llm.common import held_out
 
 UNKNOWN = "und"
-#: n-grams in a profile; documents of a language that teach its profile, about.
-PROFILE, TRAIN_DOCS = 400, 4000
+#: n-grams in a profile.
+PROFILE = 400
 #: The bound of nearness: see above.
 KNOWN_SHARE, KNOWN_LEAST, KNOWN_MOST = 0.8, 0.001, 0.35
 
@@ -91,17 +90,13 @@ class Profiles:
         return self.names[best], float(share[best] / share.sum()) if share[best] > 0 else 0.0, float(near[best])
 
 
-def sampled(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(lang, text): about train_docs labelled rows a language. The shares are a written table of one
-    row a language, which Spark broadcasts if its size allows."""
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    shares = written(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(train_docs) / F.count("*")).alias("share")), "languages")
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return rows.join(shares, "lang").where(draw < F.col("share")).select("lang", "text")
+def labelled(rows: DataFrame) -> DataFrame:
+    """(lang, text): the rows that teach."""
+    return rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
 
 
-def learn(sample: DataFrame, *, size: int = PROFILE) -> Profiles:
-    """Profiles of the languages in a sample (lang, text).
+def learn(taught: DataFrame, *, size: int = PROFILE) -> Profiles:
+    """Profiles of the languages of all rows (lang, text).
 
     Counts are added up in the tasks first and by n-gram next; at most languages times size
     n-grams come to the driver.
@@ -124,7 +119,7 @@ def learn(sample: DataFrame, *, size: int = PROFILE) -> Profiles:
             for codes, counts in merged(parts):
                 yield pd.DataFrame({"lang": lang, "code": codes, "n": counts})
 
-    counts = sample.mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = taught.mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     top = counts.withColumn("place", place).where(F.col("place") <= size)
     ranks: dict[str, list[int]] = {}
@@ -133,22 +128,22 @@ def learn(sample: DataFrame, *, size: int = PROFILE) -> Profiles:
     return Profiles(ranks, size)
 
 
-def least_nearness(sample: DataFrame, model) -> float:
+def least_nearness(taught: DataFrame, model) -> float:
     """The nearness under which a text is in no language of the model, a broadcast one."""
 
     @F.pandas_udf("double")
     def near(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: model.value.judge(t)[2])
 
-    found = sample.select(near("text").alias("near")).where("near > 0").agg(F.percentile_approx("near", KNOWN_LEAST, 10_000)).first()[0]
+    found = taught.select(near("text").alias("near")).where("near > 0").agg(F.percentile_approx("near", KNOWN_LEAST, 10_000)).first()[0]
     return 0.0 if found is None else min(KNOWN_MOST, KNOWN_SHARE * found)
 
 
-def identify(df: DataFrame, *, modulus: int = 4, remainder: int = 2, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(df: DataFrame, *, modulus: int = 4, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score, nearness) of each row; held-out rows teach nothing."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     out = held_out(F.col("doc_id"), modulus, remainder)
-    model = df.sparkSession.sparkContext.broadcast(learn(sampled(rows.where(~out), train_docs)))
+    model = df.sparkSession.sparkContext.broadcast(learn(labelled(rows.where(~out))))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -170,9 +165,9 @@ def keep_known(df: DataFrame, *, modulus: int = 4, remainder: int = 2, id_col: s
     if nothing was learned.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sample = written(sampled(rows.where(~held_out(F.col("doc_id"), modulus, remainder))), "language-sample")
-    model = df.sparkSession.sparkContext.broadcast(learn(sample))
-    least = least_nearness(sample, model)
+    taught = labelled(rows.where(~held_out(F.col("doc_id"), modulus, remainder)))
+    model = df.sparkSession.sparkContext.broadcast(learn(taught))
+    least = least_nearness(taught, model)
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
