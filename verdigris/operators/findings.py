@@ -87,13 +87,23 @@ def published_order(findings: DataFrame) -> DataFrame:
     return findings.orderBy(*publishing())
 
 
-def parser_failures(runs: DataFrame, rows: DataFrame) -> DataFrame:
+#: What tells the scanner runs of a report apart.
+PARSED = ["project", "run_id", "scanner_ord"]
+
+
+def unsound_runs(rows: DataFrame) -> DataFrame:
+    """(project, run_id, scanner_ord, problem) of scanner runs with any bad row."""
+    return rows.where("problem is not null").groupBy(*PARSED).agg(F.max("problem").alias("problem"))
+
+
+def parser_failures(runs: DataFrame, rows: DataFrame, bad: DataFrame | None = None) -> DataFrame:
     """Findings of scanner runs, all or nothing: a run with any bad row gets one parser finding.
 
-    runs: (project, run_id, scanner_ord, tool); rows: findings with `problem`, null if sound.
+    runs: (project, run_id, scanner_ord, tool); rows: findings with `problem`, null if sound; bad: their
+    unsound_runs(), if these are known.
     """
-    key = ["project", "run_id", "scanner_ord"]
-    bad = rows.groupBy(*key).agg(F.max("problem").alias("problem")).where("problem is not null")
+    key = PARSED
+    bad = unsound_runs(rows) if bad is None else bad
     sound = rows.join(bad.select(*key), key, "left_anti").drop("problem")
     made = runs.join(bad, key).select(
         *key, F.lit(0).cast("long").alias("finding_ord"), F.lit("verdigris").alias("tool"), F.concat(F.lit("PARSER."), "problem").alias("rule_id"), F.lit("medium").alias("severity"),
