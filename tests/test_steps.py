@@ -5,9 +5,9 @@ import io
 
 import pyarrow as pa
 
-from verdigris.operators import findings as ops, recommend
+from verdigris.operators import findings as ops, ordered, recommend
 from verdigris.plans import queries
-from verdigris.sources import reports
+from verdigris.sources import derived, reports
 
 D = "/root/testdata/sf0.001"
 
@@ -66,3 +66,32 @@ def test_findings_of_several_reports_share_a_batch(spark, monkeypatch):
     made = list(held[0](iter([pa.RecordBatch.from_pylist(rows)])))
     assert [(x["run_id"], x["at"]) for b in made for x in b.to_pylist()] == [(f"r{i}", at) for i in range(3000) for at in range(i % 3)]
     assert len(made) == 3
+
+
+def test_rows_that_agree_share_a_rank_across_ranges_and_batches(spark):
+    """Ranges part equal rows by chance and Arrow cuts them into batches; nothing is joined but what is told of ranges."""
+    rows = [("p", "a", None if i % 5 == 0 else float("nan") if i % 5 == 1 else 2.0 if i < 900 else float(i % 7)) for i in range(1200)] + [("q", "a", 2.0)] * 3 + [("q", "b", 1.0)]
+    frame = spark.createDataFrame(rows, "project string, run_id string, value double").repartition(5)
+    place = {None: -1.0}
+    for adaptive, size in (("false", "16"), ("true", "10000")):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = ordered.ranks(frame, ["project", "run_id"], ["value"], "rank").collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == len(rows)
+        as_number = lambda v: place[None] if v is None else 1e9 if v != v else v
+        for run in (("p", "a"), ("q", "a"), ("q", "b")):
+            values = sorted(as_number(v) for *r, v in rows if tuple(r) == run)
+            assert {(as_number(r.value), r["rank"]) for r in got if (r.project, r.run_id) == run} == {(v, values.index(v) + 1) for v in values}
+
+
+def test_places_move_findings_once(spark, monkeypatch):
+    """The findings are dealt by range and written; no key of theirs is counted or joined back."""
+    names, real = [], ordered.written
+    monkeypatch.setattr(ordered, "written", lambda df, name: names.append((name, plan_of(df).count("Exchange rangepartitioning"), plan_of(df).count("Join"))) or real(df, name))
+    queries.q_severity_order(spark, D)
+    assert [n for n, *_ in names] == ["ranges", "spans"] and names[0][1:] == (1, 0)
+    assert "repartition" not in derived.findings(spark, D)._jdf.queryExecution().logical().toString().split("\n")[0].lower()
