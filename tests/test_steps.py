@@ -1,13 +1,17 @@
 """What the steps that many queries share cost: how often they run, and what they sort."""
 
 import contextlib
+import glob
+import hashlib
 import io
+import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from verdigris.operators import findings as ops, ordered, recommend
+from verdigris.operators import findings as ops, ordered, recommend, scoring
 from verdigris.plans import queries
-from verdigris.sources import derived, reports
+from verdigris.sources import artifacts, derived, reports
 
 D = "/root/testdata/sf0.001"
 
@@ -95,3 +99,26 @@ def test_places_move_findings_once(spark, monkeypatch):
     queries.q_severity_order(spark, D)
     assert [n for n, *_ in names] == ["ranges", "spans"] and names[0][1:] == (1, 0)
     assert "repartition" not in derived.findings(spark, D)._jdf.queryExecution().logical().toString().split("\n")[0].lower()
+
+
+def test_findings_are_counted_before_they_are_scored(spark):
+    """Alike findings are one row; what dedupe keeps of them, and its metrics, are those of all findings."""
+    rng, sha = random.Random(2), lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = []
+    for i in range(800):
+        tool, what = rng.choice(["ruff", "bandit", "eslint"]), rng.randrange(12)
+        rows.append(("p", f"r{i % 2}", rng.choice([1, 2]), i, tool, rng.choice(["security", "lint"]), rng.choice(["high", "low"]), rng.choice([0.0, 0.1, 1.0]), sha(f"{tool}{what}"), sha(f"_{what}")))
+    frame = spark.createDataFrame(rows, "project string, run_id string, scanner_ord int, finding_ord long, tool string, category string, severity string, score_weight double, fingerprint string, dedupe_key string").repartition(3)
+    found = ops.counted(frame)
+    assert found.count() < 800 and found.agg(F.sum("alike")).first()[0] == 800
+    assert ops.kept(found).agg(F.sum("alike")).first()[0] < 800
+    metrics = lambda df: sorted(map(str, scoring.finding_metrics(df).collect()))
+    assert metrics(ops.kept(found)) == metrics(ops.dedupe(frame).where("kept"))
+
+
+def test_a_run_is_published_in_few_files(spark, tmp_path):
+    """Not in one of each task."""
+    frame = spark.range(900).select(F.lit("p").alias("project"), F.concat(F.lit("r"), F.col("id") % 3).alias("run_id"), "id").repartition(9)
+    artifacts.publish({"findings": frame.withColumn("severity", F.lit("low"))}, f"file://{tmp_path}/store", "c1")
+    assert len(glob.glob(f"{tmp_path}/store/data/findings/commit=c1/project=p/run_id=*/*.parquet")) == 3
+    assert artifacts.load(spark, f"file://{tmp_path}/store", "findings").count() == 900

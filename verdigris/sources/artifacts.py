@@ -20,14 +20,15 @@ RUN = ["project", "run_id"]
 
 def publish(tables: dict[str, DataFrame], store: str, commit: str | None = None) -> str:
     """Adds runs to a store: the tables' files first, then a manifest of their runs, which is moved into
-    place. Readers go by manifests only, so a commit is seen whole or not at all, whenever it ends; a
+    place. Rows are dealt by run before they are written, so a run has a file or a few, not one of each
+    task; a run that is large is split. Readers go by manifests only, so a commit is seen whole or not at all, whenever it ends; a
     run that is published again is replaced by the later commit, by name. Gives the commit's name."""
     spark, store = next(iter(tables.values())).sparkSession, store.rstrip("/")
     commit = commit or f"c{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     written = {}
     for name, rows in tables.items():
         path = f"{store}/data/{name}/commit={commit}"
-        rows.write.partitionBy(*RUN).parquet(path)
+        rows.hint("rebalance", *RUN).write.partitionBy(*RUN).parquet(path)
         written[name] = spark.read.schema(rows.schema).parquet(path)
     manifest_rows(written).write.parquet(f"{store}/staged/{commit}")
     moved(spark, f"{store}/staged/{commit}", f"{store}/manifests/commit={commit}")
