@@ -21,16 +21,17 @@ def strip(x: Column) -> Column:
 
 
 def normalize_message(message: Column) -> Column:
-    """A message without what varies from run to run: numbers of lines, addresses, paths, spacing."""
+    """A message without what varies from run to run: numbers of lines, addresses, paths, spacing. Patterns
+    begin with a letter and look back for the word's bound, as a bound takes longer to try everywhere."""
     text = F.replace(F.replace(F.lower(strip(message)), F.lit('"'), F.lit("'")), F.lit("\\"), F.lit("/"))
     text = _chain(
         text,
-        (r"\bline\s+\d+\b", "line <n>"),
-        (r"\b0x[0-9a-fA-F]+\b", "0x<hex>"),
+        (r"line(?<=\bline)\s+\d+\b", "line <n>"),
+        (r"0x(?<=\b0x)[0-9a-fA-F]+\b", "0x<hex>"),
         (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}\b", "<uuid>"),
-        (r"\b(?:/[\w./-]+|[a-zA-Z]:\\[\\\w .-]+)\b", "<path>"),
+        (r"/(?<=\b/)[\w./-]+\b", "<path>"),  # backslashes are gone by now
         (r"([!?.,:;])\1+", "$1"),
-        (r"\s+", " "),
+        (r" \s+|[\t\n\x0b\f\r]\s*", " "),
     )
     return strip(text)
 

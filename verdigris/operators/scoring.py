@@ -24,9 +24,11 @@ def score_hint(tool: Column, category: Column) -> Column:
 
 
 def finding_metrics(findings: DataFrame) -> DataFrame:
-    """Count and weighted count of each run, tool, category and severity of classified findings."""
+    """Count and weighted count of each run, tool, category and severity of classified findings; a row
+    with `alike` stands for so many."""
+    alike = F.col("alike") if "alike" in findings.columns else F.lit(1).cast("long")
     weight = F.when(F.col("category") == "security", F.greatest(F.lit(0.0), F.col("score_weight"))).otherwise(1.0)
-    counted = findings.where(F.col("category") != PARSER_CATEGORY).groupBy(*RUN, "tool", "category", "severity").agg(F.count("*").alias("count"), round_half_up(F.sum(weight), 6).alias("weighted_count"))
+    counted = findings.where(F.col("category") != PARSER_CATEGORY).groupBy(*RUN, "tool", "category", "severity").agg(F.sum(alike).alias("count"), round_half_up(F.sum(weight * alike), 6).alias("weighted_count"))
     return counted.withColumn("score_hint", score_hint(F.col("tool"), F.col("category")))
 
 
