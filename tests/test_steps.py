@@ -116,6 +116,16 @@ def test_findings_are_counted_before_they_are_scored(spark):
     assert metrics(ops.kept(found)) == metrics(ops.dedupe(frame).where("kept"))
 
 
+def test_equal_reports_are_read_once(spark, monkeypatch):
+    """All dialects in one pass, and a report that several findings share once, standing for all of them."""
+    held, real = [], reports.parse
+    monkeypatch.setattr(reports, "parse", lambda made, *more: held.append(made) or real(made, *more))
+    found = queries.q_parse_reports(spark, D)
+    all_of = derived.findings(spark, D).where("tool IN ('ruff', 'bandit', 'opengrep')").count()
+    assert len(held) == 1 and held[0].agg(F.sum("alike")).first()[0] == all_of == found.agg(F.sum("count")).first()[0]
+    assert held[0].count() < all_of
+
+
 def test_a_run_is_published_in_few_files(spark, tmp_path):
     """Not in one of each task."""
     frame = spark.range(900).select(F.lit("p").alias("project"), F.concat(F.lit("r"), F.col("id") % 3).alias("run_id"), "id").repartition(9)
