@@ -331,3 +331,21 @@ def test_java_runners_and_artifacts(spark):
     got = sorted((r.project, r.finding_ord, r.rule_id) for r in java_artifacts.findings(left, "r").collect())
     assert got == [("g", 0, "T3"), ("m", 0, "T1"), ("m", 1, "T2"), ("u", 0, "PARSER.SCHEMA_ERROR")]
     assert {(r.project, r.framework): r.evidence for r in discovery.java_evidence(frame).collect()} == {("m", "micronaut"): ["pom.xml"], ("m", "spring"): ["pom.xml"], ("m", "spring_boot"): ["pom.xml"], ("g", "jakarta_ee"): ["build.gradle"]}
+
+
+def test_findings_of_large_reports_are_numbered_where_they_are_read(spark, tmp_path, monkeypatch):
+    """No finding is moved: what tells its number is how many the parts before have."""
+    (tmp_path / "p" / "r").mkdir(parents=True)
+    files = [f'<file name="src/{k}.java">\n<error line="{k}" severity="error" message="m" source="x"/>\n<error line="1" severity="error" message="n" source="x"/></file>' for k in range(300)]
+    (tmp_path / "p" / "r" / "a.xml").write_text(f"<checkstyle>{''.join(files)}</checkstyle>")
+    names, real = [], large.written
+    monkeypatch.setattr(large, "written", lambda df, name: names.append(name) or real(df, name))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = large.parse_large(spark, f"{tmp_path}/*/*/*.xml", "checkstyle")
+        rows = sorted((r.finding_ord, r.file, r.message) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert rows == [(2 * k + j, f"src/{k}.java", "mn"[j]) for k in range(300) for j in range(2)]
+    assert names == ["large", "parts", "broken", "unsound"]

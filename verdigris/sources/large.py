@@ -3,7 +3,8 @@
 Spark's text source splits a file at any separator, so a report of gigabytes is read by many tasks.
 Each record, an element or a line, is made a small report, and the dialect reads those as it reads
 whole ones. Entries are numbered over all parts in two levels, so the rows are those of
-reports.parse_all(). JSON documents have no such separator and stay one row a report.
+reports.parse_all(). A task reads a part in its order, so within it they are numbered as they come: no
+finding is moved. JSON documents have no such separator and stay one row a report.
 
 An XML report has to close its root once, at its end: one that is cut off gives one parser finding, as
 any unsound report does.
@@ -11,11 +12,10 @@ any unsound report does.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdigris.operators.findings import parser_failures
-from verdigris.operators.ordered import numbers
+from verdigris.operators.findings import parser_failures, unsound_runs
 from verdigris.sources.reports import DIALECTS, Dialect, parse, scanner_runs
 from verdigris.sources.work import written
 
@@ -42,10 +42,13 @@ def small_reports(spark: SparkSession, pattern: str, dialect: str, root: str = "
     if dialect not in TAGS:
         raise ValueError(f"{dialect} reports are documents of JSON, which cannot be split")
     tag, outer = TAGS[dialect]
-    rows = records(spark, pattern, f"</{tag}>").withColumn("closing", F.col("value").rlike(rf"</{outer}>\s*$"))
-    body = F.regexp_extract(F.regexp_replace("value", rf"</{outer}>\s*$", ""), rf"(?s)<{tag}[\s/>].*$", 0)
+    ends = F.contains("value", F.lit(f"</{outer}>"))  # tried first, as few records have it and patterns take longer
+    rows = records(spark, pattern, f"</{tag}>").withColumn("closing", ends & F.col("value").rlike(rf"</{outer}>\s*$"))
+    body = F.regexp_extract(F.when(ends, F.regexp_replace("value", rf"</{outer}>\s*$", "")).otherwise(F.col("value")), rf"(?s)<{tag}[\s/>].*$", 0)
     text = F.concat(F.lit(f"<{outer}>"), body, F.when(F.col("closing") | (body == ""), "").otherwise(f"</{tag}>"), F.lit(f"</{outer}>"))
-    closed = rows.groupBy("project", "run_id", "__file").agg(F.count_if("closing").alias("n"), F.max(F.struct("__block", "__row", "closing"))["closing"].alias("last"))
+    # each part's last record first, by hashing: what a struct is taken of is sorted
+    parts = rows.groupBy("project", "run_id", "__file", "__block").agg(F.count_if("closing").alias("n"), F.max("__row").alias("__last"), F.max(F.when(F.col("closing"), F.col("__row"))).alias("__closing"))
+    closed = parts.groupBy("project", "run_id", "__file").agg(F.sum("n").alias("n"), F.max(F.struct("__block", F.col("__last").eqNullSafe(F.col("__closing")).alias("closing")))["closing"].alias("last"))
     broken = closed.where("n <> 1 OR NOT last").select("project", "run_id", tool).distinct()
     return rows.select(*key, text.alias("stdout"), F.lit("").alias("stderr"), F.lit(root).alias("root")), broken
 
@@ -54,8 +57,15 @@ def parse_large(spark: SparkSession, pattern: str, dialect: str, root: str = "",
     """Findings of the reports that pattern names, as reports.parse_all() gives them."""
     known = dialects or DIALECTS
     small, broken = small_reports(spark, pattern, dialect, root, known)
-    found = written(parse(small, {dialect: known[dialect]}, ["project", "run_id", *PLACE]), "large")
-    numbered = numbers(found, ["project", "run_id"], [*PLACE, "finding_ord"], "__n").withColumn("finding_ord", F.col("__n") - 1).drop("__n", *PLACE)
-    cut_off = scanner_runs(broken).withColumn("problem", F.lit("SCHEMA_ERROR"))
-    runs = scanner_runs(small.select("project", "run_id", "tool").distinct())
-    return parser_failures(runs, numbered.unionByName(cut_off, allowMissingColumns=True))
+    part = ["project", "run_id", "__file", "__block"]
+    parsed = parse(small, {dialect: known[dialect]}, ["project", "run_id", *PLACE]).withColumn("__at", F.monotonically_increasing_id())
+    found = written(parsed.drop("__row", "finding_ord"), "large")
+    parts = found.groupBy(*part).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.partitionBy("project", "run_id").orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    # written, so Spark knows how few these are before it plans the joins with them
+    ahead = written(parts.select(*part, (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift")), "parts")
+    numbered = found.join(ahead, part).withColumn("finding_ord", F.col("__at") + F.col("__shift")).drop("__at", "__shift", "__file", "__block")
+    cut_off = scanner_runs(written(broken, "broken")).withColumn("problem", F.lit("SCHEMA_ERROR"))
+    bad = written(unsound_runs(found.select("project", "run_id", "scanner_ord", "problem").unionByName(cut_off.drop("tool"))), "unsound")
+    tool = F.lit(known[dialect].tool or dialect).alias("tool")
+    return parser_failures(bad.select("project", "run_id", "scanner_ord", tool), numbered.unionByName(cut_off, allowMissingColumns=True), bad)
