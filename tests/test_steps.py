@@ -9,9 +9,9 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from verdigris.operators import findings as ops, ordered, recommend, scoring
-from verdigris.plans import queries
-from verdigris.sources import artifacts, derived, reports
+from verdigris.operators import findings as ops, ordered, recommend, scoring, secrets
+from verdigris.plans import queries, queries_extend, queries_scan
+from verdigris.sources import artifacts, derived, java_artifacts, reports
 
 D = "/root/testdata/sf0.001"
 
@@ -132,3 +132,14 @@ def test_a_run_is_published_in_few_files(spark, tmp_path):
     artifacts.publish({"findings": frame.withColumn("severity", F.lit("low"))}, f"file://{tmp_path}/store", "c1")
     assert len(glob.glob(f"{tmp_path}/store/data/findings/commit=c1/project=p/run_id=*/*.parquet")) == 3
     assert artifacts.load(spark, f"file://{tmp_path}/store", "findings").count() == 900
+
+
+def test_unsound_artifacts_are_written_before_they_are_joined(spark, monkeypatch):
+    names, real = [], java_artifacts.written
+    monkeypatch.setattr(java_artifacts, "written", lambda df, name: names.append(name) or real(df, name))
+    bug = '<BugCollection><BugInstance type="T" rank="1"><LongMessage>m</LongMessage><SourceLine sourcepath="A.java" start="1"/></BugInstance></BugCollection>'
+    left = [("p", "mvnw", ""), ("q", "mvnw", "")] + [(p, f"m{k}/{at}", text) for p in "pq" for k in range(2) for at, text in (("pom.xml", ""), ("target/spotbugsXml.xml", "<Bug" if p == "q" and k else bug), ("target/site/pmd.xml", "x"))]
+    files = spark.createDataFrame(left, "project string, path string, text string")
+    found = java_artifacts.findings(java_artifacts.artifacts(files).where("tool = 'spotbugs'"), "r1")
+    assert sorted((r.project, r.tool, r.rule_id, r.finding_ord) for r in found.collect()) == [("p", "spotbugs", "T", 0), ("p", "spotbugs", "T", 1), ("q", "verdigris", "PARSER.SCHEMA_ERROR", 0)]
+    assert names == ["artifacts", "unsound"]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.operators.discovery import at_root, has, modules
-from verdigris.operators.findings import parser_failures
+from verdigris.operators.findings import PARSED, parser_failures, unsound_runs
 from verdigris.operators.ordered import numbers
 from verdigris.sources.reports import DIALECTS, parse
 from verdigris.sources.work import written
@@ -39,12 +39,13 @@ def runners(files: DataFrame) -> DataFrame:
 
 def artifacts(files: DataFrame) -> DataFrame:
     """(project, module_path, tool, path, text): of each module of a project (project, path, text) and each
-    tool the report that its build has left."""
+    tool the report that its build has left. Texts are joined last, so they are moved once."""
     places = F.explode(F.array(*(F.struct(F.lit(tool).alias("tool"), F.lit(runner).alias("runner"), F.lit(i).alias("nth"), F.lit(path).alias("place")) for tool, of in ARTIFACTS.items() for runner, paths in of.items() for i, path in enumerate(paths))))
     wanted = modules(files).join(runners(files), "project").select("project", "module_path", F.col("runner").alias("by"), places.alias("p")).where("p.runner = by")
     path = F.concat(F.when(F.col("module_path") == ".", "").otherwise(F.concat("module_path", F.lit("/"))), "p.place")
-    there = wanted.select("project", "module_path", "p.tool", "p.nth", path.alias("path")).join(files.select("project", "path", "text"), ["project", "path"])
-    return there.groupBy("project", "module_path", "tool").agg(F.min_by(F.struct("path", "text"), "nth").alias("a")).select("project", "module_path", "tool", "a.*")
+    there = wanted.select("project", "module_path", "p.tool", "p.nth", path.alias("path")).join(files.select("project", "path"), ["project", "path"])
+    first = there.groupBy("project", "module_path", "tool").agg(F.min_by("path", "nth").alias("path"))
+    return first.join(files.select("project", "path", "text"), ["project", "path"]).select("project", "module_path", "tool", "path", "text")
 
 
 def findings(found: DataFrame, run_id: str) -> DataFrame:
@@ -53,4 +54,6 @@ def findings(found: DataFrame, run_id: str) -> DataFrame:
     reports = found.select("project", F.lit(run_id).alias("run_id"), "tool", F.col("text").alias("stdout"), F.lit("").alias("stderr"), F.lit("").alias("root"), "module_path")
     rows = written(parse(reports, known, ["project", "run_id", "module_path"]), "artifacts")
     numbered = numbers(rows, ["project", "run_id", "tool"], ["module_path", "finding_ord"], "__n").withColumn("finding_ord", F.col("__n") - 1).drop("__n", "module_path")
-    return parser_failures(numbered.select("project", "run_id", "scanner_ord", "tool").distinct(), numbered)
+    # written, so Spark knows how few these are, and does not move all sound findings to join them
+    bad = written(unsound_runs(rows), "unsound")
+    return parser_failures(rows.join(bad.select(PARSED), PARSED, "left_semi").select(*PARSED, "tool").distinct(), numbered, bad)
