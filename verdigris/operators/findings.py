@@ -61,17 +61,22 @@ def dedupe(findings: DataFrame, run: list[str] = ["project", "run_id"]) -> DataF
 SCORED = ["project", "run_id", "scanner_ord", "tool", "category", "severity", "score_weight", "fingerprint", "dedupe_key"]
 
 
-def counted(findings: DataFrame) -> DataFrame:
+def counted(findings: DataFrame, by: list[str] = SCORED) -> DataFrame:
     """Classified findings that agree in all that is scored as one row, with the least number and `alike`,
     how many they are. Keys are moved as bytes, which are half as long as their digits."""
-    return findings.withColumns({x: F.unhex(x) for x in ("fingerprint", "dedupe_key")}).groupBy(*SCORED).agg(F.min("finding_ord").alias("finding_ord"), F.count("*").alias("alike"))
+    return findings.withColumns({x: F.unhex(x) for x in ("fingerprint", "dedupe_key")}).groupBy(*by).agg(F.min("finding_ord").alias("finding_ord"), F.count("*").alias("alike"))
 
 
-def kept(found: DataFrame, run: list[str] = ["project", "run_id"]) -> DataFrame:
-    """What dedupe() keeps of counted findings. A key has few of these, one for each tool, category,
-    severity and weight, however many findings it has, so a window finds its first."""
+def told(found: DataFrame, run: list[str] = ["project", "run_id"]) -> DataFrame:
+    """Adds `kept` to counted findings, as dedupe() does. A key has few of these, one for each tool and what
+    else they are counted by, however many findings it has, so a window finds its first."""
     first = F.first("tool").over(Window.partitionBy(*run, "dedupe_key").orderBy("scanner_ord", "finding_ord", "tool", "fingerprint"))
-    return found.withColumn("__first", first).where("__first = tool").drop("__first")
+    return found.withColumn("kept", first == F.col("tool"))
+
+
+def kept(found: DataFrame, run: list[str] = ["project", "run_id"]) -> DataFrame:
+    """What dedupe() keeps of counted findings."""
+    return told(found, run).where("kept").drop("kept")
 
 
 def dedupe_summary(deduped: DataFrame) -> DataFrame:

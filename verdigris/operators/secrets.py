@@ -28,9 +28,14 @@ def counters(deduped: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
 
     Findings are first counted by fingerprint in the tasks, so a fingerprint that holds many is
     one row in the join with the baseline."""
+    counted = deduped.groupBy(*RUN, "fingerprint", "kept", "rule_id", is_real(F.col("raw_payload")).alias("real")).agg(F.count("*").alias("n"))
+    return of_counted(counted, entries, now)
+
+
+def of_counted(counted: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
+    """counters() of findings (project, run_id, fingerprint, kept, rule_id, real, n), n being how many they are."""
     active = states(entries, now).where("active and accepted").select("fingerprint").distinct().withColumn("covered", F.lit(True))
     c, of = F.col, lambda flag: F.sum(F.when(flag, F.col("n")).otherwise(0))
-    counted = deduped.groupBy(*RUN, "fingerprint", "kept", "rule_id", is_real(c("raw_payload")).alias("real")).agg(F.count("*").alias("n"))
     rows = counted.join(active, "fingerprint", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
     left = c("kept") & ~c("covered")
     real = of(left & c("real"))

@@ -72,9 +72,13 @@ def secret_findings(spark: SparkSession, d: str) -> DataFrame:
 def q_secrets(spark: SparkSession, d: str) -> DataFrame:
     from verdigris.plans.queries import NOW, entries
 
-    wanted = [*RUN, "scanner_ord", "finding_ord", "tool", "rule_id", "raw_payload", "fingerprint", "dedupe_key"]
-    rows = written(ops.normalize(secret_findings(spark, d)).select(wanted), "secrets")
-    return secrets.counters(ops.dedupe(rows), entries(rows), F.expr(NOW))
+    # what counts of a payload is told before findings are moved, and alike findings are counted first
+    by = [*RUN, "scanner_ord", "tool", "rule_id", "real", "fingerprint", "dedupe_key"]
+    rows = ops.normalize(secret_findings(spark, d)).withColumn("real", secrets.is_real(F.col("raw_payload")))
+    found = written(ops.counted(rows, by), "secrets")
+    accepted = entries(found.select(F.lower(F.hex("fingerprint")).alias("fingerprint"))).withColumn("fingerprint", F.unhex("fingerprint"))
+    counted = ops.told(found).select(*RUN, "fingerprint", "kept", "rule_id", "real", F.col("alike").alias("n"))
+    return secrets.of_counted(counted, written(accepted, "entries"), F.expr(NOW))
 
 
 def scan_results(spark: SparkSession, d: str) -> DataFrame:
