@@ -156,3 +156,9 @@ def test_unsound_artifacts_are_written_before_they_are_joined(spark, monkeypatch
     found = java_artifacts.findings(java_artifacts.artifacts(files).where("tool = 'spotbugs'"), "r1")
     assert sorted((r.project, r.tool, r.rule_id, r.finding_ord) for r in found.collect()) == [("p", "spotbugs", "T", 0), ("p", "spotbugs", "T", 1), ("q", "verdigris", "PARSER.SCHEMA_ERROR", 0)]
     assert names == ["artifacts", "unsound"]
+
+
+def test_a_site_classifies_once(spark, monkeypatch):
+    calls, real = [], queries.classified
+    monkeypatch.setattr(queries, "classified", lambda *a: calls.append(1) or real(*a))
+    assert queries_extend.site(spark, D).count() > 100 and len(calls) == 1

@@ -24,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from verdigris.operators import history, portal
 from verdigris.operators.ordered import numbers, ranks
 from verdigris.sources.scanners import opened
+from verdigris.sources.work import written
 
 RUN = ["project", "run_id"]
 PAGE_ROWS = 500
@@ -39,6 +40,8 @@ def document(title: str, body: str) -> str:
 
 def shown(value) -> str:
     """A cell; a link is an object {href, text}."""
+    if type(value) is str:
+        return html.escape(value)
     if isinstance(value, dict) and set(value) == {"href", "text"}:
         return f"<a href='{html.escape(value['href'], quote=True)}'>{html.escape(str(value['text']))}</a>"
     if isinstance(value, list):
@@ -48,17 +51,16 @@ def shown(value) -> str:
 
 def grid(rows: list[dict]) -> str:
     names = list(dict.fromkeys(k for row in rows for k in row))
-    line = lambda tag, cells: "<tr>" + "".join(f"<{tag}>{c}</{tag}>" for c in cells) + "</tr>"
-    return "<table>" + line("th", [html.escape(n.replace("_", " ")) for n in names]) + "".join(line("td", [shown(row.get(n)) for n in names]) for row in rows) + "</table>"
+    line = lambda tag, cells: f"<tr><{tag}>" + f"</{tag}><{tag}>".join(cells) + f"</{tag}></tr>"
+    return "<table>" + line("th", [html.escape(n.replace("_", " ")) for n in names]) + "".join([line("td", [shown(row.get(n)) for n in names]) for row in rows]) + "</table>"
 
 
 def rendered(page: pd.DataFrame) -> pd.DataFrame:
     """One page from its blocks."""
-    body = ""
-    for section in SECTIONS:
-        part = page[page["section"] == section].sort_values(["place", "row"])
-        if len(part):
-            body += f"<h2 id='{section}'>{section.replace('_', ' ')}</h2>" + grid([json.loads(x) for x in part["row"]])
+    held: dict[str, list] = {}
+    for section, place, row in zip(page["section"].tolist(), page["place"].tolist(), page["row"].tolist()):
+        held.setdefault(section, []).append((place, row))
+    body = "".join(f"<h2 id='{section}'>{section.replace('_', ' ')}</h2>" + grid([json.loads(x) for _, x in sorted(held[section])]) for section in SECTIONS if section in held)
     return pd.DataFrame({"path": [page["path"].iloc[0]], "content": [document(page["title"].iloc[0], body)]})
 
 
@@ -90,7 +92,7 @@ def blocks(cards: DataFrame, findings: DataFrame, plan: DataFrame, scalars: Data
     trend_delta; findings: normalised and classified; plan: the lists of the action plan; scalars:
     (project, run_id, name, value)."""
     c = F.col
-    counts = cards.select(*RUN).join(findings.groupBy(*RUN).agg(*(F.count_if(c("severity") == s).alias(s) for s in ("critical", "high", "medium", "low", "info"))), RUN, "left").fillna(0)
+    counts = written(cards.select(*RUN).join(findings.groupBy(*RUN).agg(*(F.count_if(c("severity") == s).alias(s) for s in ("critical", "high", "medium", "low", "info"))), RUN, "left").fillna(0), "counts")
     whole = cards.join(counts, RUN)
     title = F.concat(c("project"), F.lit(" "), c("run_id"))
     figures = ["overall_score", "grade", "status", "reasons", "critical", "high", "medium", "low", "trend_delta"]
